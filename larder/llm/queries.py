@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from larder.llm.feistel_shards import op5_feistel_shards
+from larder.llm.license_scan import op8_license_scan
 from larder.llm.repetition import op4_quality_rules
 from larder.llm.secret_scan import op2_secret_scan
 from larder.llm.sentencepiece_codec import op10_sentencepiece
@@ -11,6 +13,8 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_secret_scan": op2_secret_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op5_feistel_shards": op5_feistel_shards,
+    "op8_license_scan": op8_license_scan,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLE_SQL: dict[str, str] = {}
