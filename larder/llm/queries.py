@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from larder.llm.decontaminate import op3_decontamination
 from larder.llm.feistel_shards import op5_feistel_shards
+from larder.llm.language_id import op7_language_id
 from larder.llm.license_scan import op8_license_scan
 from larder.llm.repetition import op4_quality_rules
 from larder.llm.secret_scan import op2_secret_scan
@@ -12,8 +14,10 @@ from larder.llm.token_lengths import op1_token_counts
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_secret_scan": op2_secret_scan,
+    "op3_decontamination": op3_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op5_feistel_shards": op5_feistel_shards,
+    "op7_language_id": op7_language_id,
     "op8_license_scan": op8_license_scan,
     "op10_sentencepiece": op10_sentencepiece,
 }
