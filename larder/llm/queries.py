@@ -6,6 +6,8 @@ from larder.llm.decontaminate import op3_decontamination
 from larder.llm.feistel_shards import op5_feistel_shards
 from larder.llm.language_id import op7_language_id
 from larder.llm.license_scan import op8_license_scan
+from larder.llm.near_duplicates import op9_minhash_near_dedup
+from larder.llm.repeated_bytes import op6_suffix_dedup
 from larder.llm.repetition import op4_quality_rules
 from larder.llm.secret_scan import op2_secret_scan
 from larder.llm.sentencepiece_codec import op10_sentencepiece
@@ -17,8 +19,10 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op5_feistel_shards": op5_feistel_shards,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_language_id": op7_language_id,
     "op8_license_scan": op8_license_scan,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLE_SQL: dict[str, str] = {}
