@@ -7,10 +7,13 @@ Documents are linked if the Jaccard similarity of their sets of five-word shingl
 3. Pairs are compared by their signatures, a batch of hashes at a time; a pair is dropped as soon as the
    posterior probability that its similarity reaches the threshold falls under ``MISS``.
 4. Survivors are confirmed on their full shingle sets, and confirmed links joined into components.
-5. Members of one bucket that are still in different components have not all met: those outside the bucket's
-   largest component are paired with all members of other components, and steps 3 and 4 repeat. Afterwards
-   every pair that shares a bucket was compared or is connected, so no link between candidates is lost, and
-   a group of many copies of each other never expands into its pairs.
+5. Members of one bucket that are still in different components have not all met. Shingles that only one of
+   these members has bound what it can share with any other, which settles most members alone. The rest are
+   first paired with the member of their bucket that has fewest such shingles; then those outside the bucket's
+   largest component meet the members of other components, once for each pair, and only pairs that pass this
+   bound and a first look at their signatures go on to steps 3 and 4. Afterwards
+   every pair that shares a bucket was compared, is ruled out or is connected, so no link between candidates is
+   lost, and a group of many copies of each other never expands into its pairs.
 
 Between steps tables are written to the shared folder, so that no step depends on a lost executor.
 """
@@ -19,11 +22,12 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from functools import reduce
 from math import lgamma
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,10 +40,14 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Hashes compared at a time, and the posterior probability of a link below which a pair is dropped.
 BATCH, MISS = 16, 1e-6
+#: Hashes of which one bit each is kept for the first look at a pair.
+BITS = 1024
 
 _rng = np.random.default_rng(20240229)
 FLIPS = _rng.integers(0, 2**64, HASHES, dtype=np.uint64)
 FACTORS = _rng.integers(0, 2**64, HASHES, dtype=np.uint64) | np.uint64(1)
+BIT_FLIPS = _rng.integers(0, 2**64, BITS, dtype=np.uint64)[:, None]
+BIT_FACTORS = _rng.integers(0, 2**64, BITS, dtype=np.uint64)[:, None] | np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hashes a task keeps; beyond it the table starts anew, which changes no result.
 CACHED_WORDS = 1_000_000
@@ -92,6 +100,13 @@ class Shingler:
         return h, np.bincount(who, minlength=len(texts))
 
 
+def bits_of(h: np.ndarray) -> np.ndarray:
+    """One bit of each of BITS minima over a set of shingle hashes, packed into 64-bit numbers."""
+    some = max(1, min(BITS, 500_000 // len(h)))
+    least = np.concatenate([((h ^ BIT_FLIPS[k : k + some]) * BIT_FACTORS[k : k + some]).min(1) for k in range(0, BITS, some)])
+    return np.packbits((mixed(least) & np.uint64(1)).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def signatures(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band keys (texts x BANDS) and 16 bits of each minimum (texts x HASHES) of texts with a shingle at least."""
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
@@ -121,20 +136,41 @@ def _sign():
     return work
 
 
-def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[int]:
-    """For each number of batches, the fewest equal hashes with which a pair may still reach the threshold.
+def fewest_equal(n: int, share: float, miss: float = MISS) -> int:
+    """The fewest equal hashes of n with which hashes may still be equal with probability ``share``.
 
-    With a uniform prior and m of n hashes equal the similarity has a Beta(m + 1, n - m + 1) posterior.
+    With a uniform prior and m of n hashes equal that probability has a Beta(m + 1, n - m + 1) posterior.
     """
-    grid = np.linspace(percent / 100, 1, 2001)[:-1]
-    out = []
-    for n in range(BATCH, HASHES + 1, BATCH):
-        for m in range(n + 1):
-            log = lgamma(n + 2) - lgamma(m + 1) - lgamma(n - m + 1) + m * np.log(grid) + (n - m) * np.log1p(-grid)
-            if float(np.exp(log).sum() * (grid[1] - grid[0])) >= miss:
-                break
-        out.append(m)
-    return out
+    grid = np.linspace(share, 1, 2001)[:-1]
+    for m in range(n + 1):
+        log = lgamma(n + 2) - lgamma(m + 1) - lgamma(n - m + 1) + m * np.log(grid) + (n - m) * np.log1p(-grid)
+        if float(np.exp(log).sum() * (grid[1] - grid[0])) >= miss:
+            break
+    return m
+
+
+def least_matches() -> list[int]:
+    """For each number of batches, the fewest equal hashes with which a pair may still reach the threshold."""
+    return [fewest_equal(n, PERCENT / 100) for n in range(BATCH, HASHES + 1, BATCH)]
+
+
+def look_alike(x: str, y: str) -> Column:
+    """Whether the bits of two sets agree in enough places; unequal hashes agree in every other bit."""
+    odd = [F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(BITS // 64)]
+    return reduce(lambda a, b: a + b, odd) <= BITS - fewest_equal(BITS, (1 + PERCENT / 100) / 2)
+
+
+SKETCHED = T.StructType([T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
+
+
+def _sketch():
+    shingler = Shingler()
+
+    def work(texts: list[str]) -> list[tuple]:
+        h, n = shingler.sets(texts)
+        return [(x.view(np.int64), bits_of(x)) if len(x) else ([], []) for x in np.split(h, np.cumsum(n)[:-1])]
+
+    return work
 
 
 @F.pandas_udf(T.BooleanType())
@@ -200,7 +236,7 @@ class NearDuplicates:
     def classes(self) -> DataFrame:
         """(node, key, id, n, bands, sig): one row for each distinct text, numbered as it is written."""
         signed = self.rows.select("id", "key", per_text(_sign, SIGNED, 1_000_000)(F.col("text")).alias("s")).select("id", "key", "s.*")
-        one = signed.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        one = signed.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in SIGNED.fieldNames()])
         return self.keep(one.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     def confirmed(self, pairs: DataFrame, classes: DataFrame, texts: DataFrame, name: str) -> DataFrame:
@@ -239,6 +275,48 @@ class NearDuplicates:
             if edges.isEmpty():
                 return found
 
+    @staticmethod
+    def mixed(members: DataFrame, component: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components, with their component and their bucket's largest."""
+        placed = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+        several = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket", "main")
+        return placed.join(several, "bucket")
+
+    @staticmethod
+    def hub_pairs(placed: DataFrame) -> DataFrame:
+        """Each bucket's member with the least share of shingles of its own, paired with the other members."""
+        hubs = placed.groupBy("bucket").agg(F.max_by(F.struct("node", "component", "bits"), F.struct(F.col("most") / F.col("n"), "node")).alias("hub"))
+        met = placed.join(hubs.select("bucket", F.col("hub.node").alias("h_node"), F.col("hub.component").alias("h_component"), F.col("hub.bits").alias("h_bits")), "bucket")
+        met = met.filter((F.col("component") != F.col("h_component")) & look_alike("bits", "h_bits"))
+        return met.select(F.least("node", "h_node").alias("a"), F.greatest("node", "h_node").alias("b")).distinct()
+
+    @staticmethod
+    def rest_pairs(placed: DataFrame) -> DataFrame:
+        """Members outside their bucket's largest component, paired with those of other components."""
+        columns = ("node", "component", "n", "most", "bits", "buckets")
+        stray = placed.filter("component <> main").select("bucket", *[F.col(c).alias(f"x_{c}") for c in columns])
+        other = placed.select("bucket", "main", *[F.col(c).alias(f"y_{c}") for c in columns])
+        meet = (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("main")) | (F.col("x_node") < F.col("y_node")))
+        shared = F.least("x_most", "y_most")
+        within = 100 * shared >= PERCENT * (F.col("x_n") + F.col("y_n") - shared)
+        first = F.array_intersect("x_buckets", "y_buckets")[0] == F.col("bucket")  # a pair meets in one bucket only
+        met = stray.join(other, "bucket").filter(meet & within & look_alike("x_bits", "y_bits") & first)
+        return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+
+    def open_members(self, placed: DataFrame, texts: DataFrame) -> DataFrame:
+        """Members of buckets with several components that may still have a link there.
+
+        A member of n shingles, u of which no other member has, shares at most n - u (``most``) with any of them.
+        """
+        nodes = placed.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))  # BANDS at most
+        sketches = texts.join(nodes.select("node"), "node").select("node", per_text(_sketch, SKETCHED, 1_000_000)(F.col("text")).alias("s"))
+        sketches = self.keep(sketches.select("node", "s.*"), "sketches")
+        shingles = sketches.select("node", F.explode("shingles").alias("shingle"))
+        own = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).filter("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+        known = sketches.select("node", F.size("shingles").cast("long").alias("n"), "bits").join(own, "node", "left").withColumn("most", F.col("n") - F.coalesce("u", F.lit(0)))
+        return placed.join(known.filter(100 * F.col("most") >= PERCENT * F.col("n")).drop("u").join(nodes, "node"), "node")
+
     def run(self) -> DataFrame:
         """(node, key, n, component_id) of every class."""
         classes = self.classes()
@@ -252,19 +330,15 @@ class NearDuplicates:
         links = self.confirmed(pairs, classes, texts, "leader")
         component = self.components(links)
 
-        placed = members.join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        mixed_ones = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket", "main")
-        placed = self.keep(placed.join(mixed_ones, "bucket"), "placed")
-        stray = placed.filter("component <> main").select("bucket", F.col("node").alias("x"), F.col("component").alias("c_x"))
-        other = placed.select("bucket", F.col("node").alias("y"), F.col("component").alias("c_y"), (F.col("component") == F.col("main")).alias("in_main"))
-        met = stray.join(other, "bucket").filter((F.col("c_x") != F.col("c_y")) & (F.col("in_main") | (F.col("x") < F.col("y"))))
-        more = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        more = self.keep(more, "pairs-rest")
-        if not more.isEmpty():
-            rest = self.confirmed(more, classes, texts, "rest")
-            if not rest.isEmpty():
-                component = self.components(links.union(rest))
+        unsettled = self.mixed(members, component).select("bucket", "node")
+        unsettled = self.keep(self.open_members(unsettled, texts), "open")
+        for name, more in (("hub", self.hub_pairs), ("rest", self.rest_pairs)):
+            placed = self.keep(self.mixed(unsettled, component), f"placed-{name}")
+            pairs = self.keep(more(placed).join(pairs, ["a", "b"], "left_anti"), f"pairs-{name}")
+            found = self.confirmed(pairs, classes, texts, name)
+            if not found.isEmpty():
+                links = links.union(found)
+                component = self.components(links)
 
         grouped = classes.join(component, "node", "left").select("key", "n", "id", F.coalesce("component", "node").alias("component"))
         least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
