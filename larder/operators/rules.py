@@ -231,7 +231,8 @@ def apply_rules(packages: DataFrame, rules: list[Rule], rulesets: set[str] = fro
     removed = F.col("flags").bitwiseAND(F.lit(FLAG["remove"])) != 0
     rows = rows.withColumn("warnings", F.when(removed, texts).otherwise(F.col("warnings")))
     extra = [c for c in ("effname", "flags", "flavors", "branch", "subrepo") if c not in names]
-    return rows.select(*names, *extra, "matched_rules", "warnings")
+    # Rows of one-element arrays: later filters stay above, else they would repeat the whole chain of rules.
+    return rows.select(F.inline(F.array(F.struct(*names, *extra, "matched_rules", "warnings"))))
 
 
 def without_removed(packages: DataFrame) -> DataFrame:
