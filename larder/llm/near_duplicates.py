@@ -11,7 +11,7 @@ Documents are linked if the Jaccard similarity of their sets of five-word shingl
    these members has bound what it can share with any other, which settles most members alone. The rest are
    first paired with the member of their bucket that has fewest such shingles; then those outside the bucket's
    largest component meet the members of other components, once for each pair, and only pairs that pass this
-   bound and a first look at their signatures go on to steps 3 and 4. Afterwards
+   bound and a look at longer one-bit signatures, by the same posterior, go on to step 4. Afterwards
    every pair that shares a bucket was compared, is ruled out or is connected, so no link between candidates is
    lost, and a group of many copies of each other never expands into its pairs.
 
@@ -239,16 +239,19 @@ class NearDuplicates:
         one = signed.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in SIGNED.fieldNames()])
         return self.keep(one.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    def confirmed(self, pairs: DataFrame, classes: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-        """Of distinct pairs (a, b) those that are links."""
+    def likely(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """Of distinct pairs (a, b) those whose sizes and signatures allow a link."""
         signed = classes.select("node", "n", "sig")
         for side in "ab":
             pairs = pairs.join(signed.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}")), side)
         sizes = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-        likely = self.keep(pairs.filter(sizes).filter(may_be_similar("sig_a", "sig_b")).select("a", "b"), f"likely-{name}")
+        return self.keep(pairs.filter(sizes).filter(may_be_similar("sig_a", "sig_b")).select("a", "b"), "likely")
+
+    def confirmed(self, pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+        """Of distinct pairs (a, b) those that are links."""
         for side in "ab":
-            likely = likely.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
-        return self.keep(likely.filter(are_similar("text_a", "text_b")).select("a", "b"), f"links-{name}")
+            pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
+        return self.keep(pairs.filter(are_similar("text_a", "text_b")).select("a", "b"), f"links-{name}")
 
     def components(self, links: DataFrame) -> DataFrame:
         """(node, component): the least node reachable, for nodes with a link.
@@ -327,7 +330,7 @@ class NearDuplicates:
         meeting = members.select("node").distinct().join(classes.select("node", "key", F.col("id").alias("first_id")), "node")
         found = self.rows.join(meeting, "key").filter(F.col("id").eqNullSafe(F.col("first_id")))
         texts = self.keep(found.select("node", "text").dropDuplicates(["node"]), "texts")
-        links = self.confirmed(pairs, classes, texts, "leader")
+        links = self.confirmed(self.likely(pairs, classes), texts, "leader")
         component = self.components(links)
 
         unsettled = self.mixed(members, component).select("bucket", "node")
@@ -335,7 +338,7 @@ class NearDuplicates:
         for name, more in (("hub", self.hub_pairs), ("rest", self.rest_pairs)):
             placed = self.keep(self.mixed(unsettled, component), f"placed-{name}")
             pairs = self.keep(more(placed).join(pairs, ["a", "b"], "left_anti"), f"pairs-{name}")
-            found = self.confirmed(pairs, classes, texts, name)
+            found = self.confirmed(pairs, texts, name)
             if not found.isEmpty():
                 links = links.union(found)
                 component = self.components(links)
