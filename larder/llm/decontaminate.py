@@ -1,6 +1,6 @@
 """Benchmark decontamination (operator 3): q-gram lemma filtering and banded alignment.
 
-Benchmark items are cut into overlapping segments. A text that holds a segment of m characters with at most e
+Benchmark items are cut into overlapping segments, short and long ones. A text that holds a segment of m characters with at most e
 edits shares m - q + 1 - q * e of its q-grams with it, on at most e + 1 neighbouring diagonals (place in the
 text minus place in the segment). So each text counts shared q-grams in overlapping bands of diagonals,
 keeps the bands that reach that bound, and aligns only those, within the band.
@@ -25,8 +25,10 @@ from larder.llm.common import documents
 Q = 10
 #: Edits allowed for each character of a segment.
 EDIT_RATE = 0.06
-#: Segments are this long, one begins every half; what is left at the end joins the last one.
-SEGMENT = 160
+#: Short segments find quotes of a part of an item. They have this length, or what half of a shorter item surely holds.
+SHORT, SHORT_STEP = 50, 10
+#: Long segments find edits that crowd together; one begins every half, what is left at the end joins the last one.
+LONG = 160
 #: Shorter normalised items are no evidence and are not looked for.
 SHORTEST_ITEM = 24
 #: Characters of the benchmark that one pass over the texts takes; a larger benchmark takes more passes.
@@ -70,29 +72,44 @@ def edit_budget(m: int) -> int:
     return max(0, min(int(m * EDIT_RATE), (m - Q) // Q))
 
 
+def short_pieces(n: int) -> list[tuple[int, int]]:
+    """Places of the short segments of an item of n characters; the last one ends with it."""
+    m = min(n, SHORT, max(SHORTEST_ITEM, n // 2 - SHORT_STEP + 1))
+    return [(s, s + m) for s in sorted({*range(0, n - m, SHORT_STEP), n - m})]
+
+
+def long_pieces(n: int) -> list[tuple[int, int]]:
+    """Places of the long segments, or of the whole item."""
+    starts = range(0, max(1, n - LONG + 1), LONG // 2)
+    return [(s, n if s == starts[-1] else s + LONG) for s in starts]
+
+
 class Index:
-    """q-grams of the segments of a block of items."""
+    """q-grams of a block of items, each kept once; the segments that hold one are looked up by its place."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.segments: list[tuple[int, np.ndarray]] = []
-        for item, text in items:
-            codes, _ = normalised(text.strip(" \t\n\v\f\r"))
-            if len(codes) < SHORTEST_ITEM:
-                continue
-            starts = range(0, max(1, len(codes) - SEGMENT + 1), SEGMENT // 2)
-            for s in starts:
-                self.segments.append((item, codes[s : len(codes) if s == starts[-1] else s + SEGMENT]))
-        self.size = np.array([len(c) for _, c in self.segments], np.int64)
+        texts = [(item, normalised(text.strip(" \t\n\v\f\r"))[0]) for item, text in items]
+        texts = [x for x in texts if len(x[1]) >= SHORTEST_ITEM]
+        self.codes = np.concatenate([np.zeros(0, np.uint32), *[c for _, c in texts]])
+        offset = np.cumsum([0, *[len(c) for _, c in texts]])
+        self.segments: list[tuple[int, int, int]] = []  # item, begin and end in codes
+        self.kinds: list[tuple[int, np.ndarray, np.ndarray]] = []  # first segment, begins and ends; both grow
+        for pieces in (short_pieces, long_pieces):
+            first = len(self.segments)
+            for (item, c), at in zip(texts, offset.tolist()):
+                self.segments += [(item, at + a, at + z) for a, z in pieces(len(c))]
+            self.kinds.append((first, *(np.array([x[k] for x in self.segments[first:]], np.int64) for k in (1, 2))))
+        self.begin = np.array([a for _, a, _ in self.segments], np.int64)
+        self.size = np.array([z - a for _, a, z in self.segments], np.int64)
         self.budget = np.array([edit_budget(m) for m in self.size.tolist()], np.int64)
         self.bound = self.size - Q + 1 - Q * self.budget
-        hashes = [grams(c) for _, c in self.segments]
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint32)
-        segment = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-        place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
+        hashes = [grams(c) for _, c in texts]
+        flat = np.concatenate([np.zeros(0, np.uint32), *hashes])
+        place = np.concatenate([np.zeros(0, np.int64), *[at + np.arange(len(h)) for at, h in zip(offset, hashes)]])
         order = np.argsort(flat, kind="stable")
         self.keys, first = np.unique(flat[order], return_index=True)
         self.first = np.r_[first, len(flat)]
-        self.segment, self.place = segment[order], place[order]
+        self.place = place[order]
         slot = self.keys >> np.uint32(32 - TABLE_BITS)
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[slot] = True
@@ -100,6 +117,18 @@ class Index:
         self.most_in_slot = int(np.bincount(slot).max()) if len(slot) else 0
         self.keys = np.append(self.keys, np.uint32(2**32 - 1))
 
+    def _votes(self, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Segments and diagonals of grams at places of the text and of the benchmark."""
+        segments, diagonals = [], []
+        for first, begins, ends in self.kinds:
+            lowest = np.searchsorted(ends, place + Q)
+            n = np.maximum(np.searchsorted(begins, place, "right") - lowest, 0)
+            upto = np.cumsum(n)
+            segment = first + np.arange(upto[-1]) + np.repeat(lowest - upto + n, n)
+            segments.append(segment)
+            diagonals.append(np.repeat(at - place, n) + self.begin[segment])
+        return np.concatenate(segments), np.concatenate(diagonals)
+
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) in the text; the segments of an item that touch are one finding."""
         codes, origin = normalised(text)
@@ -118,33 +147,40 @@ class Index:
         n = self.first[k + 1] - self.first[k]
         ends = np.cumsum(n)
         entry = np.arange(ends[-1]) + np.repeat(self.first[k] - ends + n, n)
-        segment, place = self.segment[entry], self.place[entry]
-        diagonal = np.repeat(at, n) - place
+        segment, diagonal = self._votes(np.repeat(at, n), self.place[entry])
+        if not len(segment):
+            return []
         # Bands of two steps that begin every step: any budget + 1 neighbouring diagonals lie within one.
         band = diagonal // (self.budget[segment] + 1)
         low = int(band.min())
         wide = int(band.max()) - low + 2
-        keys, count = np.unique(segment * wide + (band - low), return_counts=True)
+        of = segment * wide + (band - low)
+        order = np.argsort(of, kind="stable")
+        diagonal = diagonal[order]
+        keys, begin, count = np.unique(of[order], return_index=True, return_counts=True)
         next_too = np.append((keys[1:] == keys[:-1] + 1) * count[1:], 0)
+        both = count + next_too
         found: list[tuple[int, int, int, int]] = []
         done: dict[int, int] = {}  # segment: the last band that held a match
-        for key in keys[count + next_too >= self.bound[keys // wide]].tolist():
-            s, b = key // wide, key % wide + low
+        for j in np.flatnonzero(both >= self.bound[keys // wide]).tolist():
+            s, b = int(keys[j]) // wide, int(keys[j]) % wide + low
             if done.get(s) == b - 1:
                 continue  # the overlap of two bands
             w = int(self.budget[s]) + 1
-            inside = diagonal[(segment == s) & (diagonal >= b * w) & (diagonal < (b + 2) * w)]
-            hit = self._exact(codes, s, inside) or self._align(codes, s, b * w, (b + 2) * w - 1)
+            hit = self._exact(codes, s, diagonal[begin[j] : begin[j] + both[j]]) or self._align(codes, s, b * w, (b + 2) * w - 1)
             if hit:
                 done[s] = b
                 a, z = (hit[0], hit[1]) if origin is None else (int(origin[hit[0]]), int(origin[hit[1] - 1]) + 1)
                 found.append((self.segments[s][0], a, z, hit[2]))
         return self._joined(found)
 
+    def _pattern(self, s: int) -> np.ndarray:
+        return self.codes[self.segments[s][1] : self.segments[s][2]]
+
     def _exact(self, codes: np.ndarray, s: int, diagonals: np.ndarray) -> tuple[int, int, int] | None:
         """The segment without edits on the diagonal that has most votes."""
         values, votes = np.unique(diagonals, return_counts=True)
-        at, pattern = int(values[np.argmax(votes)]), self.segments[s][1]
+        at, pattern = int(values[np.argmax(votes)]), self._pattern(s)
         if at >= 0 and np.array_equal(codes[at : at + len(pattern)], pattern):
             return at, at + len(pattern), 0
         return None
@@ -155,7 +191,7 @@ class Index:
         Row i of the table has, for each diagonal, the edits for the first i characters of the segment; the
         text before and after the match is free.
         """
-        pattern, e = self.segments[s][1], int(self.budget[s])
+        pattern, e = self._pattern(s), int(self.budget[s])
         low, high = low - e, high + e
         diagonals = np.arange(low, high + 1)
         n, far, wide = len(codes), 10**6, high - low + 1

@@ -261,6 +261,22 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.find(table, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [81, 118, 160, 233, 394])
+@pytest.mark.parametrize("share", [50, 80, 90])
+def test_partial_quotes(size, share):
+    rng = random.Random(size)
+    item = "".join(rng.choice("klmnopqrstuvw ") for _ in range(2 * size)).strip()
+    item = re.sub(" +", " ", item)[: size - 1] + "k"
+    index = decontaminate.Index([(7, item)])
+    n = -(-size * share // 100)
+    for start in {*range(0, size - n + 1, 5), size - n}:
+        text = "abc " + item[start : start + n] + " def"
+        assert {i for i, *_ in index.find(text)} == {7}
+    assert not index.find("abc " + item[:20] + " def")
+    crowded = item[:70] + "XXXX" + item[74:]
+    assert {i for i, *_ in index.find(crowded)} == {7}
+
+
 def test_sentencepiece(spark, docs, empty):
     import sentencepiece
 
