@@ -60,34 +60,52 @@ def has_related(projects: DataFrame, relations: DataFrame) -> DataFrame:
     return projects.select("effname").distinct().join(linked, "effname", "left").select("effname", F.col("linked").isNotNull().alias("has_related"))
 
 
-def related(seeds: DataFrame, relations: DataFrame, most: int = 50, rounds: int = 8) -> DataFrame:
+def related(seeds: DataFrame, relations: DataFrame, most: int = 50) -> DataFrame:
     """(seed, effname, score) of projects related to each seed project through shared links.
 
     Each round every known project passes its rank, over the number of known projects, to its links by weight,
     and each link on to the projects that it came not from; a project keeps its best rank, a seed its ``most``
-    best projects. A seed whose total rank did not grow stays as it is; ``rounds`` bounds the iteration. All
+    best projects. A seed whose total rank did not grow stays as it is; the rounds end when none grows. All
     seeds run together, each round is written to the checkpoint folder.
+
+    Projects with the same links get the same rank, so links pass it to kinds of projects, named after their
+    first one. Of 2 * most best kinds at least ``most`` hold no known project, and of the first 2 * most projects
+    of a kind at least ``most`` are not known: no other project can be among the best.
     """
-    ranks = seeds.select(F.col("effname").alias("seed"), "effname").distinct().withColumn("rank", F.lit(1.0)).withColumn("grows", F.lit(True))
+    ranks = seeds.select(F.col("effname").alias("seed"), "effname").distinct().withColumns({"rank": F.lit(1.0), "total": F.lit(1.0), "grows": F.lit(True)})
     degree = relations.groupBy("effname").agg(F.count(F.lit(1)).alias("links"))
     width = relations.groupBy("urlhash").agg(F.count(F.lit(1)).alias("projects"))
-    edges = relations.join(degree, "effname").join(width, "urlhash").select("effname", "urlhash", "weight", "links", "projects")
-    for _ in range(rounds):
+    edges = relations.join(degree, "effname").join(width, "urlhash").select("effname", "urlhash", "weight", "links", "projects").persist()
+    linked = relations.groupBy("effname").agg(F.array_sort(F.collect_list("urlhash")).alias("all"))
+    kinds = linked.groupBy("all").agg(F.min("effname").alias("kind"))
+    first = F.row_number().over(Window.partitionBy("all").orderBy("effname"))
+    members = linked.withColumn("n", first).filter(F.col("n") <= 2 * most).join(kinds, "all").select("kind", "effname").persist()
+    ways = kinds.select("kind", F.explode("all").alias("urlhash")).persist()
+    # Sums of the same parts in another order count as equal.
+    by_rank = lambda name: F.row_number().over(Window.partitionBy("seed").orderBy(F.round(F.log2("rank"), 9).desc(), name))
+    # Added from the largest on, as the reference reads its sorted table; what is too small to change the sum is no growth.
+    total = F.aggregate(F.reverse(F.array_sort(F.collect_list("rank"))), F.lit(0.0), lambda x, y: x + y)
+    while True:
         active = ranks.filter("grows")
         if active.isEmpty():
             break
         sized = active.join(active.groupBy("seed").agg(F.count(F.lit(1)).alias("known")), "seed")
         out = sized.join(edges, "effname").withColumn("part", F.col("rank") / F.col("known") / F.col("links") * F.col("weight"))
         passed = out.groupBy("seed", "urlhash").agg(F.sum("part").alias("part"), F.count(F.lit(1)).alias("incoming"), F.first("projects").alias("projects"))
-        passed = passed.filter("projects > incoming").withColumn("part", F.col("part") / (F.col("projects") - F.col("incoming")))
-        came = passed.join(relations.select("urlhash", "effname"), "urlhash").groupBy("seed", "effname").agg(F.sum("part").alias("new_rank"))
-        both = active.join(came, ["seed", "effname"], "full_outer").select("seed", "effname", F.greatest("rank", "new_rank").alias("rank"))
-        best = F.row_number().over(Window.partitionBy("seed").orderBy(F.col("rank").desc(), "effname"))
-        kept = both.withColumn("n", best).filter(F.col("n") <= most).drop("n")
-        before = active.groupBy("seed").agg(F.sum("rank").alias("before"))
-        after = kept.groupBy("seed").agg(F.sum("rank").alias("after"))
-        growth = before.join(after, "seed").select("seed", (F.col("after") > F.col("before")).alias("grows"))
-        ranks = ranks.filter("not grows").unionByName(kept.join(growth, "seed").select("seed", "effname", "rank", "grows")).checkpoint()
+        passed = passed.filter("projects > incoming").select("seed", "urlhash", (F.col("part") / (F.col("projects") - F.col("incoming"))).alias("part")).persist()
+        again = active.select("seed", "effname").join(edges.select("effname", "urlhash"), "effname").join(passed, ["seed", "urlhash"]).groupBy("seed", "effname").agg(F.sum("part").alias("rank"))
+        came = passed.join(ways, "urlhash").groupBy("seed", "kind").agg(F.sum("part").alias("rank"))
+        came = came.withColumn("n", by_rank("kind")).filter(F.col("n") <= 2 * most).join(members, "kind").select("seed", "effname", "rank")
+        both = active.select("seed", "effname", "rank").unionByName(again).unionByName(came).groupBy("seed", "effname").agg(F.max("rank").alias("rank"))
+        kept = both.withColumn("n", by_rank("effname")).filter(F.col("n") <= most).drop("n")
+        before = active.groupBy("seed").agg(F.first("total").alias("before"))
+        growth = kept.groupBy("seed").agg(total.alias("total")).join(before, "seed").select("seed", "total", (F.col("total") > F.col("before")).alias("grows"))
+        step = ranks.filter("not grows").unionByName(kept.join(growth, "seed").select("seed", "effname", "rank", "total", "grows")).persist()
+        ranks = step.checkpoint()
+        step.unpersist()
+        passed.unpersist()
+    for x in (edges, members, ways):
+        x.unpersist()
     return ranks.select("seed", "effname", F.greatest(F.lit(0.0), 100 + 10 * F.log10("rank")).alias("score"))
 
 

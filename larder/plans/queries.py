@@ -551,9 +551,9 @@ def has_related(spark, sf_dir):
 
 @query()
 def related_rank(spark, sf_dir):
-    """Projects related to the first ones; iterative, so without a twin."""
+    """Projects related to every fiftieth one; iterative, so without a twin."""
     relations = links.url_relations(_page_links(spark, sf_dir)).persist()
-    seeds = relations.select("effname").distinct().filter("effname in ('g1', 'g2', 'g3')")
+    seeds = table(spark, sf_dir, "pages").filter("page_id % 50 = 0").select(F.concat(F.lit("g"), F.col("page_id").cast("string")).alias("effname"))
     out = links.related(seeds, relations, most=20)
     return out.withColumn("score", F.round("score", 3))
 
