@@ -29,13 +29,14 @@ EDIT_RATE = 0.06
 SHORT, SHORT_STEP = 50, 10
 #: Long segments find edits that crowd together; one begins every half, what is left at the end joins the last one.
 LONG = 160
-#: Shorter normalised items are no evidence and are not looked for.
+#: Shorter normalised items are looked for on whole words and without edits only.
 SHORTEST_ITEM = 24
 #: Characters of the benchmark that one pass over the texts takes; a larger benchmark takes more passes.
 BLOCK_CHARS = 8_000_000
 #: Leading bits of a hash that lead to its place among the sorted keys.
 TABLE_BITS = 20
 _STEP = 0x9E3779B1
+WORD = re.compile(r"\w+|[^\w ]")
 
 
 def normalised(text: str) -> tuple[np.ndarray, np.ndarray | None]:
@@ -67,6 +68,12 @@ def grams(codes: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77)
 
 
+def words(codes: np.ndarray) -> list[tuple[str, int, int]]:
+    """Words and single signs of normalised text with their places."""
+    text = codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return [(m[0], m.start(), m.end()) for m in WORD.finditer(text)]
+
+
 def edit_budget(m: int) -> int:
     """Most edits that the filter can promise to find in a segment of m characters."""
     return max(0, min(int(m * EDIT_RATE), (m - Q) // Q))
@@ -87,8 +94,13 @@ def long_pieces(n: int) -> list[tuple[int, int]]:
 class Index:
     """q-grams of a block of items, each kept once; the segments that hold one are looked up by its place."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         texts = [(item, normalised(text.strip(" \t\n\v\f\r"))[0]) for item, text in items]
+        self.brief: dict[tuple[str, ...], list[tuple[int | None, np.ndarray]]] = {}  # words of items that are too short for segments
+        for item, codes in texts:
+            if len(codes) < SHORTEST_ITEM and (inside := words(codes)):
+                self.brief.setdefault(tuple(w for w, _, _ in inside), []).append((item, codes[inside[0][1] : inside[-1][2]]))
+        self.brief_sizes = sorted({len(k) for k in self.brief})
         texts = [x for x in texts if len(x[1]) >= SHORTEST_ITEM]
         self.codes = np.concatenate([np.zeros(0, np.uint32), *[c for _, c in texts]])
         offset = np.cumsum([0, *[len(c) for _, c in texts]])
@@ -132,6 +144,24 @@ class Index:
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) in the text; the segments of an item that touch are one finding."""
         codes, origin = normalised(text)
+        found = self._brief(codes) + self._segments(codes)
+        if origin is not None:
+            found = [(item, int(origin[a]), int(origin[z - 1]) + 1, edits) for item, a, z, edits in found]
+        return self._joined(found)
+
+    def _brief(self, codes: np.ndarray) -> list[tuple[int | None, int, int, int]]:
+        if not self.brief:
+            return []
+        found, inside = [], words(codes)
+        for n in self.brief_sizes:
+            for k in range(len(inside) - n + 1):
+                for item, item_codes in self.brief.get(tuple(w for w, _, _ in inside[k : k + n]), ()):
+                    a, z = inside[k][1], inside[k + n - 1][2]
+                    if np.array_equal(codes[a:z], item_codes):
+                        found.append((item, a, z, 0))
+        return found
+
+    def _segments(self, codes: np.ndarray) -> list[tuple[int | None, int, int, int]]:
         hashes = grams(codes)
         slot = hashes >> np.uint32(32 - TABLE_BITS)
         at = np.flatnonzero(self.table[slot])
@@ -170,9 +200,8 @@ class Index:
             hit = self._exact(codes, s, diagonal[begin[j] : begin[j] + both[j]]) or self._align(codes, s, b * w, (b + 2) * w - 1)
             if hit:
                 done[s] = b
-                a, z = (hit[0], hit[1]) if origin is None else (int(origin[hit[0]]), int(origin[hit[1] - 1]) + 1)
-                found.append((self.segments[s][0], a, z, hit[2]))
-        return self._joined(found)
+                found.append((self.segments[s][0], *hit))
+        return found
 
     def _pattern(self, s: int) -> np.ndarray:
         return self.codes[self.segments[s][1] : self.segments[s][2]]
@@ -226,7 +255,7 @@ class Index:
     @staticmethod
     def _joined(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
         out: list[tuple[int, int, int, int]] = []
-        for item, a, b, edits in sorted(set(found)):
+        for item, a, b, edits in sorted(set(found), key=lambda x: (x[0] is not None, x[0] or 0, *x[1:])):
             if out and out[-1][0] == item and a < out[-1][2]:
                 out[-1] = (item, out[-1][1], max(b, out[-1][2]), max(edits, out[-1][3]))
             else:
@@ -240,8 +269,11 @@ FOUND = T.ArrayType(
 
 
 def blocks(bench: DataFrame, item_col: str = "item_id", text_col: str = "text", most_chars: int = BLOCK_CHARS) -> Iterator[Index]:
-    """Indexes of the benchmark, each of checked size. Items without id or text are left out, equal ones kept once."""
-    items = bench.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("i is not null and t is not null").distinct()
+    """Indexes of the benchmark, each of checked size. Items without text are left out, equal ones kept once.
+    A text without id is reported with a null, unless the same text has an id."""
+    items = bench.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("t is not null").distinct()
+    named = items.filter("i is not null")
+    items = named.unionByName(items.filter("i is null").join(named.select("t"), "t", "left_anti").select("i", "t"))
     size = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first()["n"]
     n = int(size // most_chars) + 1
     for k in range(n):

@@ -277,6 +277,15 @@ def test_partial_quotes(size, share):
     assert {i for i, *_ in index.find(crowded)} == {7}
 
 
+def test_items_without_id_and_short_items(spark):
+    item = "klm nopq rstu vwkl mnop qrst uvwk lmno pqrs tuvw"
+    bench = spark.createDataFrame([(None, item), (4, "Red  kite!"), (5, "ki"), (6, "")], "item_id long, text string")
+    table = spark.createDataFrame([(1, f"a {item} b"), (2, "the red\nkite! flew"), (3, "red kites! flew"), (4, "kite"), (5, None)], "doc_id long, text string")
+    found = [tuple(r) for r in decontaminate.find(table, bench).collect()]
+    assert sorted(found, key=lambda r: r[0]) == [(1, None, 2, 2 + len(item), 0), (2, 4, 4, 13, 0)]
+    assert {r["doc_id"] for r in decontaminate.clean(table, bench).collect()} == {3, 4, 5}
+
+
 def test_sentencepiece(spark, docs, empty):
     import sentencepiece
 
