@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,10 +34,13 @@ LONG = 160
 SHORTEST_ITEM = 24
 #: Characters of the benchmark that one pass over the texts takes; a larger benchmark takes more passes.
 BLOCK_CHARS = 8_000_000
+#: Places shared with the benchmark that are looked at together; texts with more are shortened and searched in parts.
+MOST_SHARED = 1_000_000
+#: Longest period of a stretch that is shortened.
+PERIOD = 64
 #: Leading bits of a hash that lead to its place among the sorted keys.
 TABLE_BITS = 20
 _STEP = 0x9E3779B1
-WORD = re.compile(r"\w+|[^\w ]")
 
 
 def normalised(text: str) -> tuple[np.ndarray, np.ndarray | None]:
@@ -68,10 +72,38 @@ def grams(codes: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77)
 
 
-def words(codes: np.ndarray) -> list[tuple[str, int, int]]:
-    """Words and single signs of normalised text with their places."""
-    text = codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-    return [(m[0], m.start(), m.end()) for m in WORD.finditer(text)]
+def unrolled(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text whose periodic stretches are cut down to ``most`` characters and a few, and the places that are left.
+
+    A stretch that repeats every p characters, p up to ``PERIOD``, loses whole periods out of its middle. All its
+    strings of up to half of ``most`` characters are still there, as are those that reach over its ends.
+    """
+    left = np.arange(len(codes))
+    for p in range(1, PERIOD + 1):
+        if len(codes) <= most + 2 * p:
+            break
+        same = np.r_[False, codes[p:] == codes[:-p], False].astype(np.int8)
+        border = np.diff(same)
+        begin, end = np.flatnonzero(border == 1), np.flatnonzero(border == -1) + p  # the stretch is begin..end
+        long = end - begin > most + 2 * p
+        if not long.any():
+            continue
+        keep = np.ones(len(codes), bool)
+        for a, z in zip(begin[long].tolist(), end[long].tolist()):
+            whole = (z - a - most) // p * p
+            middle = a + most // 2
+            keep[middle : middle + whole] = False
+        codes, left = codes[keep], left[keep]
+    return codes, left
+
+
+def as_text(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def joins(two: str) -> bool:
+    """Whether two neighbouring characters belong to one word."""
+    return len(two) == 2 and all(c == "_" or c.isalnum() for c in two)
 
 
 def edit_budget(m: int) -> int:
@@ -96,11 +128,14 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str]]):
         texts = [(item, normalised(text.strip(" \t\n\v\f\r"))[0]) for item, text in items]
-        self.brief: dict[tuple[str, ...], list[tuple[int | None, np.ndarray]]] = {}  # words of items that are too short for segments
+        brief: dict[str, list[int | None]] = {}  # items that are too short for segments
         for item, codes in texts:
-            if len(codes) < SHORTEST_ITEM and (inside := words(codes)):
-                self.brief.setdefault(tuple(w for w, _, _ in inside), []).append((item, codes[inside[0][1] : inside[-1][2]]))
-        self.brief_sizes = sorted({len(k) for k in self.brief})
+            if len(codes) < SHORTEST_ITEM and (short := as_text(codes).strip(" ")):
+                brief.setdefault(short, []).append(item)
+        self.brief = ahocorasick.Automaton()
+        for short, ids in brief.items():
+            self.brief.add_word(short, (len(short), ids))
+        self.brief.make_automaton()
         texts = [x for x in texts if len(x[1]) >= SHORTEST_ITEM]
         self.codes = np.concatenate([np.zeros(0, np.uint32), *[c for _, c in texts]])
         offset = np.cumsum([0, *[len(c) for _, c in texts]])
@@ -109,7 +144,11 @@ class Index:
         for pieces in (short_pieces, long_pieces):
             first = len(self.segments)
             for (item, c), at in zip(texts, offset.tolist()):
-                self.segments += [(item, at + a, at + z) for a, z in pieces(len(c))]
+                told = set()  # of equal segments of an item one is enough
+                for a, z in pieces(len(c)):
+                    if (content := c[a:z].tobytes()) not in told:
+                        told.add(content)
+                        self.segments.append((item, at + a, at + z))
             self.kinds.append((first, *(np.array([x[k] for x in self.segments[first:]], np.int64) for k in (1, 2))))
         self.begin = np.array([a for _, a, _ in self.segments], np.int64)
         self.size = np.array([z - a for _, a, z in self.segments], np.int64)
@@ -118,6 +157,11 @@ class Index:
         hashes = [grams(c) for _, c in texts]
         flat = np.concatenate([np.zeros(0, np.uint32), *hashes])
         place = np.concatenate([np.zeros(0, np.int64), *[at + np.arange(len(h)) for at, h in zip(offset, hashes)]])
+        used = np.zeros(len(flat), bool)
+        for _, begins, ends in self.kinds:
+            used |= np.searchsorted(ends, place + Q) < np.searchsorted(begins, place, "right")
+        flat, place = flat[used], place[used]
+        self.longest = int((self.size + self.budget).max()) if self.segments else 0
         order = np.argsort(flat, kind="stable")
         self.keys, first = np.unique(flat[order], return_index=True)
         self.first = np.r_[first, len(flat)]
@@ -149,32 +193,52 @@ class Index:
             found = [(item, int(origin[a]), int(origin[z - 1]) + 1, edits) for item, a, z, edits in found]
         return self._joined(found)
 
+    def _segments(self, codes: np.ndarray) -> list[tuple[int | None, int, int, int]]:
+        """Findings of segments. If shared grams are many for the length of the text, what repeats in it is shortened
+        first: that loses no string of a segment's length. Then it is searched in parts that overlap by more than a segment."""
+        if not self.segments:
+            return []
+        hits = self._shared(codes)
+        if hits[2].sum() <= MOST_SHARED:
+            return self._votes_of(codes, *hits)
+        short, origin = unrolled(codes, 2 * self.longest)
+        if len(short) < len(codes):
+            found = self._joined(self._segments(short))
+            return [(item, int(origin[a]), int(origin[z - 1]) + 1, edits) for item, a, z, edits in found]
+        overlap = 2 * self.longest
+        half = len(codes) // 2
+        if half <= 2 * overlap:
+            return self._votes_of(codes, *hits)
+        # A finding at the border of a part may lack its rest; the other part has it whole.
+        left = [f for f in self._segments(codes[: half + overlap]) if f[2] < half + overlap]
+        right = [(item, a + half, z + half, edits) for item, a, z, edits in self._segments(codes[half:]) if a > 0]
+        return left + right
+
     def _brief(self, codes: np.ndarray) -> list[tuple[int | None, int, int, int]]:
-        if not self.brief:
+        if not len(self.brief):
             return []
-        found, inside = [], words(codes)
-        for n in self.brief_sizes:
-            for k in range(len(inside) - n + 1):
-                for item, item_codes in self.brief.get(tuple(w for w, _, _ in inside[k : k + n]), ()):
-                    a, z = inside[k][1], inside[k + n - 1][2]
-                    if np.array_equal(codes[a:z], item_codes):
-                        found.append((item, a, z, 0))
+        text, found = as_text(codes), []
+        for last, (n, ids) in self.brief.iter(text):
+            a, z = last - n + 1, last + 1
+            if not (joins(text[a - 1 : a + 1]) if a else False) and not joins(text[z - 1 : z + 1]):
+                found += [(item, a, z, 0) for item in ids]
         return found
 
-    def _segments(self, codes: np.ndarray) -> list[tuple[int | None, int, int, int]]:
+    def _shared(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of grams that the benchmark has too, their number among the keys, and how many places each has there."""
         hashes = grams(codes)
         slot = hashes >> np.uint32(32 - TABLE_BITS)
         at = np.flatnonzero(self.table[slot])
-        if not len(at):
-            return []
         wanted, k = hashes[at], self.lowest[slot[at]]
         for _ in range(self.most_in_slot - 1):
             k = k + (self.keys[k] < wanted)
         same = (self.keys[k] == wanted) & (k < len(self.keys) - 1)
         at, k = at[same], k[same]
+        return at, k, self.first[k + 1] - self.first[k]
+
+    def _votes_of(self, codes: np.ndarray, at: np.ndarray, k: np.ndarray, n: np.ndarray) -> list[tuple[int | None, int, int, int]]:
         if not len(at):
             return []
-        n = self.first[k + 1] - self.first[k]
         ends = np.cumsum(n)
         entry = np.arange(ends[-1]) + np.repeat(self.first[k] - ends + n, n)
         segment, diagonal = self._votes(np.repeat(at, n), self.place[entry])
