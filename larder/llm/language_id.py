@@ -28,9 +28,12 @@ UNDETERMINED = "und"
 class Settings:
     orders: tuple[int, ...] = (1, 2, 3)
     bits: int = 15
-    #: Bound on the labelled texts of one language that are learned from, and on the characters of all together.
+    #: Bounds of the sample that is learned from: labelled texts of one language, characters taken of one text,
+    #: characters of all together, and languages (the most frequent ones; no other is ever predicted).
     sample: int = 600
+    text_chars: int = 40_000
     sample_chars: int = 12_000_000
+    languages: int = 500
     epochs: int = 4
     alpha: float = 0.5
     beta: float = 1.0
@@ -106,13 +109,18 @@ def remainder(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def document_frequencies(texts: DataFrame, text_col: str, settings: Settings) -> tuple[np.ndarray, int]:
-    """In how many texts each bucket occurs, and the number of texts. What travels is a row per task and bucket."""
+def document_frequencies(texts: DataFrame, text_col: str, lang_col: str, settings: Settings) -> tuple[np.ndarray, int, dict[str, int]]:
+    """In how many texts each bucket occurs, the number of texts, and that of the most frequent languages.
+
+    One pass; what travels is a row per task and bucket or language.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(settings.buckets, np.int64)
-        n = 0
+        langs: dict[str, int] = {}
         for batch in batches:
+            for lang, n in batch[lang_col].value_counts().items():
+                langs[lang] = langs.get(lang, 0) + n
             for chunk in in_chunks(batch[text_col].tolist(), 1_000_000):
                 bucket, owner = features(chunk, settings)
                 for first in range(0, len(chunk), 512):  # a block of texts at a time bounds the table
@@ -120,26 +128,40 @@ def document_frequencies(texts: DataFrame, text_col: str, settings: Settings) ->
                     seen = np.zeros((512, settings.buckets), bool)
                     seen[owner[mine] - first, bucket[mine]] = True
                     total += seen.sum(0)
-                n += len(chunk)
-        yield pd.DataFrame({"bucket": np.r_[-1, np.arange(settings.buckets)], "n": np.r_[n, total]})
+        names = list(langs)
+        yield pd.DataFrame({"bucket": [*range(settings.buckets), *[-1] * len(names)], "lang": [None] * settings.buckets + names, "n": [*total.tolist(), *[langs[x] for x in names]]})
 
-    rows = texts.select(text_col).mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    counts = texts.select(text_col, lang_col).mapInPandas(count, "bucket int, lang string, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n"))
+    rows = counts.filter("bucket < 0")
+    most = rows.orderBy(F.desc("n"), "lang").limit(settings.languages)
+    kept = counts.filter("bucket >= 0").unionByName(most).unionByName(rows.agg(F.lit(-2).alias("bucket"), F.lit("").alias("lang"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
     df = np.zeros(settings.buckets, np.int64)
-    n = 0
-    for r in rows:
-        if r["bucket"] < 0:
-            n = r["n"]
-        else:
+    n, langs = 0, {}
+    for r in kept.collect():  # as many rows as buckets and languages
+        if r["bucket"] >= 0:
             df[r["bucket"]] = r["n"]
-    return df, n
+        elif r["bucket"] == -1:
+            langs[r["lang"]] = r["n"]
+        else:
+            n = r["n"]
+    return df, n, langs
+
+
+def split(samples: list[tuple[str, str]], settings: Settings) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """Texts to learn from and texts for the temperature: of each language one in ``calibration``, never the first."""
+    seen: dict[str, int] = {}
+    parts: tuple[list, list] = ([], [])
+    for text, lang in samples:
+        seen[lang] = seen.get(lang, 0) + 1
+        parts[seen[lang] % settings.calibration == 0].append((text, lang))
+    return parts
 
 
 def train(samples: list[tuple[str, str]], idf: np.ndarray, settings: Settings) -> Model:
     """Follow the regularised leader, one text at a time, in the given order; deterministic."""
     languages = sorted({lang for _, lang in samples})
     c = len(languages)
-    fit = [s for k, s in enumerate(samples) if k % settings.calibration] or samples
-    held = [s for k, s in enumerate(samples) if not k % settings.calibration]
+    fit, held = split(samples, settings)
     z = np.zeros((settings.buckets + 1, c))
     n = np.zeros((settings.buckets + 1, c))
 
@@ -192,24 +214,53 @@ def calibrate(logits: np.ndarray, truth: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+#: Digests of rows are numbers of so many bits.
+ORDER_BITS = 60
+
+
+def chosen(candidates: list[tuple[str, int, int]], settings: Settings) -> list[int]:
+    """Digests of the texts of one language to learn from: the first by digest, without those whose characters no longer fit."""
+    languages = len({lang for lang, _, _ in candidates})
+    out, used, left = [], {}, {}
+    for lang, order, size in sorted(candidates):
+        size = min(size, settings.text_chars)
+        budget = left.setdefault(lang, max(settings.sample_chars // languages, settings.text_chars))
+        if used.get(lang, 0) < settings.sample and size <= budget:
+            used[lang] = used.get(lang, 0) + 1
+            left[lang] = budget - size
+            out.append(order)
+    return out
+
+
+def sample(rows: DataFrame, langs: dict[str, int], settings: Settings) -> list[tuple[str, str]]:
+    """(text, lang) to learn from, in the order of a digest of the row.
+
+    Rows under a threshold of the digest, which follows from the count of their language, are looked at by
+    digest and length alone; then only the chosen texts, cut to ``text_chars``, come to the driver. So what it
+    receives is bounded by the settings, whatever the input.
+    """
+    if not langs:
+        return []
+    spark = rows.sparkSession
+    # Half as many again as wanted, and some more: fewer than wanted is as good as out of the question.
+    share = [(x, int(min(1.0, (1.5 * settings.sample + 50) / n) * 2**ORDER_BITS)) for x, n in langs.items()]
+    marks = F.broadcast(spark.createDataFrame(share, "_lang string, _most long"))
+    order = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("")), "_text"), 64 - ORDER_BITS)
+    low = rows.withColumn("_order", order).join(marks, "_lang").filter(F.col("_order") < F.col("_most"))
+    narrow = low.groupBy("_lang", "_order").agg(F.max(F.length("_text")).alias("n"))
+    picked = chosen([(r["_lang"], r["_order"], r["n"]) for r in narrow.collect()], settings)
+    wanted = F.broadcast(spark.createDataFrame([(x,) for x in picked], "_order long"))
+    texts = low.join(wanted, "_order").select("_lang", "_order", F.substring("_text", 1, settings.text_chars).alias("_text"))
+    found = texts.groupBy("_order", "_lang").agg(F.min("_text").alias("_text")).collect()
+    return [(r["_text"], r["_lang"]) for r in sorted(found, key=lambda r: (r["_order"], r["_lang"]))]
+
+
 def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the rows that are not held out and have text and language."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter((remainder(F.col("_id")) != 0) & F.col("_text").isNotNull() & F.col("_lang").isNotNull())
-    df, n = document_frequencies(rows, "_text", settings)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang")).filter((remainder(F.col("_id")) != 0) & F.col("_text").isNotNull() & F.col("_lang").isNotNull())
+    df, n, langs = document_frequencies(rows, "_text", "_lang", settings)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
-    languages = [r["_lang"] for r in rows.select("_lang").distinct().orderBy("_lang").collect()]
-    samples: list[tuple[str, str, str]] = []
-    for lang in languages:
-        order = F.md5(F.concat_ws(":", F.coalesce(F.col("_id").cast("string"), F.lit("")), F.length("_text")).cast("binary"))
-        budget = settings.sample_chars // len(languages)
-        picked = rows.filter(F.col("_lang") == lang).select(order.alias("_order"), "_text").orderBy("_order", "_text").limit(settings.sample).collect()
-        for r in picked:
-            budget -= len(r["_text"])
-            if budget < 0 and samples and samples[-1][2] == lang:
-                break
-            samples.append((r["_order"], r["_text"], lang))
-    samples.sort()
-    return train([(t, lang) for _, t, lang in samples], idf, settings)
+    return train(sample(rows, langs, settings), idf, settings)
 
 
 PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -240,7 +291,9 @@ def identify(docs: DataFrame, model: Model | None = None, settings: Settings = S
     """(id, held_out, lang_pred, score) of every row.
 
     A text that is null or has no letter is ``und`` with score 0, and so is every text if nothing can be
-    learned. Null ids count as empty text when rows are held out; repeated rows repeat.
+    learned. Ties go to the first language by name. Null ids count as empty text when rows are held out;
+    repeated rows repeat. Very long texts are scored whole; memory follows the longest. Columns beside id, text
+    and language are not read, whatever their names. An empty table gives no rows.
     """
     model = model or fit(docs, settings, id_col, text_col, lang_col)
     out = docs.select(F.col(id_col), (remainder(F.col(id_col)) == 0).alias("held_out"), predicted(model, F.col(text_col), docs.sparkSession).alias("r"))
@@ -248,11 +301,16 @@ def identify(docs: DataFrame, model: Model | None = None, settings: Settings = S
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.5, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is determined with at least this score."""
+    """The rows of ``docs``, with all their columns, whose language is determined with at least this score.
+
+    Null, empty and letterless texts go, and all rows of a table from which nothing can be learned. Columns of
+    any name pass through.
+    """
     r = predicted(fit(docs, settings, id_col, text_col, lang_col), F.col(text_col), docs.sparkSession)
-    kept = docs.withColumn("_language", r)
-    return kept.filter((F.col("_language.lang_pred") != UNDETERMINED) & (F.col("_language.score") >= least_score)).drop("_language")
+    kept = docs.select(F.struct(*docs.columns).alias("row"), r.alias("language"))
+    return kept.filter((F.col("language.lang_pred") != UNDETERMINED) & (F.col("language.score") >= least_score)).select("row.*")
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
+    """The language of every whole text of documents."""
     return identify(documents(spark, sf_dir))
