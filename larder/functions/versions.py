@@ -1,8 +1,11 @@
 """Version order as a sortable column.
 
-A version is cut into numbers and words; each becomes a struct of rank, length and text. Keys are filled up to
-one length with zero components, so that Spark's own array comparison orders them: sorts, windows, ``max_by``,
-range joins and equality all work on the key without a UDF.
+A version is cut into numbers and words. Each component other than zero becomes one unit of the key: its sign
+(words for pre-releases sort below zero, all else above), how many zeros stand before it, then rank, length and
+text. Of two versions that agree so far, one with fewer zeros before a component above zero is greater, and one
+with fewer zeros before a component below zero is less; the end counts as zeros for ever. So keys need no
+filling up, whatever the number of components, and Spark's own array comparison orders them: sorts, windows,
+``max_by``, range joins and equality all work on the key without a UDF.
 
 Ranks, from low to high: below everything (for release bounds), pre-release words, zero, post-release words,
 a single letter after a number, other numbers, above everything.
@@ -15,13 +18,11 @@ from pyspark.sql import functions as F
 
 from larder.schema import FLAG
 
-#: Components a key has at least; more than nearly all versions have.
-LENGTH = 16
 LOWEST, PRE, ZERO, POST, LETTER, NUMBER, HIGHEST = range(7)
 #: Words that name a release after the plain version.
 POST_WORDS = ("post", "patch", "pl", "errata")
 _MARK = "\x01"
-KEY_TYPE = "array<struct<rank:int,size:int,text:string>>"
+KEY_TYPE = "array<struct<sign:int,zeros:int,rank:int,size:int,text:string>>"
 
 
 def _component(rank: Column | int, size: Column | int = 0, text: Column | str = "") -> Column:
@@ -36,8 +37,22 @@ def _tokens(version: Column) -> Column:
     return F.regexp_extract_all(low, F.lit(_MARK + r"[a-z]|[0-9]+|[a-z]+"), F.lit(0))
 
 
+def _key(parts: Column) -> Column:
+    """Units of the components other than zero, and the end."""
+
+    def add(done: Column, x: Column) -> Column:
+        sign = F.when(x["rank"] < ZERO, -1).otherwise(1)
+        unit = F.struct(sign.alias("sign"), (-sign * done["zeros"]).alias("zeros"), x["rank"].alias("rank"), x["size"].alias("size"), x["text"].alias("text"))
+        more = F.struct(F.lit(0).alias("zeros"), F.concat(done["key"], F.array(unit)).alias("key"))
+        return F.when(x["rank"] == ZERO, F.struct((done["zeros"] + 1).alias("zeros"), done["key"].alias("key"))).otherwise(more)
+
+    start = F.struct(F.lit(0).alias("zeros"), F.array().cast(KEY_TYPE).alias("key"))
+    end = F.struct(F.lit(0).alias("sign"), F.lit(0).alias("zeros"), F.lit(ZERO).alias("rank"), F.lit(0).alias("size"), F.lit("").alias("text"))
+    return F.aggregate(parts, start, add, lambda done: F.concat(done["key"], F.array(end)))
+
+
 def version_key(version: Column, flags: Column | None = None, fill: int = ZERO) -> Column:
-    """The key of a version; flags say whether ``p`` or any word means a patch. A null version has the empty key."""
+    """The key of a version; flags say whether ``p`` or any word means a patch. A null version equals zero."""
     p_is_patch = F.lit(False) if flags is None else flags.bitwiseAND(F.lit(FLAG["p_is_patch"])) != 0
     any_is_patch = F.lit(False) if flags is None else flags.bitwiseAND(F.lit(FLAG["any_is_patch"])) != 0
 
@@ -49,9 +64,8 @@ def version_key(version: Column, flags: Column | None = None, fill: int = ZERO)
         rank = F.when(post, POST).when(token.startswith(_MARK), LETTER).otherwise(PRE)
         return F.when(token.rlike("^[0-9]"), number).otherwise(_component(rank, 0, F.substring(word, 1, 1)))
 
-    filler = F.array_repeat(_component(fill), LENGTH)
     parts = F.transform(_tokens(version), one)
-    return F.concat(parts, F.slice(filler, 1, F.greatest(F.lit(0), LENGTH - F.size(parts))))
+    return _key(parts if fill == ZERO else F.concat(parts, F.array(_component(fill))))
 
 
 def lower_bound(version: Column) -> Column:
