@@ -55,6 +55,10 @@ def _field(name: str) -> Column:
     return F.element_at(F.col("extrafields"), name)
 
 
+def _filled(options: Column, mark: str) -> Callable[[Column], Column]:
+    return lambda text: F.transform(options, lambda x: F.replace(text, F.lit(mark), x))
+
+
 def compile_template(template: str, list_fields: tuple[str, ...] = ()) -> Column:
     """array<string> of the links that a package record gives.
 
@@ -80,7 +84,7 @@ def compile_template(template: str, list_fields: tuple[str, ...] = ()) -> Column
         if filters:
             options = F.transform(options, FILTERS[filters[0]])
         mark = "{" + place + "}"
-        out = F.flatten(F.transform(out, lambda t, o=options, m=mark: F.transform(o, lambda x: F.replace(t, F.lit(m), x))))
+        out = F.flatten(F.transform(out, _filled(options, mark)))
     return F.when(present, out).otherwise(F.array().cast("array<string>"))
 
 
