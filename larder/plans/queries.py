@@ -5,8 +5,6 @@ Results hold plain columns only: lists are sorted and joined to text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,24 +14,12 @@ from larder.operators import changes, rules
 from larder.operators.classify import classify
 from larder.plans import aggregates, history, links
 from larder.plans.landscape import new_packages, old_packages, packages, snapshots, table, with_sql
+from larder.plans.registry import ORACLE_SQL, QUERIES, query
 from larder.schema import STATUS
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 RUN_TS = "TIMESTAMP '2001-01-01 00:00:00'"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def joined(c: str) -> Column:
     return F.array_join(c, ",").alias(c)
 
@@ -716,3 +702,6 @@ def keyset_page(spark, sf_dir):
 def top_per_key(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("rank")).filter("rank <= 3")
+
+
+from larder.plans import load_queries  # noqa: E402, F401  (registers its queries)

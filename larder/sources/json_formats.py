@@ -342,7 +342,7 @@ def pypi(docs: DataFrame) -> DataFrame:
     rows = json_items(docs, f"struct<info:{info},releases:map<string,array<struct<yanked:boolean,url:string>>>>")
     rows = rows.select("item.info", F.explode("item.releases").alias("version", "files"))
     info_ = lambda c: F.col("info").getField(c)
-    mails = F.filter(F.transform(F.split(F.coalesce(info_("author_email"), F.lit("")), ","), F.trim), lambda m: m.rlike("^[^ \"<']+@[^ \"<']*$"))
+    mails = F.filter(F.transform(F.split(F.coalesce(info_("author_email"), F.lit("")), ","), lambda x: F.trim(x)), lambda m: m.rlike("^[^ \"<']+@[^ \"<']*$"))
     labelled = F.filter(F.map_entries(F.coalesce(info_("project_urls"), F.create_map().cast("map<string,string>"))), lambda e: e["value"] != "UNKNOWN")
     of_kind = lambda words: F.transform(F.filter(labelled, lambda e: F.lower(e["key"]).isin(*words)), lambda e: e["value"])
     good = F.filter("files", lambda f: ~F.coalesce(f["yanked"], F.lit(False)))

@@ -99,7 +99,7 @@ def field(stanza: Column, key: str) -> Column:
 def block(text: Column, tag: str) -> Column:
     """The lines under ``%TAG%`` up to the next empty line; null without the tag."""
     found = F.filter(F.split(F.regexp_replace(text, r"[ \t\r]+(?=\n|$)", ""), r"\n(?:[ \t]*\n)+"), lambda b: b.rlike(rf"^\s*%{tag}%(?:\n|$)"))
-    return F.when(F.size(found) > 0, F.filter(F.transform(F.split(F.regexp_replace(F.get(found, F.lit(0)), rf"^\s*%{tag}%\n?", ""), "\n"), F.trim), lambda x: x != ""))
+    return F.when(F.size(found) > 0, F.filter(F.transform(F.split(F.regexp_replace(F.get(found, F.lit(0)), rf"^\s*%{tag}%\n?", ""), "\n"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def assigned(text: Column, name: str) -> Column:

@@ -275,7 +275,7 @@ def t2_descriptions(records: DataFrame) -> DataFrame:
     """``[X] value`` tags of ``repository/name/name.desc`` files; tags have long names too."""
 
     def tags(*names: str) -> Column:
-        return F.transform(F.regexp_extract_all(value(), F.lit(rf"(?m)^\[(?:{'|'.join(names)})\][ \t]*(.*?)[ \t]*$"), F.lit(1)), F.trim)
+        return F.transform(F.regexp_extract_all(value(), F.lit(rf"(?m)^\[(?:{'|'.join(names)})\][ \t]*(.*?)[ \t]*$"), F.lit(1)), lambda x: F.trim(x))
 
     first = lambda *n: F.get(tags(*n), F.lit(0))
     downloads = F.transform(tags("D", "DOWNLOAD"), _t2_url)

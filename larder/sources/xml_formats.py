@@ -67,7 +67,7 @@ def repodata(items: DataFrame, src: bool = True, binary: bool = False, vertags:
 
 
 def solus(items: DataFrame) -> DataFrame:
-    licenses = F.flatten(F.transform(F.coalesce(_c("License"), no_texts()), lambda x: F.transform(F.split(x, "\n"), F.trim)))
+    licenses = F.flatten(F.transform(F.coalesce(_c("License"), no_texts()), lambda x: F.transform(F.split(x, "\n"), lambda x: F.trim(x))))
     return raw(
         items,
         names={"name": _c("Name"), "base": _c("Source.Name")},
@@ -93,7 +93,7 @@ def pisi(items: DataFrame) -> DataFrame:
         licenses=_c("Source.License"),
         categories=_c("Source.IsA"),
         maintainers=one(_c("Source.Packager.Email")),
-        links=[link("upstream_homepage", _c("Source.Homepage")), link("upstream_download", F.transform(_c("Source.Archive"), F.trim))],
+        links=[link("upstream_homepage", _c("Source.Homepage")), link("upstream_download", F.transform(_c("Source.Archive"), lambda x: F.trim(x)))],
     )
 
 
@@ -238,7 +238,7 @@ def gentoo(tree: DataFrame, require_cache: bool = True) -> DataFrame:
         categories=one(F.col("category")),
         summary=get("DESCRIPTION"),
         licenses=licenses,
-        maintainers=F.transform(F.col("m.maintainer")["email"], F.trim),
+        maintainers=F.transform(F.col("m.maintainer")["email"], lambda x: F.trim(x)),
         cpe=map_of(vendor=F.get(names, F.lit(2)), product=F.get(names, F.lit(3))),
         links=[
             link("upstream_download", F.filter(conditional_words(get("SRC_URI")), lambda u: u.contains("/"))),
