@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,21 +17,89 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Spark's own switch: the shuffle files of a query go when the query ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; where that is unset (tests), under a temporary one."""
+    """A fresh folder under spark.checkpoint.dir, which all executors see.
+
+    Where that is unset, a local master may use a temporary folder; on a cluster nothing is shared then, so
+    that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/larder-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="larder-")
+        spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/larder-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/larder-{uuid.uuid4().hex}"
+    _FOLDERS.append(folder)
+    return folder
+
+
+#: Folders of this process, in the order in which they were asked for.
+_FOLDERS: list[str] = []
+
+
+@contextmanager
+def folders_of(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the folders that were asked for within it: what a stage kept on its way to a written result."""
+    begin = len(_FOLDERS)
+    try:
+        yield
+    finally:
+        for folder in _FOLDERS[begin:]:
+            remove_folder(spark, folder)
+        del _FOLDERS[begin:]
 
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write a table once and read it back: the lineage ends in files that outlive any executor."""
+    """Write a table once and read it back: the lineage ends in files that outlive any executor, so the shuffle
+    files that led to it are removed as soon as it is there."""
     path = f"{folder}/{name}.parquet"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Tables:
+    """Written tables of one run, in a shared folder of its own."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = shared_folder(spark)
+        self.names: dict[int, tuple[DataFrame, str]] = {}
+        self.step = 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.step += 1
+        name = f"{self.step:02d}-{name}"
+        table = written(df, self.folder, name)
+        self.names[id(table)] = (table, name)
+        return table
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables that no later step reads."""
+        for table in tables:
+            if id(table) in self.names:
+                _, name = self.names.pop(id(table))
+                remove_folder(self.spark, f"{self.folder}/{name}.parquet")
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        kept = {id(t) for t in tables}
+        self.drop(*[t for t, _ in list(self.names.values()) if id(t) not in kept])
+
+    def remove(self) -> None:
+        self.names.clear()
+        remove_folder(self.spark, self.folder)
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:

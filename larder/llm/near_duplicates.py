@@ -10,17 +10,16 @@ Documents are linked if the Jaccard similarity of their sets of five-word shingl
 5. Members of one bucket that are still in different components have not all met. Shingles that only one of
    these members has bound what it can share with any other, which settles most members alone. The rest are
    first paired with the member of their bucket that has fewest such shingles; then those outside the bucket's
-   largest component meet the members of other components, once for each pair, and only pairs that pass this
-   bound and a look at longer one-bit signatures, by the same posterior, go on to step 4. Afterwards
-   every pair that shares a bucket was compared, is ruled out or is connected, so no link between candidates is
-   lost, and a group of many copies of each other never expands into its pairs.
+   largest component meet the members of other components over rare shingles that two sets above the threshold
+   must share, and only pairs that pass a look at longer one-bit signatures, by the same posterior, go on to
+   step 4. Afterwards every pair that shares a bucket was compared, is ruled out or is connected, so no link
+   between candidates is lost, and a group of many copies of each other never expands into its pairs.
 
 Between steps tables are written to the shared folder, so that no step depends on a lost executor.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from functools import reduce
 from math import lgamma
@@ -31,9 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import documents, per_text, remove_folder, shared_folder, written
+from larder.llm.common import Tables, documents, per_text
 
 SHINGLE = 5
+#: A text without this has no words.
+WORD = r"[^\x20\x09-\x0D]"
 #: 100 * intersection >= PERCENT * union links two documents.
 PERCENT = 75
 BANDS, ROWS = 32, 4
@@ -212,26 +213,23 @@ def are_similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
         yield pd.Series(out, dtype=bool)
 
 
-def _release(spark) -> None:
-    """Let Spark delete the shuffle files of finished steps, whose results are in written tables."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def row_key(id_: Column, text_key: Column) -> Column:
+    """A digest of id and text: copies of a text have different ones, unless the whole row repeats."""
+    return F.md5(F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("null")), text_key).cast("binary"))
+
+
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 class NearDuplicates:
-    """One run over a table; the written tables live in ``folder`` until ``remove``."""
+    """One run over a table. Tables that later steps do not read are deleted on the way; the result stays."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-        self.spark = docs.sparkSession
-        self.folder = shared_folder(self.spark)
-        self.rows = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("key"), F.col(text_col).alias("text"))
-        self.step = 0
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        self.step += 1
-        table = written(df, self.folder, f"{self.step:02d}-{name}")
-        _release(self.spark)
-        return table
+        self.tables = Tables(docs.sparkSession)
+        self.keep, self.drop = self.tables.keep, self.tables.drop
+        key = text_key(F.col(text_col))
+        self.rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), row_key(F.col(id_col), key).alias("row"), F.col(text_col).alias("text"))
 
     def classes(self) -> DataFrame:
         """(node, key, id, n, bands, sig): one row for each distinct text, numbered as it is written."""
@@ -239,6 +237,11 @@ class NearDuplicates:
         one = signed.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in SIGNED.fieldNames()])
         return self.keep(one.withColumn("node", F.monotonically_increasing_id()), "classes")
 
+    def first_texts(self, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+        """(node, text) of some classes. Rows meet by digests of id and text, so the copies of a text do not meet."""
+        wanted = nodes.join(classes, "node").select("node", row_key(F.col("id"), F.col("key")).alias("row"))
+        return self.keep(self.rows.select("row", "text").join(wanted, "row").dropDuplicates(["row"]).select("node", "text"), "texts")
+
     def likely(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b) those whose sizes and signatures allow a link."""
         signed = classes.select("node", "n", "sig")
@@ -261,10 +264,10 @@ class NearDuplicates:
         edges = links.select("a", "b").union(links.select("b", "a"))
         found = None
         while True:
-            parents = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("parent"))
-            parents = self.keep(parents, "parents")
-            above = parents.select(F.col("a").alias("parent"), F.col("parent").alias("above"))
-            parents = parents.join(above, "parent", "left").select("a", F.coalesce("above", "parent").alias("parent"))
+            near = self.keep(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("parent")), "parents")
+            above = near.select(F.col("a").alias("parent"), F.col("parent").alias("above"))
+            parents = near.join(above, "parent", "left").select("a", F.coalesce("above", "parent").alias("parent"))
+            last, before = found, edges
             if found is None:
                 found = parents.select(F.col("a").alias("node"), F.col("parent").alias("component"))
             else:
@@ -275,7 +278,9 @@ class NearDuplicates:
                 edges = edges.join(parents.select(F.col("a").alias(side), F.col("parent").alias(f"p_{side}")), side, "left")
             edges = edges.select(F.coalesce("p_a", "a").alias("a"), F.coalesce("p_b", "b").alias("b")).filter("a <> b").distinct()
             edges = self.keep(edges, "edges")
+            self.drop(near, last, before)
             if edges.isEmpty():
+                self.drop(edges)
                 return found
 
     @staticmethod
@@ -287,7 +292,7 @@ class NearDuplicates:
         return placed.join(several, "bucket")
 
     @staticmethod
-    def hub_pairs(placed: DataFrame) -> DataFrame:
+    def hub_pairs(placed: DataFrame, sketches: DataFrame) -> DataFrame:
         """Each bucket's member with the least share of shingles of its own, paired with the other members."""
         hubs = placed.groupBy("bucket").agg(F.max_by(F.struct("node", "component", "bits"), F.struct(F.col("most") / F.col("n"), "node")).alias("hub"))
         met = placed.join(hubs.select("bucket", F.col("hub.node").alias("h_node"), F.col("hub.component").alias("h_component"), F.col("hub.bits").alias("h_bits")), "bucket")
@@ -295,97 +300,118 @@ class NearDuplicates:
         return met.select(F.least("node", "h_node").alias("a"), F.greatest("node", "h_node").alias("b")).distinct()
 
     @staticmethod
-    def rest_pairs(placed: DataFrame) -> DataFrame:
-        """Members outside their bucket's largest component, paired with those of other components."""
-        columns = ("node", "component", "n", "most", "bits", "buckets")
-        stray = placed.filter("component <> main").select("bucket", *[F.col(c).alias(f"x_{c}") for c in columns])
-        other = placed.select("bucket", "main", *[F.col(c).alias(f"y_{c}") for c in columns])
-        meet = (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("main")) | (F.col("x_node") < F.col("y_node")))
-        shared = F.least("x_most", "y_most")
-        within = 100 * shared >= PERCENT * (F.col("x_n") + F.col("y_n") - shared)
-        first = F.array_intersect("x_buckets", "y_buckets")[0] == F.col("bucket")  # a pair meets in one bucket only
-        met = stray.join(other, "bucket").filter(meet & within & look_alike("x_bits", "y_bits") & first)
-        return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+    def rest_pairs(placed: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Members of different components of a bucket that share a rare shingle, at least one of them a stray (outside
+        its bucket's largest component).
 
-    def open_members(self, placed: DataFrame, texts: DataFrame) -> DataFrame:
+        With the shingles of each member in one order, rarest first, two sets that reach the threshold share one
+        of the first of the smaller set and one of the first of the larger; how many is a matter of size. Pairs
+        come from those shingles only, so a bucket of many look-alikes is not looked at in all pairs.
+        """
+        t = PERCENT / 100
+        member = placed.groupBy("node").agg(F.first("component").alias("component"), F.bool_or(F.col("component") != F.col("main")).alias("stray"), F.array_sort(F.collect_set("bucket")).alias("buckets"))
+        tokens = sketches.join(member.select("node"), "node").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+        several = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+        ordered = tokens.join(several, "shingle").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("k", "shingle"))).alias("s"))  # as many as a text has shingles
+        n, own = F.col("n"), F.col("n") - F.size("s")
+        probe = n - F.ceil(n * t - 1e-9) + 1 - own
+        index = n - F.ceil(n * (2 * t / (1 + t)) - 1e-9) + 1 - own
+        first = ordered.filter(probe > 0).select("node", "n", index.alias("index"), F.size("s").alias("rest"), F.posexplode(F.slice("s", F.lit(1), probe.cast("int"))).alias("at", "s"))
+        entries = first.join(member.select("node", "component", "stray"), "node").select(F.col("s.shingle").alias("shingle"), "node", "n", "component", "stray", (F.col("at") < F.col("index")).alias("index"), (F.col("rest") - F.col("at")).alias("rest"))
+        side = lambda x, rows: rows.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "component", "stray", "index", "rest")])
+        smaller = F.struct("x_n", "x_node") < F.struct("y_n", "y_node")
+        roles = F.when(smaller, F.col("x_index")).otherwise(F.col("y_index"))
+        once = ~F.col("y_stray") | (F.col("x_node") < F.col("y_node"))
+        # What follows the first shared shingle in both orders is all that they can share.
+        shared = F.least("x_rest", "y_rest")
+        within = 100 * shared >= PERCENT * (F.col("x_n") + F.col("y_n") - shared)
+        met = side("x", entries.filter("stray")).join(side("y", entries), "shingle").filter((F.col("x_component") != F.col("y_component")) & roles & once & within)
+        pairs = met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+        looks = member.join(sketches, "node").select("node", "buckets", "bits")
+        for x in "ab":
+            pairs = pairs.join(looks.select(*[F.col(c).alias(x if c == "node" else f"{x}_{c}") for c in ("node", "buckets", "bits")]), x)
+        return pairs.filter(F.arrays_overlap("a_buckets", "b_buckets") & look_alike("a_bits", "b_bits")).select("a", "b")
+
+    def open_members(self, placed: DataFrame, sketches: DataFrame) -> DataFrame:
         """Members of buckets with several components that may still have a link there.
 
         A member of n shingles, u of which no other member has, shares at most n - u (``most``) with any of them.
         """
-        nodes = placed.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))  # BANDS at most
-        sketches = texts.join(nodes.select("node"), "node").select("node", per_text(_sketch, SKETCHED, 1_000_000)(F.col("text")).alias("s"))
-        sketches = self.keep(sketches.select("node", "s.*"), "sketches")
         shingles = sketches.select("node", F.explode("shingles").alias("shingle"))
         own = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).filter("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
         known = sketches.select("node", F.size("shingles").cast("long").alias("n"), "bits").join(own, "node", "left").withColumn("most", F.col("n") - F.coalesce("u", F.lit(0)))
-        return placed.join(known.filter(100 * F.col("most") >= PERCENT * F.col("n")).drop("u").join(nodes, "node"), "node")
+        return placed.join(known.filter(100 * F.col("most") >= PERCENT * F.col("n")).drop("u"), "node")
 
     def run(self) -> DataFrame:
-        """(node, key, n, component_id) of every class."""
+        """(node, key, id, n, component, component_id, first) of every class: id is its least, first says whether it holds
+        the row that stands for its component. Written; all other tables are gone."""
         classes = self.classes()
         buckets = classes.filter("n > 0").select("node", F.explode("bands").alias("bucket"))
         shared = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").select("bucket", "leader")
         members = self.keep(buckets.join(shared, "bucket"), "members")
         pairs = self.keep(members.filter("leader < node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs-leader")
-        meeting = members.select("node").distinct().join(classes.select("node", "key", F.col("id").alias("first_id")), "node")
-        found = self.rows.join(meeting, "key").filter(F.col("id").eqNullSafe(F.col("first_id")))
-        texts = self.keep(found.select("node", "text").dropDuplicates(["node"]), "texts")
-        links = self.confirmed(self.likely(pairs, classes), texts, "leader")
+        texts = self.first_texts(members.select("node").distinct(), classes)
+        likely = self.likely(pairs, classes)
+        links = self.confirmed(likely, texts, "leader")
+        self.drop(likely)
         component = self.components(links)
 
-        unsettled = self.mixed(members, component).select("bucket", "node")
-        unsettled = self.keep(self.open_members(unsettled, texts), "open")
+        unsettled = self.keep(self.mixed(members, component).select("bucket", "node"), "unsettled")
+        self.drop(members)
+        sketched = texts.join(unsettled.select("node").distinct(), "node").select("node", per_text(_sketch, SKETCHED, 1_000_000)(F.col("text")).alias("s"))
+        sketches = self.keep(sketched.select("node", "s.*"), "sketches")
+        unsettled = self.keep(self.open_members(unsettled, sketches), "open")
         for name, more in (("hub", self.hub_pairs), ("rest", self.rest_pairs)):
             placed = self.keep(self.mixed(unsettled, component), f"placed-{name}")
-            pairs = self.keep(more(placed).join(pairs, ["a", "b"], "left_anti"), f"pairs-{name}")
+            pairs = self.keep(more(placed, sketches).join(pairs, ["a", "b"], "left_anti"), f"pairs-{name}")
+            self.drop(placed)
             found = self.confirmed(pairs, texts, name)
             if not found.isEmpty():
                 links = links.union(found)
                 component = self.components(links)
 
         grouped = classes.join(component, "node", "left").select("key", "n", "id", F.coalesce("component", "node").alias("component"))
-        least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
-        return grouped.join(least, "component").select("key", "n", "component", "component_id")
+        least = grouped.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "key")).alias("least"))
+        result = grouped.join(least, "component").select("key", "id", "n", "component", F.col("least.id").alias("component_id"), (F.col("least.key") == F.col("key")).alias("first"))
+        result = self.keep(result, "result")
+        self.tables.drop_all_but(result)
+        return result
 
     def labelled(self) -> DataFrame:
-        """(id, key, n_shingles, component, component_id) of every row."""
-        result = self.keep(self.run(), "result")
-        return self.rows.select("id", "key").join(result, "key").select("id", "key", F.col("n").alias("n_shingles"), "component", "component_id")
-
-    def remove(self) -> None:
-        remove_folder(self.spark, self.folder)
+        """(id, n_shingles, component_id) of every row. Only digests and ids travel; Spark's adaptive join splits a text with very many copies."""
+        result = self.run()
+        return self.rows.select("id", "key").join(result.select("key", F.col("n").alias("n_shingles"), "component_id"), "key")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row.
 
-    component_id is the smallest id reachable over links. A text without words is linked with nothing: rows of
-    that kind are components of their own, with their own id. Rows with a null id take part; their component
+    component_id is the smallest id reachable over links. A text that is null, empty or without words is linked
+    with nothing: rows of that kind are components of their own, with their own id. Very long texts are one set
+    of shingles like any other; memory follows the longest text. Rows with a null id take part; their component
     has the smallest known id, or null. kept is whether the row's id is its component's; repeated rows agree.
+    Other columns are not read, whatever their names. An empty table gives no rows.
     """
-    run = NearDuplicates(docs, id_col, text_col)
-    out = run.labelled()
-    alone = F.col("n_shingles") == 0
-    component = F.when(alone, F.col("id")).otherwise(F.col("component_id"))
+    out = NearDuplicates(docs, id_col, text_col).labelled()
+    component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near duplicates, with all its columns: that with the smallest id.
 
-    Rows whose text has no words all stay. Of rows with the same id in a group, or of a group without ids, one
-    row stays.
+    Rows whose text has no words (null and empty ones too) all stay. Of rows with the same id and text, one
+    stays; of a group without ids, one with the least digest of its text. Columns of any name pass through. An empty table gives no rows.
+
+    Who stays is decided on ids and digests; then the rows travel once, to meet the digests of those that stay.
     """
-    spark = docs.sparkSession
     run = NearDuplicates(docs, id_col, text_col)
-    classes = run.keep(run.run(), "result").filter("n > 0")
-    key = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    marked = docs.withColumn("_key", key).join(classes.select(F.col("key").alias("_key"), F.col("component").alias("_component"), F.col("component_id").alias("_first")), "_key", "left")
-    alone = marked.filter("_component is null")
-    grouped = marked.filter(F.col("_component").isNotNull() & F.col(id_col).eqNullSafe(F.col("_first"))).dropDuplicates(["_component"])
-    del spark
-    return alone.unionByName(grouped).select(*docs.columns)
+    first = run.run().filter("first and n > 0").select(row_key(F.col("id"), F.col("key")).alias("row"))
+    rows = docs.select(F.struct(*docs.columns).alias("all"), F.coalesce(F.col(text_col).rlike(WORD), F.lit(False)).alias("worded"), row_key(F.col(id_col), text_key(F.col(text_col))).alias("row"))
+    worded = rows.filter("worded").drop("worded").join(first, "row").dropDuplicates(["row"])
+    return rows.filter("not worded").select("all.*").unionByName(worded.select("all.*"))
 
 
 def op9_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """The component of near duplicates of every whole text of documents."""
     return near_duplicates(documents(spark, sf_dir))

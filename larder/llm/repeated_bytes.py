@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import documents, remove_folder, shared_folder, written
-from larder.llm.near_duplicates import _release, mixed
+from larder.llm.common import Tables, documents
+from larder.llm.near_duplicates import mixed
 
 WINDOW = 200
 GRAM = 64
@@ -270,22 +270,14 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 class Repeats:
-    """One run over a table; written tables live in the shared folder until ``remove``."""
+    """One run over a table. Tables that later steps do not read are deleted on the way; the covers stay."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
-        self.spark = docs.sparkSession
-        self.folder = shared_folder(self.spark)
+        self.tables = Tables(docs.sparkSession)
+        self.keep, self.drop = self.tables.keep, self.tables.drop
         text = F.coalesce(F.col(text_col), F.lit(""))
         self.text = docs.select(text.alias("text"))
         self.rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", *key_columns(F.col("text")), "text")
-        self.step = 0
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        self.step += 1
-        table = written(df, self.folder, f"{self.step:02d}-{name}")
-        del df
-        _release(self.spark)
-        return table
 
     def texts(self) -> DataFrame:
         """(k1, k2, text, copies): the distinct texts; copies meet before the shuffle."""
@@ -299,11 +291,13 @@ class Repeats:
         spans = self.text.mapInArrow(_spans, "g long, sp long, k1 long, k2 long, at long, lo long, hi long")
         spans = self.keep(spans.join(shared, "g"), "spans")
 
+        self.drop(shared)
         x = F.xxhash64("k1", "k2", "lo")
         distinct = spans.groupBy("g", "sp").agg(F.min(x).alias("x"), F.max(x).alias("y"))
         variety = distinct.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
         kinds = distinct.join(variety, "g").select("g", "sp", (F.col("x") != F.col("y")).alias("known"), F.col("x").alias("first"), "m")
         placed = self.keep(spans.join(kinds, ["g", "sp"]).select("g", "k1", "k2", "at", "lo", "hi", "known", "m", (x == F.col("first")).alias("is_first")), "placed")
+        self.drop(spans)
         whole = placed.filter("known").select("k1", "k2", F.col("lo").alias("a"), (F.col("hi") + WINDOW).alias("b"))
 
         open_ones = placed.filter("m > 1 and (is_first or not known)").select("k1", "k2", F.struct("g", "at", "lo", "hi", "known", (F.col("m") > GROUP).alias("many")).alias("s"))
@@ -333,9 +327,6 @@ class Repeats:
     def in_tasks(rows: DataFrame) -> DataFrame:
         return rows.repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(_sorted_groups, COVER)
 
-    def remove(self) -> None:
-        remove_folder(self.spark, self.folder)
-
 
 CLEANED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
@@ -362,10 +353,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are UTF-8 bytes; a null text is empty. Matches are judged on the input and never cross texts; a row
     whose text another row has too loses all of it if it is long enough. Ids may be null or repeat. ``kept``
-    holds the bytes that stay, which need not be whole characters.
+    holds the bytes that stay, which need not be whole characters. Very long texts are handled whole, in blocks of
+    windows that overlap. Other columns are not read. An empty table gives no rows.
     """
     run = Repeats(docs, id_col, text_col)
     covers = run.keep(run.covers().groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("covers")), "covers")
+    run.tables.drop_all_but(covers)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -387,4 +380,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """What stays of every whole text of documents without its repeated 200-byte strings."""
     return remove_repeats(documents(spark, sf_dir), with_bytes=False)
