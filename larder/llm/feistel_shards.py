@@ -23,9 +23,10 @@ from larder.llm.common import documents
 ROUNDS = 6
 SHARDS = 40
 SEED = "larder"
-#: Leading hex digits of a row's digest that name its bucket: 4096 buckets.
-BUCKET_DIGITS = 3
-#: Identical rows are numbered as one range; a longer range is cut into pieces of so many.
+#: Rows that a bucket of the numbering should have at most; buckets go by leading hex digits of a row's digest.
+BUCKET_ROWS = 1_000_000
+LEAST_DIGITS, MOST_DIGITS = 3, 5
+#: Identical rows are numbered as one range; a longer range is cut into pieces of so many, which are dealt to tasks.
 RANGE = 100_000
 
 
@@ -93,8 +94,16 @@ def permuted(rows: DataFrame, number: str, n: int, seed: str = SEED) -> DataFram
     return out.select(*kept, "place")
 
 
-def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, size, text_crc32, number): all rows, numbered from 0 in an order that depends on the rows alone.
+def bucket_digits(n: int) -> int:
+    """Digits with which n rows fall into buckets of ``BUCKET_ROWS`` at most, within bounds: one task sums the buckets."""
+    digits = LEAST_DIGITS
+    while digits < MOST_DIGITS and n > BUCKET_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
+def numbered(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, size, text_crc32, number): all n rows, numbered from 0 in an order that depends on the rows alone.
 
     Rows that agree in id and text are interchangeable; they are counted before the shuffle and get
     consecutive numbers, so that many repeated rows do not meet in one task one by one.
@@ -102,25 +111,36 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(F.col(id_col).alias("_id"), F.octet_length(text).alias("_bytes"), F.crc32(text.cast("binary")).alias("_crc"), F.md5(text.cast("binary")).alias("_text"))
     digest = F.md5(F.concat_ws(":", F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.col("_bytes"), F.col("_crc"), F.col("_text")).cast("binary"))
-    counted = plain.withColumn("_key", digest).groupBy("_key", "_id", "_bytes", "_crc").agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
+    counted = plain.withColumn("_key", digest).groupBy("_key", "_id", "_bytes", "_crc").agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", F.substring("_key", 1, bucket_digits(n)))
     per_bucket = counted.groupBy("_bucket").agg(F.sum("_n").alias("_rows"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over 16 ** BUCKET_DIGITS rows at most
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over 16 ** MOST_DIGITS rows at most
     offsets = per_bucket.select("_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     within = Window.partitionBy("_bucket").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = counted.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(F.broadcast(offsets), "_bucket").withColumn("_first", F.col("_before") + F.col("_offset"))
-    last = F.col("_first") + F.col("_n") - 1
-    pieces = ranges.withColumn("_from", F.explode(F.sequence(F.col("_first"), last, F.lit(RANGE)))).withColumn("number", F.explode(F.sequence(F.col("_from"), F.least(last, F.col("_from") + (RANGE - 1)))))
-    return pieces.select(F.col("_id").alias(id_col), (F.col("_bytes") + 16).cast("long").alias("size"), F.col("_crc").alias("text_crc32"), "number")
+    ranges = counted.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(F.broadcast(offsets), "_bucket")
+    ranges = ranges.select("_id", "_bytes", "_crc", "_n", (F.col("_before") + F.col("_offset")).alias("_from"))
+    out = _spread(ranges.filter(F.col("_n") <= RANGE))
+    long = ranges.filter(F.col("_n") > RANGE)
+    starts = F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("_n") - 1, F.lit(RANGE)))
+    pieces = long.withColumns({"_end": F.col("_from") + F.col("_n")}).withColumn("_piece", starts)
+    pieces = pieces.select("_id", "_bytes", "_crc", F.least(F.lit(RANGE), F.col("_end") - F.col("_piece")).alias("_n"), F.col("_piece").alias("_from"))
+    out = out.unionByName(_spread(pieces.repartition("_from")))
+    return out.select(F.col("_id").alias(id_col), (F.col("_bytes") + 16).cast("long").alias("size"), F.col("_crc").alias("text_crc32"), "number")
+
+
+def _spread(ranges: DataFrame) -> DataFrame:
+    """A row for each number of a range."""
+    return ranges.select("_id", "_bytes", "_crc", F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("_n") - 1)).alias("number"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of every row.
 
     The law is ``rows``: shard counts differ by one at most. A null text has size 16 and the checksum of no
-    bytes; null and repeated ids are rows like any other; an empty table gives no rows.
+    bytes; null and repeated ids are rows like any other; very long texts count by their digest; other columns
+    are not read; an empty table gives no rows.
     """
     n = docs.count()
-    placed = permuted(numbered(docs, id_col, text_col), "number", n, seed)
+    placed = permuted(numbered(docs, n, id_col, text_col), "number", n, seed)
     return placed.select(
         id_col,
         "size",
@@ -133,4 +153,5 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, id_col: str =
 
 
 def op5_feistel_shards(spark, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 39, by the law ``rows``."""
     return shard(documents(spark, sf_dir))
