@@ -17,24 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.llm.common import documents
+from larder.llm.license_texts import TEMPLATES
 
 #: Fixed values of the contract: phrase and label.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Opening or notice words of common licenses, and the label a match gives.
-TEMPLATES = (
-    ("agpl-3.0", "under the terms of the gnu affero general public license as published by the free software foundation either version 3"),
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
-    ("cc0-1.0", "the person who associated a work with this deed has dedicated the work to the public domain"),
-    ("gpl-3.0", "licensed under the gnu general public license version 3"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-)
 K = 3
 #: Diagonals at most this far apart belong to one region.
 NEAR = 2
@@ -63,20 +49,37 @@ def _gram(at: Column, w: Column) -> Column:
     return F.xxhash64(*[F.get(w, at + i) for i in range(K)])
 
 
-def _templates(docs: DataFrame) -> DataFrame:
-    """(template, label, length, t, gram): a fixed table of a few hundred rows."""
-    spark = docs.sparkSession
-    rows = [(n, label, text) for n, (label, text) in enumerate(TEMPLATES)]
-    table = spark.createDataFrame(rows, "template int, label string, text string").withColumn("_w", F.split("text", " "))
-    grams = F.transform(F.sequence(F.lit(0), F.size("_w") - K), lambda i: _gram(i, F.col("_w")))
-    return table.select("template", "label", F.size("_w").alias("length"), F.posexplode(grams).alias("t", "gram"))
+#: Words that all templates of a table may have together: they go to every task.
+MOST_TEMPLATE_WORDS = 2_000_000
 
 
-def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verified regions: (_key, label, template, first_word, last_word, score) for each distinct text."""
+def built_in_templates(spark) -> DataFrame:
+    """(label, text): notices and whole texts of common licenses."""
+    return spark.createDataFrame(list(TEMPLATES), "label string, text string")
+
+
+def _grams_of(templates: DataFrame) -> DataFrame:
+    """(template, label, length, t, gram, word) of a table (label, text) whose size is checked; templates shorter than a gram,
+    or without text, are left out, equal ones kept once."""
+    table = templates.select("label", words(F.coalesce("text", F.lit(""))).alias("_w")).filter((F.size("_w") >= K) & F.col("label").isNotNull())
+    total = table.agg(F.coalesce(F.sum(F.size("_w")), F.lit(0)).alias("n")).first()["n"]
+    if total > MOST_TEMPLATE_WORDS:
+        raise ValueError(f"the templates have {total} words; split the table, {MOST_TEMPLATE_WORDS} may go to every task")
+    table = table.withColumn("template", F.md5(F.concat_ws(" ", "label", F.array_join("_w", " ")).cast("binary"))).dropDuplicates(["template"])
+    grams = F.transform(F.sequence(F.lit(0), F.size("_w") - K), lambda i: F.struct(_gram(i, F.col("_w")).alias("gram"), F.get("_w", i).alias("word")))
+    return table.select("template", "label", F.size("_w").alias("length"), F.posexplode(grams).alias("t", "g")).select("template", "label", "length", "t", "g.gram", "g.word")
+
+
+def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: DataFrame | None = None) -> DataFrame:
+    """Verified regions: (_key, label, template, first_word, last_word, score) for each distinct text.
+
+    Votes are verified word by word: a hit counts only if the text has the template's very word there. A region
+    is a match if its votes cover ``LEAST_COVERED`` of the template's words in a span that is not stretched.
+    """
     base = _with_words(docs, id_col, text_col).filter(F.size("_w") >= K)
-    grams = F.transform(F.sequence(F.lit(0), F.size("_w") - K), lambda i: _gram(i, F.col("_w")))
-    hits = base.select("_key", F.posexplode(grams).alias("p", "gram")).join(F.broadcast(_templates(docs)), "gram")
+    grams = F.transform(F.sequence(F.lit(0), F.size("_w") - K), lambda i: F.struct(_gram(i, F.col("_w")).alias("gram"), F.get("_w", i).alias("said")))
+    known = _grams_of(built_in_templates(docs.sparkSession) if templates is None else templates)
+    hits = base.select("_key", F.posexplode(grams).alias("p", "g")).select("_key", "p", "g.gram", "g.said").join(F.broadcast(known), "gram").filter("said = word")
     votes = hits.select("_key", "template", "label", "length", (F.col("p") - F.col("t")).alias("diagonal"), "t").distinct()
     lines = votes.groupBy("_key", "template", "label", "length", "diagonal").agg(F.collect_set("t").alias("ts"))  # at most a template's words
     along = Window.partitionBy("_key", "template").orderBy("diagonal")
@@ -105,12 +108,14 @@ def _places(phrase: str, text: Column, w: Column) -> Column:
     return F.when(at_least & (F.size(w) >= len(parts)), F.filter(F.sequence(F.lit(0), F.size(w) - len(parts)), starts)).otherwise(none)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: DataFrame | None = None) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row.
 
     Word numbers count from 0. Without a phrase first_word and last_word are null and base_labels is empty;
-    score is the best covered share of a matched template, 0 without one. A null text has no words. Ids may be
-    null or repeat.
+    score is the best covered share of a matched template, 0 without one. ``templates`` is a table (label, text);
+    without it the built-in ones count. A null or empty text has no words. Very long texts are scanned whole;
+    what they vote for is bounded by the templates' words. Ids may be null or repeat, repeated rows repeat;
+    other columns are not read. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), F.md5(text.cast("binary")).alias("_key"), lowered(text).alias("_low"), words(text).alias("_w"))
@@ -127,7 +132,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.array_max(spots).cast("long").alias("last_word"),
         labels.alias("_base"),
     )
-    per_text = matches(docs, id_col, text_col).groupBy("_key").agg(F.collect_set("label").alias("_more"), F.max("score").alias("_score"))
+    per_text = matches(docs, id_col, text_col, templates).groupBy("_key").agg(F.collect_set("label").alias("_more"), F.max("score").alias("_score"))
     both = F.concat(F.col("_base"), F.coalesce(F.col("_more"), F.array().cast("array<string>")))
     return base.join(per_text, "_key", "left").select(
         id_col,
@@ -147,4 +152,5 @@ def words_of(text: str | None) -> list[str]:
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:
+    """License phrases and license texts in every whole text of documents."""
     return scan(documents(spark, sf_dir))
