@@ -10,15 +10,20 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import documents
+from larder.llm.common import Tables, documents
 
 #: Lengths in a block of the two-level sums.
 BLOCK = 1024
+#: A longer run of white space is encoded by itself: the library's pattern matcher keeps a frame for each of its
+#: characters and overflows its stack at some hundred thousand.
+LONG_WHITE = 10_000
+_WHITE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}+" % LONG_WHITE)
 
 
 def default_ranks() -> str:
@@ -37,14 +42,36 @@ def encoding(path: str):
     return tiktoken.Encoding("larder", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def n_tokens(encoder, text: str) -> int:
+    """How many tokens the library gives for the text.
+
+    The pattern takes a run of white space up to its last character as one word, if something follows, and all
+    of it at the end of the text. So the text may be cut there, and its parts counted alone.
+    """
+    if not text:
+        return 0
+    n = at = 0
+    if len(text) > LONG_WHITE:
+        for run in _WHITE.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            n += len(encoder.encode_ordinary(text[at : run.start()])) + len(encoder._encode_single_piece(text[run.start() : end].encode()))
+            at = end
+    return n + len(encoder.encode_ordinary(text[at:]))
+
+
 def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None) -> DataFrame:
-    """(id, n_tokens) of every row; a null or empty text has 0 tokens. Other columns are not read."""
+    """(id, n_tokens) of every row; a null or empty text has 0 tokens.
+
+    Very long texts are encoded whole, long runs of white space by themselves; memory follows the longest text.
+    Null ids and repeated rows are rows like any other. Other columns are not read, whatever their names. An
+    empty table gives no rows.
+    """
     path = ranks or default_ranks()
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        encode = encoding(path).encode_ordinary
-        return texts.map(lambda x: len(encode(x)) if x else 0)
+        encoder = encoding(path)
+        return texts.map(lambda x: n_tokens(encoder, x) if x else 0).astype("int64")
 
     return docs.select(F.col(id_col), count(F.col(text_col)).alias("n_tokens"))
 
@@ -95,21 +122,34 @@ def limits(hist: DataFrame) -> DataFrame:
     )
 
 
-def at_limits(hist: DataFrame, wanted: list[int]) -> DataFrame:
-    """The same figures for given limits, which need not be lengths that occur: a sum over the histogram each."""
-    from functools import reduce
+def at_limits(summed: DataFrame, wanted: list[int]) -> DataFrame:
+    """(context_limit, docs_over, kept_tokens, cut_tokens) for given limits, which need not be lengths that occur.
 
-    def one(limit: int) -> DataFrame:
-        n, d = F.col("n_tokens"), F.col("n_docs")
-        return hist.agg(
-            F.lit(limit).cast("long").alias("context_limit"),
-            F.coalesce(F.sum(F.when(n > limit, d)), F.lit(0)).alias("docs_over"),
-            F.coalesce(F.sum(F.least(n, F.lit(limit)) * d), F.lit(0)).alias("kept_tokens"),
-            F.coalesce(F.sum(F.greatest(n - limit, F.lit(0)) * d), F.lit(0)).alias("cut_tokens"),
-        )
-
-    return reduce(DataFrame.unionByName, [one(x) for x in wanted])
+    Between two lengths nothing changes but the cut, so a limit takes the suffix sums of the longest length up
+    to it: rows of ``limits`` meet the limits in one aggregation.
+    """
+    marks = sorted(set(wanted))
+    spark = summed.sparkSession
+    asked = spark.createDataFrame([(k, x) for k, x in enumerate(marks)], "place int, context_limit long")
+    place = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in marks]), lambda x: x < F.col("n_tokens")))
+    rows = summed.select(place.alias("place"), "n_tokens", "n_docs", "docs_over", "tokens_over", "total_tokens")
+    best = rows.groupBy("place").agg(F.max_by(F.struct("docs_over", "tokens_over"), "n_tokens").alias("best"), F.sum("n_docs").alias("docs"))
+    all_docs = F.coalesce(F.sum("docs").over(Window.partitionBy()), F.lit(0))
+    total = rows.agg(F.coalesce(F.max("total_tokens"), F.lit(0)).alias("total"))
+    # As many rows as there are limits, and one more.
+    filled = asked.join(best, "place", "full_outer").withColumns({"all_docs": all_docs, "at": F.last("best", True).over(Window.orderBy("place"))}).filter("context_limit is not null")
+    over, tokens = F.coalesce("at.docs_over", "all_docs"), F.coalesce("at.tokens_over", "total")
+    cut = tokens - F.col("context_limit") * over
+    return filled.join(F.broadcast(total)).select("context_limit", over.alias("docs_over"), (F.col("total") - cut).alias("kept_tokens"), cut.alias("cut_tokens"))
+
+
+def lengths_at(summed: DataFrame, quantiles: list[float]) -> DataFrame:
+    """(quantile, n_tokens): the least length that at least such a share of the documents does not exceed; null without documents."""
+    found = summed.agg(*[F.min(F.when(F.col("quantile") >= q - 1e-12, F.col("n_tokens"))).alias(f"q{k}") for k, q in enumerate(quantiles)])
+    return found.select(F.inline(F.array(*[F.struct(F.lit(float(q)).alias("quantile"), F.col(f"q{k}").alias("n_tokens")) for k, q in enumerate(quantiles)])))
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
-    return limits(histogram(lengths(documents(spark, sf_dir))))
+    """What each length of an encoded document means as a context limit, over all documents; texts are encoded once."""
+    hist = Tables(spark).keep(histogram(lengths(documents(spark, sf_dir))), "histogram")
+    return limits(hist)
