@@ -118,7 +118,9 @@ def document_frequencies(texts: DataFrame, text_col: str, lang_col: str, setting
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(settings.buckets, np.int64)
         langs: dict[str, int] = {}
+        n_texts = 0
         for batch in batches:
+            n_texts += len(batch)
             for lang, n in batch[lang_col].value_counts().items():
                 langs[lang] = langs.get(lang, 0) + n
             for chunk in in_chunks(batch[text_col].tolist(), 1_000_000):
@@ -129,12 +131,11 @@ def document_frequencies(texts: DataFrame, text_col: str, lang_col: str, setting
                     seen[owner[mine] - first, bucket[mine]] = True
                     total += seen.sum(0)
         names = list(langs)
-        yield pd.DataFrame({"bucket": [*range(settings.buckets), *[-1] * len(names)], "lang": [None] * settings.buckets + names, "n": [*total.tolist(), *[langs[x] for x in names]]})
+        yield pd.DataFrame({"bucket": [*range(settings.buckets), *[-1] * len(names), -2], "lang": [None] * settings.buckets + names + [None], "n": [*total.tolist(), *[langs[x] for x in names], n_texts]})
 
     counts = texts.select(text_col, lang_col).mapInPandas(count, "bucket int, lang string, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n"))
-    rows = counts.filter("bucket < 0")
-    most = rows.orderBy(F.desc("n"), "lang").limit(settings.languages)
-    kept = counts.filter("bucket >= 0").unionByName(most).unionByName(rows.agg(F.lit(-2).alias("bucket"), F.lit("").alias("lang"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
+    # All but rare languages, which come last: one row for each bucket, one for the number of texts.
+    kept = counts.orderBy(F.col("bucket") == -1, F.desc("n"), "lang").limit(settings.buckets + 1 + settings.languages)
     df = np.zeros(settings.buckets, np.int64)
     n, langs = 0, {}
     for r in kept.collect():  # as many rows as buckets and languages
