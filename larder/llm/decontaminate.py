@@ -362,7 +362,7 @@ def find(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
 
     Places count code points of the text, ends are exclusive; edits is the most that a segment of it needed.
     Null and empty texts hold nothing; null ids are reported as null; repeated rows repeat; an empty benchmark
-    gives no rows.
+    gives no rows, as does an empty table. Very long texts are searched whole. Other columns are not read.
     """
     parts = []
     for index in blocks(bench, item_col, bench_text):
@@ -379,6 +379,7 @@ def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: s
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every whole text of documents."""
     return find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

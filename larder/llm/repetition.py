@@ -137,10 +137,11 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """The measures and the verdict for every row, without a shuffle.
 
     Counts are of whole texts; a null text has no words and fails. Ids may be null or repeat, and other
-    columns are not read. Memory in a task follows the chunk of texts, or its longest text.
+    columns are not read. Memory in a task follows the chunk of texts, or its longest text. An empty table gives no rows.
     """
     return docs.select(F.col(id_col), per_text(lambda: measure, MEASURED)(F.col(text_col)).alias("r")).select(id_col, "r.*")
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every whole text of documents."""
     return assess(documents(spark, sf_dir))

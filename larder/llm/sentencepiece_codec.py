@@ -338,6 +338,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """Token counts and round trip of every whole text of documents."""
     from larder.llm.common import documents
 
     return round_trip(documents(spark, sf_dir))

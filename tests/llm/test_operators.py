@@ -62,7 +62,7 @@ def test_token_counts(docs, empty):
         expected.append((v, k, sum(x > v for x in n), sum(x for x in n if x > v), total - cut, cut, total, sum(x <= v for x in n) / len(n)))
     hist = token_lengths.histogram(token_lengths.lengths(docs))
     same(token_lengths.limits(hist), expected)
-    same(token_lengths.at_limits(hist, [10]), [(10, sum(x > 10 for x in n), sum(min(x, 10) for x in n), sum(max(0, x - 10) for x in n))])
+    same(token_lengths.at_limits(token_lengths.limits(hist), [10]), [(10, sum(x > 10 for x in n), sum(min(x, 10) for x in n), sum(max(0, x - 10) for x in n))])
     assert token_lengths.limits(token_lengths.histogram(token_lengths.lengths(empty))).count() == 0
 
 
