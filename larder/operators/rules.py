@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.versions import lower_bound, upper_bound, version_key
+from larder.operators import name_rules
 from larder.schema import FLAG, RULE_LINK_TYPES
 
 STATE = ("effname", "version", "flags", "flavors", "branch", "subrepo", "rule_flags", "stopped", "matched_rules", "warnings")
@@ -31,7 +32,7 @@ def _lower(value: Any) -> list[str]:
 
 
 def _whole(pattern: str) -> str:
-    return f"^(?:{pattern})$"
+    return f"^(?:{pattern.replace(chr(10), '')})$"
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -101,9 +102,39 @@ MATCHERS: dict[str, Callable[[Any, Rule], Column]] = {
 }
 
 
+# Actions that set or clear a flag, and the flag, in the order in which they are taken.
+FLAG_ACTIONS = {
+    "remove": "remove",
+    "ignore": "ignore",
+    "weak_devel": "ignore",
+    "stable": "stable",
+    "devel": "devel",
+    "p_is_patch": "p_is_patch",
+    "any_is_patch": "any_is_patch",
+    "sink": "sink",
+    "outdated": "outdated",
+    "legacy": "legacy",
+    "nolegacy": "nolegacy",
+    "incorrect": "incorrect",
+    "untrusted": "untrusted",
+    "noscheme": "noscheme",
+    "rolling": "rolling",
+    "snapshot": "ignore",
+    "successor": "devel",
+    "debianism": "devel",
+    "generated": "rolling",
+    "trace": "trace",
+    "altver": "altver",
+    "altscheme": "altscheme",
+    "vulnerable": "vulnerable",
+    "recalled": "recalled",
+}
+
+
 def _flag(name: str) -> Callable:
+    mask = FLAG[name]
+
     def action(value: Any, rule: Rule) -> dict[str, Column]:
-        mask = FLAG[name]
         flags = F.col("flags").bitwiseOR(F.lit(mask)) if value else F.col("flags").bitwiseAND(F.lit(~mask))
         return {"flags": flags}
 
@@ -145,29 +176,7 @@ def _replaced(value: dict[str, str], rule: Rule) -> dict[str, Column]:
 
 #: Keyword and changes of state, in the order in which they are made.
 ACTIONS: dict[str, Callable[[Any, Rule], dict[str, Column]]] = {
-    "remove": _flag("remove"),
-    "ignore": _flag("ignore"),
-    "weak_devel": _flag("ignore"),
-    "stable": _flag("stable"),
-    "devel": _flag("devel"),
-    "p_is_patch": _flag("p_is_patch"),
-    "any_is_patch": _flag("any_is_patch"),
-    "sink": _flag("sink"),
-    "outdated": _flag("outdated"),
-    "legacy": _flag("legacy"),
-    "nolegacy": _flag("nolegacy"),
-    "incorrect": _flag("incorrect"),
-    "untrusted": _flag("untrusted"),
-    "noscheme": _flag("noscheme"),
-    "rolling": _flag("rolling"),
-    "snapshot": _flag("ignore"),
-    "successor": _flag("devel"),
-    "debianism": _flag("devel"),
-    "generated": _flag("rolling"),
-    "trace": _flag("trace"),
-    "altver": _flag("altver"),
-    "altscheme": _flag("altscheme"),
-    "vulnerable": _flag("vulnerable"),
+    **{k: _flag(f) for k, f in FLAG_ACTIONS.items() if k != "recalled"},
     "last": lambda v, r: {"stopped": F.lit(True)},
     "addflavor": lambda v, r: {"flavors": F.concat("flavors", _flavors(v, r))},
     "setflavor": lambda v, r: {"flavors": _flavors(v, r)},
@@ -220,7 +229,35 @@ def apply_rules(packages: DataFrame, rules: list[Rule], rulesets: set[str] = fro
     empty = {"branch": "string", "subrepo": "string", "comment": "string", "category": "string", "maintainers": "array<string>", "links": "array<struct<link_type:int,url:string,fragment:string>>"}
     start |= {c: F.lit(None).cast(t) for c, t in empty.items() if c not in names}
     rows = packages.withColumns(start)
-    for number, rule in for_repository(rules, rulesets):
+    for run in _runs(for_repository(rules, rulesets)):
+        if len(run) >= name_rules.SHORTEST_RUN:
+            rows = name_rules.apply_run(rows, run, FLAG_ACTIONS)
+            continue
+        rows = _one_by_one(rows, run)
+    removed = F.col("flags").bitwiseAND(F.lit(FLAG["remove"])) != 0
+    rows = rows.withColumn("warnings", F.when(removed, texts).otherwise(F.col("warnings")))
+    extra = [c for c in ("effname", "flags", "flavors", "branch", "subrepo") if c not in names]
+    # Rows of one-element arrays: later filters stay above, else they would repeat the whole chain of rules.
+    return rows.select(F.inline(F.array(F.struct(*names, *extra, "matched_rules", "warnings"))))
+
+
+def _runs(rules: list[tuple[int, Rule]]) -> list[list[tuple[int, Rule]]]:
+    """Rules in order: long runs of name rules by themselves, all others in runs of one."""
+    out: list[list[tuple[int, Rule]]] = []
+    run: list[tuple[int, Rule]] = []
+    for number, rule in [*rules, (-1, {})]:
+        if rule and name_rules.fits(rule, FLAG_ACTIONS):
+            run.append((number, rule))
+            continue
+        out += [run] if len(run) >= name_rules.SHORTEST_RUN else [[x] for x in run]
+        run = []
+        if rule:
+            out.append([(number, rule)])
+    return out
+
+
+def _one_by_one(rows: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
+    for number, rule in rules:
         tests = [F.coalesce(MATCHERS[k](rule[k], rule), F.lit(False)) for k in MATCHERS if k in rule]
         fires = reduce(lambda a, b: a & b, tests, ~F.col("stopped"))
         rows = rows.withColumns({"_fires": fires, "_name": F.col("effname"), "_version": F.lower("version")})
@@ -228,11 +265,7 @@ def apply_rules(packages: DataFrame, rules: list[Rule], rulesets: set[str] = fro
             if k in rule:
                 rows = rows.withColumns({c: F.when(F.col("_fires"), new).otherwise(F.col(c)) for c, new in ACTIONS[k](rule[k], rule).items()})
         rows = rows.withColumn("matched_rules", F.when(F.col("_fires"), F.concat("matched_rules", F.array(F.lit(number)))).otherwise(F.col("matched_rules")))
-    removed = F.col("flags").bitwiseAND(F.lit(FLAG["remove"])) != 0
-    rows = rows.withColumn("warnings", F.when(removed, texts).otherwise(F.col("warnings")))
-    extra = [c for c in ("effname", "flags", "flavors", "branch", "subrepo") if c not in names]
-    # Rows of one-element arrays: later filters stay above, else they would repeat the whole chain of rules.
-    return rows.select(F.inline(F.array(F.struct(*names, *extra, "matched_rules", "warnings"))))
+    return rows
 
 
 def without_removed(packages: DataFrame) -> DataFrame:
@@ -246,10 +279,3 @@ def tidy_flavors(packages: DataFrame) -> DataFrame:
 def rule_statistics(ruled: DataFrame) -> DataFrame:
     """(rule, n): how many packages each rule changed."""
     return ruled.select(F.explode("matched_rules").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
-
-
-def names_of(rules: list[Rule]) -> list[Rule]:
-    """Rules that name several projects as one rule for each; the order of the rules stays."""
-    return [{**r, "name": n} for r in rules for n in as_list(r["name"])] if rules and all("name" in r for r in rules) else [x for r in rules for x in ([{**r, "name": n} for n in as_list(r["name"])] if "name" in r else [r])]
-
-
