@@ -704,4 +704,4 @@ def top_per_key(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("rank")).filter("rank <= 3")
 
 
-from larder.plans import load_queries  # noqa: E402, F401  (registers its queries)
+from larder.plans import load_queries, upkeep_queries  # noqa: E402, F401  (they register their queries)
