@@ -28,15 +28,18 @@ def package_counters() -> list[Column]:
     return [F.count(F.lit(1)).alias("num_packages"), *by_class, F.count_if(has("flags", "vulnerable")).alias("num_packages_vulnerable")]
 
 
-def project_counters() -> list[Column]:
-    """Distinct projects in all, up to date, outdated, problematic and vulnerable."""
-    kinds = {"": F.lit(True), "_newest": _is(*UPTODATE), "_outdated": _is(STATUS["outdated"]), "_problematic": _is(*PROBLEMATIC), "_vulnerable": has("flags", "vulnerable")}
-    return [F.count_distinct(F.when(c, F.col("effname"))).alias(f"num_projects{k}") for k, c in kinds.items()]
+def project_kinds() -> dict[str, Column]:
+    """What a project is counted as, by a condition on its packages."""
+    return {"": F.lit(True), "_newest": _is(*UPTODATE), "_outdated": _is(STATUS["outdated"]), "_problematic": _is(*PROBLEMATIC), "_vulnerable": has("flags", "vulnerable")}
 
 
 def by_maintainer(packages: DataFrame, *keys: str) -> DataFrame:
-    """Counters of each maintainer, or of each maintainer and further keys."""
-    return packages.groupBy("maintainer", *keys).agg(*package_counters(), *project_counters())
+    """Counters of each maintainer, or of each maintainer and further keys; in two levels, first for each project, so that
+    distinct projects are counted without a copy of the rows for each kind."""
+    kinds = project_kinds()
+    inner = packages.groupBy("maintainer", *keys, "effname").agg(*package_counters(), *[F.bool_or(c).alias(f"_is{k}") for k, c in kinds.items()])
+    sums = [F.sum(c).alias(c) for c in inner.columns if c.startswith("num_packages")]
+    return inner.groupBy("maintainer", *keys).agg(*sums, *[F.count_if(f"_is{k}").alias(f"num_projects{k}") for k in kinds])
 
 
 def by_maintainer_category(packages: DataFrame) -> DataFrame:
@@ -81,12 +84,13 @@ def applied(stored: DataFrame, change: DataFrame, keys: list[str], keep_empty: b
 
 def projects(packages: DataFrame) -> DataFrame:
     newest = _is(STATUS["newest"], STATUS["devel"])
+    several = lambda c: F.size(F.collect_set(c)).cast("long")  # noqa: E731  (there are a few hundred repositories)
     return packages.groupBy("effname").agg(
-        F.count_distinct("repo").alias("num_repos"),
-        F.count_distinct(F.when(~F.col("shadow"), F.col("repo"))).alias("num_repos_nonshadow"),
-        F.count_distinct("family").alias("num_families"),
-        F.count_distinct(F.when(newest, F.col("repo"))).alias("num_repos_newest"),
-        F.count_distinct(F.when(newest, F.col("family"))).alias("num_families_newest"),
+        several("repo").alias("num_repos"),
+        several(F.when(~F.col("shadow"), F.col("repo"))).alias("num_repos_nonshadow"),
+        several("family").alias("num_families"),
+        several(F.when(newest, F.col("repo"))).alias("num_repos_newest"),
+        several(F.when(newest, F.col("family"))).alias("num_families_newest"),
     )
 
 
@@ -141,10 +145,11 @@ def global_statistics(packages: DataFrame) -> DataFrame:
     )
 
 
-def class_mask(packages: DataFrame, *keys: str) -> DataFrame:
-    """Bit masks of the classes and flags seen, and the number of packages."""
+def class_mask(packages: DataFrame, *keys: str, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Bit masks of the classes and flags seen, the number of packages, and further aggregates."""
     return packages.groupBy(*keys).agg(
         F.bit_or(F.expr("shiftleft(1, versionclass)")).alias("any_statuses"),
         F.bit_or("flags").alias("any_flags"),
         F.count(F.lit(1)).alias("refcount"),
+        *more,
     )

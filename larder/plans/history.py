@@ -190,7 +190,7 @@ def status_events(old: DataFrame, new: DataFrame, keys: list[str], repositories:
     d = a.join(state(new).withColumn("now", F.lit(True)), keys, "full_outer")
     complete = F.lit(True)
     if repositories is not None:
-        d = d.join(F.broadcast(repositories.filter("active").select("repo", "incomplete")), "repo")
+        d = d.join(repositories.filter("active").select("repo", "incomplete"), "repo")  # by Spark's own choice of size
         complete = ~F.col("incomplete")
     was, now = F.col("was").isNotNull(), F.col("now").isNotNull()
     nothing = F.lit(None).cast("string")

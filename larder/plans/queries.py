@@ -44,13 +44,13 @@ def classify_rows(spark, sf_dir):
 @query(
     with_sql(
         """WITH shown AS (SELECT effname FROM pkg GROUP BY effname HAVING count(*) FILTER (WHERE NOT shadow) > 0)
-SELECT effname, repo, version, versionclass, count(*) AS n FROM all_c WHERE effname BETWEEN 'p1' AND 'p3' AND effname IN (SELECT effname FROM shown) GROUP BY ALL""",
+SELECT effname, repo, version, versionclass, count(*) AS n FROM all_c WHERE effname IN (SELECT effname FROM shown) GROUP BY ALL""",
         all_packages=True,
     )
 )
 def dump(spark, sf_dir):
-    """A range of projects that some open repository holds, classified."""
-    rows = packages(spark, sf_dir).filter("effname between 'p1' and 'p3'")
+    """All projects that some open repository holds, classified."""
+    rows = packages(spark, sf_dir)
     shown = rows.filter("not shadow").select("effname").distinct()
     return classify(rows).join(shown, "effname", "left_semi").groupBy("effname", "repo", "version", "versionclass").agg(F.count(F.lit(1)).alias("n"))
 
@@ -307,7 +307,7 @@ def track_version_delta(spark, sf_dir):
 
 
 def _track_versions(packages_: DataFrame) -> DataFrame:
-    return aggregates.class_mask(packages_, "repo", "trackname", "version").join(packages_.groupBy("repo", "trackname", "version").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts")), ["repo", "trackname", "version"])
+    return aggregates.class_mask(packages_, "repo", "trackname", "version", more=(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts")))
 
 
 def _releases(spark, sf_dir) -> DataFrame:
@@ -501,12 +501,12 @@ def link_refcounts(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_LINKS}, a AS (SELECT url, bool_or(link_type IN (0, 1, 2, 3)) AS p, count(*) AS k FROM l WHERE page_id % 3 <> 0 GROUP BY url), b AS (SELECT url, bool_or(link_type IN (0, 1, 2, 3)) AS p, count(*) AS k FROM l WHERE page_id % 4 <> 0 GROUP BY url)
+    f"""WITH {_LINKS}, a AS (SELECT url, bool_or(link_type IN (0, 1, 2, 3)) AS p, count(*) AS k FROM l WHERE page_id % 3 <> 0 GROUP BY url), b AS (SELECT url, bool_or(link_type IN (0, 1, 2, 3)) AS p, count(*) AS k FROM l WHERE page_id % 4 <> 0 OR page_id % 12 = 0 GROUP BY url)
 SELECT coalesce(a.url, b.url) AS url, coalesce(b.k, 0) - coalesce(a.k, 0) AS delta, coalesce(b.p, FALSE) AS priority FROM a FULL OUTER JOIN b ON a.url = b.url WHERE coalesce(b.k, 0) <> coalesce(a.k, 0) OR coalesce(b.p AND NOT a.p, FALSE)"""
 )
 def link_delta(spark, sf_dir):
     l = _page_links(spark, sf_dir)  # noqa: E741
-    return links.link_delta(l.filter("page_id % 3 <> 0"), l.filter("page_id % 4 <> 0"))
+    return links.link_delta(l.filter("page_id % 3 <> 0"), l.filter("page_id % 4 <> 0 or page_id % 12 = 0"))
 
 
 @query(f"WITH {_LINKS} SELECT DISTINCT url FROM l WHERE page_id % 4 <> 0 AND url NOT IN (SELECT url FROM l WHERE page_id % 4 = 0)")
@@ -587,7 +587,7 @@ def link_problems(spark, sf_dir):
 
 # Vulnerabilities
 
-_RANGES = """r AS (SELECT concat('p', CAST(p_partkey AS VARCHAR)) AS effname, CASE WHEN p_size % 4 = 0 THEN NULL ELSE (p_size % 7 + 1) * 1000 END AS a, CASE WHEN p_size % 5 = 0 THEN NULL ELSE (p_size % 7 + 2) * 1000 + 25 END AS b, p_size % 2 = 0 AS xa, p_size % 3 = 0 AS xb FROM part WHERE p_partkey % 3 = 0)"""
+_RANGES = """r AS (SELECT concat('p', CAST(p_partkey AS VARCHAR)) AS effname, CASE WHEN p_size % 4 = 0 THEN NULL ELSE (p_size % 7 + 1) * 1000 END AS a, CASE WHEN p_size % 5 = 0 THEN NULL ELSE (p_size % 7 + 2) * 1000 + 25 END AS b, p_size % 2 = 0 AS xa, p_size % 3 = 0 AS xb FROM part)"""
 
 
 @query(
@@ -598,7 +598,7 @@ _RANGES = """r AS (SELECT concat('p', CAST(p_partkey AS VARCHAR)) AS effname, CA
 )
 def vulnerable_packages(spark, sf_dir):
     size = F.col("p_size")
-    ranges = table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(
+    ranges = table(spark, sf_dir, "part").select(
         F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("effname"),
         F.when(size % 4 != 0, (size % 7 + 1).cast("string")).alias("start_version"),
         F.when(size % 5 != 0, F.concat((size % 7 + 2).cast("string"), F.lit(".25"))).alias("end_version"),
@@ -609,14 +609,14 @@ def vulnerable_packages(spark, sf_dir):
     return marked.filter("(flags & 65536) <> 0").groupBy("effname", "version").agg(F.count(F.lit(1)).alias("n"))
 
 
-_CPE = """o AS (SELECT s_suppkey AS id, CAST(s_nationkey % 5 AS VARCHAR) AS vendor, CAST(s_suppkey % 10 AS VARCHAR) AS product, CASE WHEN s_suppkey % 3 = 0 THEN '*' ELSE CAST(s_suppkey % 4 AS VARCHAR) END AS lang, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE CAST(s_suppkey % 2 AS VARCHAR) END AS other FROM supplier),
+_CPE = """o AS (SELECT s_suppkey AS id, CAST(s_nationkey % 5 AS VARCHAR) AS vendor, CAST(s_suppkey % 25 AS VARCHAR) AS product, CASE WHEN s_suppkey % 3 = 0 THEN '*' ELSE CAST(s_suppkey % 4 AS VARCHAR) END AS lang, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE CAST(s_suppkey % 2 AS VARCHAR) END AS other FROM supplier),
 t AS (SELECT c_custkey AS cve, CAST(c_nationkey % 5 AS VARCHAR) AS vendor, CAST(c_custkey % 10 AS VARCHAR) AS product, CASE WHEN c_custkey % 2 = 0 THEN '*' ELSE CAST(c_custkey % 4 AS VARCHAR) END AS lang, CASE WHEN c_custkey % 5 = 0 THEN '*' ELSE CAST(c_custkey % 2 AS VARCHAR) END AS other FROM customer)"""
 
 
 def _cpes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     text = lambda c: c.cast("string")
     s, c = F.col("s_suppkey"), F.col("c_custkey")
-    ours = table(spark, sf_dir, "supplier").select(s.alias("id"), text(F.col("s_nationkey") % 5).alias("cpe_vendor"), text(s % 10).alias("cpe_product"), F.when(s % 3 == 0, "*").otherwise(text(s % 4)).alias("lang"), F.when(s % 7 != 0, text(s % 2)).alias("other"))
+    ours = table(spark, sf_dir, "supplier").select(s.alias("id"), text(F.col("s_nationkey") % 5).alias("cpe_vendor"), text(s % 25).alias("cpe_product"), F.when(s % 3 == 0, "*").otherwise(text(s % 4)).alias("lang"), F.when(s % 7 != 0, text(s % 2)).alias("other"))
     theirs = table(spark, sf_dir, "customer").select(c.alias("cve"), text(F.col("c_nationkey") % 5).alias("cpe_vendor"), text(c % 10).alias("cpe_product"), F.when(c % 2 == 0, "*").otherwise(text(c % 4)).alias("lang"), F.when(c % 5 == 0, "*").otherwise(text(c % 2)).alias("other"))
     return ours, theirs
 
@@ -630,11 +630,10 @@ def cpe_wildcards(spark, sf_dir):
     return links.cpe_matches(ours, theirs, ("lang", "other")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_CPE} SELECT o.id FROM o WHERE NOT EXISTS (SELECT 1 FROM t WHERE o.vendor = t.vendor AND o.product = t.product AND t.cve % 4 = 0 AND {_AGREE.format(f='lang')} AND {_AGREE.format(f='other')})")
+@query(f"WITH {_CPE} SELECT o.id FROM o WHERE NOT EXISTS (SELECT 1 FROM t WHERE o.vendor = t.vendor AND o.product = t.product AND {_AGREE.format(f='lang')} AND {_AGREE.format(f='other')})")
 def cpe_unreferenced(spark, sf_dir):
     ours, theirs = _cpes(spark, sf_dir)
-    known = theirs.filter("cve % 4 = 0")
-    return links.unreferenced_cpes(ours, known.filter("cve % 8 = 0"), known.filter("cve % 8 <> 0"), ("lang", "other")).select("id")
+    return links.unreferenced_cpes(ours, theirs.filter("cve % 2 = 0"), theirs.filter("cve % 2 = 1"), ("lang", "other")).select("id")
 
 
 @query("SELECT min(x) AS id FROM range(1, 100000) t(x) WHERE x NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 50 <> 7)")
