@@ -302,9 +302,5 @@ def test_sentencepiece(spark, docs, empty):
     assert sentencepiece_codec.round_trip(empty).count() == 0
 
 
-def test_pipeline_keeps_clean_documents(spark):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, SMALL)
-    assert {"doc_id", "n_tokens"} <= set(out.columns) and 0 < out.count() <= spark.read.parquet(f"{SMALL}/documents.parquet").count()
+def test_all_operators_are_registered():
     assert len(QUERIES) == 10
