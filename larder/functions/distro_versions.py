@@ -5,8 +5,6 @@ A version is cut into parts and the parts folded into a result by ``aggregate``.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +35,7 @@ def parse_debian(version: Column, extra_garbage: tuple[str, ...] = ()) -> Column
         full = lambda pattern: part.rlike(f"(?i)^(?:{pattern})$")
         worded = part.rlike("[a-zA-Z]")
         flags = acc["flags"]
+        # Patterns of pre- and post-release parts.
         pre = full("[+~-]+(?:alpha|beta|rc|dev|pre[a-z]*)[.0-9]*") | full("~[ab][0-9]{0,2}")
         post = full(r"[+-]+post[a-z]*[.0-9]*")
         first_word = worded & (acc["worded"] == 0) & part.rlike("^[+][a-zA-Z]")
@@ -59,6 +58,7 @@ def parse_debian(version: Column, extra_garbage: tuple[str, ...] = ()) -> Column
     return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), start, fold, finish)
 
 
+# Patterns of pre- and post-release words in a release.
 _RPM_PARTS = (r"(?:alpha|beta|rc)(?:[0-9]+|\.[0-9]{1,2}(?![0-9]))?", r"(?:dev|pre)(?:[0-9]+|\.[0-9]{1,2}(?![0-9]))?", r"post[0-9]+")
 
 
@@ -102,7 +102,3 @@ def nevra_text(n: Column, epoch: str = "nonzero") -> Column:
     e = F.coalesce(n["epoch"], F.lit("0"))
     shown = {"never": F.lit(False), "always": F.lit(True), "nonzero": e != "0"}[epoch]
     return F.concat(n["name"], F.lit("-"), F.when(shown, F.concat(e, F.lit(":"))).otherwise(""), n["version"], F.lit("-"), n["release"], F.lit("."), n["arch"])
-
-
-def escaped(words: tuple[str, ...]) -> str:
-    return "|".join(map(re.escape, words))

@@ -33,12 +33,12 @@ def tolower(c: Column) -> Column:
 
 
 def warn_whitespace(c: Column) -> Column:
-    return _result(c, F.when(c.rlike("[ \t]"), "contains whitespace"))
+    return _result(c, F.when(c.rlike("[ \t]"), "white space inside"))
 
 
 def forbid_newlines(c: Column) -> Column:
     bad = c.contains("\n")
-    return _result(F.when(~bad, c), F.when(bad, "contains newlines"))
+    return _result(F.when(~bad, c), F.when(bad, "more than one line"))
 
 
 def limit_length(n: int) -> Normaliser:
@@ -47,12 +47,13 @@ def limit_length(n: int) -> Normaliser:
 
 def url(c: Column) -> Column:
     """Scheme and host in lower case, a path for web links; unknown schemes and other texts are dropped."""
+    # Fixed value: what counts as a link.
     pattern = r"(?is)^([a-z][a-z0-9.+-]*)://([^/]+)(/.*)?$"
     ok = c.rlike(pattern)
     scheme, host, path = F.lower(F.regexp_extract(c, pattern, 1)), F.lower(F.regexp_extract(c, pattern, 2)), F.regexp_extract(c, pattern, 3)
     path = F.when(scheme.isin("http", "https", "ftp") & (path == ""), "/").otherwise(path)
     known = scheme.isin(*SCHEMES)
-    note = F.when(~ok & ~c.contains("://"), "does not look like an URL (schema missing)").when(~ok, "does not look like an URL").when(~known, "unsupported URL schema")
+    note = F.when(~ok & ~c.contains("://"), "no scheme").when(~ok, "no host").when(~known, "scheme not known")
     return _result(F.when(ok & known, F.concat(scheme, F.lit("://"), host, path)), note)
 
 
