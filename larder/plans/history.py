@@ -242,11 +242,11 @@ def redirects(old: DataFrame, new: DataFrame) -> DataFrame:
     return moved.withColumn("n", n).filter("n > 1").select(*keys, F.col("now").isNotNull().alias("is_actual"))
 
 
-def derived_redirects(redirects: DataFrame, suffix: str = "-unclassified") -> DataFrame:
-    """Redirects to ``x-unclassified`` also hold for x, unless x has them."""
-    bad = redirects.filter(F.col("effname").endswith(suffix))
-    base = bad.withColumn("effname", F.expr(f"substring(effname, 1, length(effname) - {len(suffix)})"))
-    return base.join(redirects, ["repo", "trackname", "effname"], "left_anti")
+def derived_redirects(redirects: DataFrame, projects: DataFrame, suffix: str = "-unclassified") -> DataFrame:
+    """Redirects that left ``x-unclassified`` also hold for a project x that is there, unless x has them."""
+    left = redirects.filter(F.col("effname").endswith(suffix) & ~F.col("is_actual"))
+    base = left.withColumn("effname", F.expr(f"substring(effname, 1, length(effname) - {len(suffix)})"))
+    return base.join(projects.select("effname").distinct(), "effname", "left_semi").join(redirects, ["repo", "trackname", "effname"], "left_anti").select(*redirects.columns)
 
 
 def thinned(history: DataFrame, key: str, ts: str, fields: list[str]) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.operators import changes, rules
-from larder.plans import aggregates, links, upkeep
-from larder.plans.landscape import new_packages, old_packages, packages, table, with_sql
+from larder.plans import aggregates, history, links, upkeep
+from larder.plans.landscape import new_packages, old_packages, packages, snapshots, table, with_sql
 from larder.plans.load_queries import ROWS, rows
 from larder.plans.registry import query
 
@@ -334,3 +334,32 @@ def rule_table(spark, sf_dir):
     named = [{"name": f"x{n}", "setname": f"y{n}"} for n in range(40)] + [{"name": f"y{n}", "ignore": True} for n in range(40)]
     out = rules.apply_rules(p, named).filter("flags = 4")
     return out.groupBy("effname", F.element_at("matched_rules", 1).alias("number")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(ROWS + "SELECT n AS trackname, b AS effname, FALSE AS is_actual FROM r WHERE k % 3 <> 0 AND k % 5 <> 0 AND b IN (SELECT b FROM r WHERE size > 40)")
+def redirects_derived(spark, sf_dir):
+    r = rows(spark, sf_dir)
+    left = r.select(F.lit("repo").alias("repo"), F.col("n").alias("trackname"), F.concat("b", F.lit("-unclassified")).alias("effname"), (F.col("k") % 3 == 0).alias("is_actual"))
+    known = r.filter("k % 5 = 0").select(F.lit("repo").alias("repo"), F.col("n").alias("trackname"), F.col("b").alias("effname"), F.lit(True).alias("is_actual"))
+    out = history.derived_redirects(left.unionByName(known), r.filter("size > 40").select(F.col("b").alias("effname")))
+    return out.select("trackname", "effname", "is_actual")
+
+
+_MASKS = "(SELECT repo, trackname, version, count(*) AS k, bit_or(CAST(1 << versionclass AS INT)) AS s, bit_or(CAST(flags AS INT)) AS f FROM {}_c GROUP BY repo, trackname, version)"
+
+
+@query(
+    with_sql(
+        f"""SELECT coalesce(o.repo, n.repo) AS repo, coalesce(o.trackname, n.trackname) AS trackname, coalesce(o.version, n.version) AS version, coalesce(o.s, 0) | coalesce(n.s, 0) AS any_statuses, coalesce(o.f, 0) | coalesce(n.f, 0) AS any_flags,
+coalesce(n.k, 0) AS refcount, o.repo IS NULL AS started, n.repo IS NULL AS ended FROM {_MASKS.format('old')} o FULL OUTER JOIN {_MASKS.format('new')} n ON o.repo = n.repo AND o.trackname = n.trackname AND o.version = n.version""",
+        old=True,
+        new=True,
+    )
+)
+def track_versions_merged(spark, sf_dir):
+    """Statuses and flags gather over runs; a version that no package has any more ends."""
+    old, new = snapshots(spark, sf_dir)
+    run_ts = F.expr(RUN_TS)
+    stored = aggregates.class_mask(old, "repo", "trackname", "version").withColumns({"start_ts": F.expr("TIMESTAMP '2000-06-01 00:00:00'"), "end_ts": F.lit(None).cast("timestamp")})
+    out = history.merged_track_versions(stored, history.track_version_delta(old, new), run_ts)
+    return out.select("repo", "trackname", "version", "any_statuses", "any_flags", "refcount", (F.col("start_ts") == run_ts).alias("started"), F.col("end_ts").isNotNull().alias("ended"))
