@@ -157,7 +157,7 @@ UNION ALL SELECT n, 'HEAD', 128, concat('0|http://', b, '.org/ 2|http://', b, '.
 def parse_homebrew(spark, sf_dir):
     site = F.concat(F.lit("http://"), "b", F.lit(".org/"))
     head = F.col("k") % 2 == 0
-    urls = F.struct(F.struct(F.concat(site, F.lit("x.tgz")).alias("url")).alias("stable"), F.struct(F.when(head, F.concat(site, F.lit("x.git"))).alias("url"), F.when(head, F.lit("main")).alias("branch")).alias("head"))
+    urls = F.struct(F.struct(F.concat(site, F.lit("x.tgz")).alias("url"), F.lit("abc").alias("checksum")).alias("stable"), F.struct(F.when(head, F.concat(site, F.lit("x.git"))).alias("url"), F.when(head, F.lit("main")).alias("branch")).alias("head"))
     item = F.struct(F.concat("n", F.lit("@1")).alias("name"), site.alias("homepage"), F.struct(F.col("v").alias("stable"), F.when(head, F.lit("HEAD")).alias("head")).alias("versions"), urls.alias("urls"))
     return plain(json_formats.homebrew(json_texts(rows(spark, sf_dir), item)), "flags", "links")
 

@@ -57,27 +57,27 @@ LINK_TYPE = {
     "project_homepage": 4,
     "package_homepage": 5,
     "package_download": 6,
-    "package_repository": 7,
+    "package_sources": 7,
     "package_issue_tracker": 8,
     "package_recipe": 9,
     "package_recipe_raw": 10,
     "package_patch": 11,
     "package_patch_raw": 12,
-    "package_buildlog": 13,
-    "package_buildlog_raw": 14,
+    "package_build_log": 13,
+    "package_build_log_raw": 14,
     "package_new_version_checker": 15,
     "upstream_documentation": 16,
     "upstream_changelog": 17,
     "project_download": 18,
     "upstream_donation": 19,
     "upstream_discussion": 20,
-    "upstream_coc": 21,
-    "upstream_license": 22,
-    "upstream_contributing": 23,
+    "upstream_coverage": 21,
+    "upstream_ci": 22,
+    "upstream_wiki": 23,
     "package_statistics": 25,
-    "package_buildlogs": 26,
-    "upstream_wiki": 27,
-    "upstream_issues": 28,
+    "package_build_status": 26,
+    "package_build_logs": 27,
+    "upstream_download_page": 28,
     "other": 99,
 }
 RULE_LINK_TYPES = (18, 4, 1, 0, 2)

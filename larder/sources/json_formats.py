@@ -266,17 +266,19 @@ def guix(docs: DataFrame, download_hosts_blacklist: tuple[str, ...] = ()) -> Dat
     )
 
 
-_FILE = "struct<url:string,tag:string,revision:string,branch:string,using:string>"
+_FILE = "struct<url:string,tag:string,revision:string,branch:string,checksum:string,using:string>"
 
 
 def homebrew(docs: DataFrame) -> DataFrame:
-    """The stable version and the head (rolling); a place with a tag, revision, branch or tool is a repository."""
+    """The stable version and the head (rolling). A place with a checksum is a file, one without is a repository; a tool that says otherwise is an error."""
     rows = json_items(docs, f"struct<name:string,desc:string,homepage:string,ruby_source_path:string,versions:struct<stable:string,head:string>,urls:struct<stable:{_FILE},head:{_FILE}>>")
     kinds = F.array(*[F.struct(_i("versions")[k].alias("version"), _i("urls")[k].alias("file"), F.lit(k == "head").alias("head")) for k in ("stable", "head")])
     rows = rows.withColumn("v", F.explode(F.filter(kinds, lambda v: (F.coalesce(v["version"], F.lit("")) != "") & v["file"].isNotNull())))
     file = F.col("v.file")
-    tool = F.coalesce(file["using"], F.lit(""))
-    vcs = file["url"].rlike(r"\.git$") | tool.isin("git", "hg", "svn", "cvs", "bzr", "fossil") | F.coalesce(file["tag"], file["revision"], file["branch"]).isNotNull() | F.col("v.head")
+    tool, summed = file["using"], file["checksum"].isNotNull()
+    # Tools that fetch files, and tools that fetch repositories.
+    fits = tool.isNull() | (summed & tool.isin("homebrew_curl", "nounzip")) | (~summed & tool.isin("bzr", "cvs", "fossil", "git", "hg", "svn"))
+    vcs = F.when(fits, ~summed).otherwise(F.raise_error(F.concat(F.lit("tool and checksum do not fit: "), tool)).cast("boolean"))
     return raw(
         rows,
         names={"homebrew_name": _i("name"), "homebrew_name_pre_at": F.substring_index(_i("name"), "@", 1)},
@@ -327,12 +329,17 @@ def pacstall(docs: DataFrame) -> DataFrame:
 
 # Labels of project links and what they mean.
 PYPI_LINKS = {
-    "upstream_homepage": ("homepage", "home", "home page", "website"),
-    "upstream_repository": ("source", "source code", "repository", "github", "code", "sources", "github project", "gitlab"),
-    "upstream_documentation": ("documentation", "docs"),
-    "upstream_issue_tracker": ("issues", "bug tracker", "tracker", "issue tracker", "bug reports", "bugs"),
-    "upstream_changelog": ("changelog", "changes", "release notes", "history"),
-    "upstream_donation": ("funding", "donate", "donation", "sponsor"),
+    "upstream_homepage": ("homepage", "website"),
+    "upstream_download": ("download",),
+    "upstream_repository": ("code", "repository", "source", "source code", "sources"),
+    "upstream_issue_tracker": ("bug reports", "bug tracker", "issue tracker", "issues", "tracker"),
+    "upstream_documentation": ("docs", "documentation"),
+    "upstream_changelog": ("change log", "changelog", "history", "release notes"),
+    "upstream_donation": ("donation", "funding"),
+    "upstream_discussion": ("chat", "discord", "discussions", "forum"),
+    "upstream_coverage": ("coverage",),
+    "upstream_ci": ("ci",),
+    "upstream_wiki": ("wiki",),
 }
 
 
@@ -346,7 +353,7 @@ def pypi(docs: DataFrame) -> DataFrame:
     labelled = F.filter(F.map_entries(F.coalesce(info_("project_urls"), F.create_map().cast("map<string,string>"))), lambda e: e["value"] != "UNKNOWN")
     of_kind = lambda words: F.transform(F.filter(labelled, lambda e: F.lower(e["key"]).isin(*words)), lambda e: e["value"])
     good = F.filter("files", lambda f: ~F.coalesce(f["yanked"], F.lit(False)))
-    devel = F.lower("version").rlike(r"^v?(?:\d+!)?\d+(?:\.\d+)*(?:[-_.]?(?:a|b|c|rc|alpha|beta|pre|preview)[-_.]?\d*(?:(?:-\d+)|[-_.]?(?:post|rev|r)[-_.]?\d*)?(?:[-_.]?dev[-_.]?\d*)?|(?:(?:-\d+)|[-_.]?(?:post|rev|r)[-_.]?\d*)?[-_.]?dev[-_.]?\d*)(?:\+[a-z0-9]+(?:[-_.][a-z0-9]+)*)?$")
+    devel = F.lower("version").rlike("a|b|rc|dev|alpha|beta|c|pre|preview")  # Fixed value: words of pre-releases.
     return raw(
         rows,
         names={"srcbin": info_("name")},
@@ -430,7 +437,7 @@ def termux(docs: DataFrame) -> DataFrame:
     account = F.regexp_extract(_i("maintainer"), "(?:^| )@([^ ]+)$", 1)
     pairs = F.arrays_zip(F.coalesce(_i("package_patch_urls"), no_texts()).alias("u"), F.coalesce(_i("package_patch_raw_urls"), no_texts()).alias("r"))
     patches = F.flatten(F.transform(pairs, lambda p: F.array(F.struct(F.lit(11).alias("link_type"), p["u"].alias("url")), F.struct(F.lit(12).alias("link_type"), p["r"].alias("url")))))
-    kinds = {"upstream_homepage": "homepage", "upstream_download": "srcurl", "package_repository": "package_sources_url", "package_recipe": "package_recipe_url", "package_recipe_raw": "package_recipe_url_raw"}
+    kinds = {"upstream_homepage": "homepage", "upstream_download": "srcurl", "package_sources": "package_sources_url", "package_recipe": "package_recipe_url", "package_recipe_raw": "package_recipe_url_raw"}
     return raw(
         rows,
         names={"srcbin": _i("name")},
@@ -462,42 +469,110 @@ def metacpan(docs: DataFrame) -> DataFrame:
     )
 
 
-def nix(docs: DataFrame) -> DataFrame:
-    """Packages by attribute path; the version of a name without ``pname`` is what follows its last dash before a digit."""
-    meta = "struct<homepage:string,description:string,license:string,maintainers:array<struct<email:string,github:string>>,position:string>"
+# Names that the version was cut from wrongly, and the beginnings of such versions.
+NIX_WRONG_VERSIONS = {
+    "liblqr": ("1",),
+    "python2.7": ("3to2",),
+    "python3.6": ("3to2",),
+    "python3.7": ("3to2",),
+    "python3.8": ("3to2",),
+    "libretro": ("4do",),
+    "polkit-qt": ("1-qt4", "1-qt5"),
+    "Dell": ("5130cdn-Color-Laser",),
+    "epson": ("201106w",),
+    "MPH": ("2B-Damase",),
+    "x86": ("64bit",),
+    "fuse": ("7z-ng",),
+    "av": ("98",),
+}
+NIX_WRONG_NAMES = ("airstrike-pre",)
+NIX_GARBAGE = r"node-_at|^_at|--|^luajit-2\.1\.0-beta3-|^palp-6d|^cudatoolkit-[0-9.-]+-cudnn|^nccl-[0-9.-]+-cuda"
+NIX_KNOWN_LETTERS = ("alpha", "beta", "rc", "a", "b", "pre", "post", "rev", "q", "u", "build", "unstable")
+NIX_LOGS = {
+    ("linux", False): "https://hydra.nixos.org/job/nixpkgs/unstable/{key}.{arch}-linux",
+    ("linux", True): "https://hydra.nixos.org/job/nixos/release-{branch}/nixpkgs.{key}.{arch}-linux",
+    ("darwin", False): "https://hydra.nixos.org/job/nixpkgs/unstable/{key}.{arch}-darwin",
+    ("darwin", True): "https://hydra.nixos.org/job/nixpkgs/nixpkgs-{branch}-darwin/{key}.{arch}-darwin",
+}
+_NIX_CPE = "struct<vendor:string,product:string,edition:string,language:string,sw_edition:string,target_sw:string,target_hw:string,other:string>"
+
+
+def nix(docs: DataFrame, branch: str | None = None, enable_build_log_links: bool = True, use_pname: bool = False) -> DataFrame:
+    """Packages by attribute path. Name and version are cut from the full name at the first dash before a digit, unless
+    ``use_pname``; names and versions that are known to be cut wrongly go, suspicious versions are not trusted."""
+    meta = (
+        "struct<homepage:string,changelog:string,downloadPage:string,donationPage:string,description:string,license:string,maintainers:array<string>,position:string,broken:boolean,unfree:boolean,insecure:boolean,"
+        f"platforms:array<string>,badPlatforms:array<string>,hydraPlatforms:array<string>,identifiers:struct<cpeParts:{_NIX_CPE}>>"
+    )
     rows = json_entries(docs, f"struct<name:string,pname:string,version:string,meta:{meta}>", "packages")
-    full, pattern = _i("name"), r"^(.+?)-([0-9][^/]*)$"
-    name = F.coalesce(F.nullif(_i("pname"), F.lit("")), F.nullif(F.regexp_extract(full, pattern, 1), F.lit("")))
-    version = F.coalesce(F.nullif(_i("version"), F.lit("")), F.nullif(F.regexp_extract(full, pattern, 2), F.lit("")))
-    rows = rows.filter(name.isNotNull() & version.isNotNull())
-    people = F.coalesce(_i("meta")["maintainers"]["email"], no_texts())
-    people = F.when(F.size(people) > 24, F.raise_error(F.concat(F.lit("too many maintainers of "), F.col("key")))).otherwise(people)
-    license_ = _i("meta")["license"]
-    licenses = F.coalesce(F.from_json(license_, "array<struct<shortName:string>>")["shortName"], F.array(F.coalesce(F.get_json_object(license_, "$.shortName"), F.when(~license_.rlike(r"^\s*[\[{]"), license_))))
-    place = F.regexp_extract(_i("meta")["position"], "^(.*?):([0-9]+)$", 1)
-    pages = F.coalesce(F.from_json(_i("meta")["homepage"], "array<string>"), F.array(_i("meta")["homepage"]))
+    full, pname, stated = _i("name"), F.coalesce(_i("pname"), F.lit("")), F.coalesce(_i("version"), F.lit(""))
+    pattern = r"^(.+?)-([0-9].*)$"
+    wrong = pname.isin(*NIX_WRONG_NAMES) | stated.rlike("^(100|75)dpi")
+    for name, starts in NIX_WRONG_VERSIONS.items():
+        for start in starts:
+            wrong = wrong | ((pname == name) & stated.startswith(start))
+    rows = rows.filter(~full.rlike(NIX_GARBAGE) & ~wrong & (stated != "") & full.rlike(pattern))
+    letters = F.regexp_replace(F.lower(stated), r"[^\p{L}]", "")
+    suspicious = F.lower(stated).rlike("^[0-9].*[a-z].*-[0-9]") & ~letters.isin(*NIX_KNOWN_LETTERS)
+    version = stated if use_pname else F.regexp_extract(full, pattern, 2)
+    m = _i("meta")
+
+    def person(text: Column) -> Column:
+        """Accounts are objects with a mail address or a name at a host; in old data they are text."""
+        mail, account = F.lower(F.get_json_object(text, "$.email")), F.lower(F.get_json_object(text, "$.github"))
+        old = F.filter(_people(text), lambda x: ~x.contains("<"))
+        known = F.coalesce(mail, F.concat(account, F.lit("@github")))
+        return F.when(text.rlike(r"^\s*\{"), F.filter(F.array(known), lambda x: x.isNotNull())).otherwise(old)
+
+    people = F.flatten(F.transform(F.coalesce(m["maintainers"], no_texts()), person))
+    people = F.when(F.size(people) > 24, F.raise_error(F.concat(F.lit("too many maintainers of "), F.col("key"))).cast("array<string>")).otherwise(people)
+
+    def license_names(text: Column) -> Column:
+        one_name = lambda x: F.coalesce(F.get_json_object(x, "$.spdxId"), F.get_json_object(x, "$.fullName"), F.get_json_object(x, "$.fullname"), F.when(~x.rlike(r"^\s*\{"), x))
+        return F.filter(F.transform(F.coalesce(F.from_json(text, "array<string>"), F.array(text)), one_name), lambda x: x.isNotNull())
+
+    pages = F.coalesce(F.from_json(m["homepage"], "array<string>"), F.array(m["homepage"]))
+    links = [link("upstream_homepage", pages), link("upstream_changelog", F.coalesce(F.from_json(m["changelog"], "array<string>"), F.array(m["changelog"]))), link("upstream_download_page", one(m["downloadPage"])), link("upstream_donation", one(m["donationPage"]))]
+    if enable_build_log_links:
+        for arch, platform in (("x86_64", "linux"), ("aarch64", "linux"), ("x86_64", "darwin"), ("aarch64", "darwin")):
+            target = f"{arch}-{platform}"
+            off = F.coalesce(m["broken"], F.lit(False)) | F.coalesce(m["unfree"], F.lit(False)) | F.coalesce(m["insecure"], F.lit(False))
+            built = ~off & F.coalesce(F.array_contains(m["platforms"], target), F.lit(True)) & ~F.coalesce(F.array_contains(m["badPlatforms"], target), F.lit(False)) & F.coalesce(F.array_contains(m["hydraPlatforms"], target), F.lit(True))
+            place = NIX_LOGS[platform, branch is not None].replace("{arch}", arch).replace("{branch}", branch or "")
+            links.append(link("package_build_logs", one(F.when(built, F.replace(F.lit(place), F.lit("{key}"), F.col("key"))))))
+    position = r"^(.*):([0-9]+)$"
+    cpe = m["identifiers"]["cpeParts"]
     return raw(
         rows,
-        names={"nix_pname": name, "nix_attribute_path": F.col("key")},
+        names={"nix_pname": pname if use_pname else F.regexp_extract(full, pattern, 1), "nix_attribute_path": F.col("key")},
         version=version,
-        summary=_i("meta")["description"],
+        summary=F.replace(m["description"], F.lit("\n"), F.lit(" ")),
+        categories=one(F.when(F.col("key").contains("."), F.substring_index("key", ".", 1))),
         maintainers=people,
-        licenses=licenses,
-        flags=flag_if(version.rlike("^[0-9a-f]*[a-f][0-9a-f]*$") & (F.length(version) >= 7), "ignore"),
-        extrafields=map_of(posfile=F.nullif(place, F.lit("")), posline=F.nullif(F.regexp_extract(_i("meta")["position"], "^(.*?):([0-9]+)$", 2), F.lit(""))),
-        links=[link("upstream_homepage", pages)],
+        licenses=license_names(m["license"]),
+        flags=flags_of(flag_if(suspicious, "untrusted"), flag_if(version.rlike("^[0-9a-f]*[a-f][0-9a-f]*$") & (F.length(version) >= 7), "ignore")),
+        cpe=map_of(**{c: F.when(cpe["vendor"].isNotNull(), cpe["language" if c == "lang" else c]) for c in _CPE}),
+        extrafields=map_of(posfile=F.nullif(F.regexp_extract(m["position"], position, 1), F.lit("")), posline=F.nullif(F.regexp_extract(m["position"], position, 2), F.lit(""))),
+        links=links,
     )
 
 
 def openindiana(docs: DataFrame) -> DataFrame:
-    """Names of the ``fmri`` and what ``set name=… value=…`` actions say; name, version and summary are required."""
-    rows = json_items(docs, "struct<fmri:string,actions:array<string>>", "packages")
-    pattern = r'^set name=(\S+)\s.*?value=(?:"([^"]*)"|(\S+))'
-    value = lambda key: F.get(F.filter(F.transform(_i("actions"), lambda a: F.when(F.regexp_extract(a, pattern, 1) == key, F.concat(F.regexp_extract(a, pattern, 2), F.regexp_extract(a, pattern, 3)))), lambda x: x.isNotNull()), F.lit(0))
-    name, version, summary = value("com.oracle.info.name"), value("com.oracle.info.version"), value("pkg.summary")
+    """Publishers, names and versions, nested; what ``set name=… value=…`` actions say; name, version and summary are required."""
+    found = docs.select(F.explode(F.from_json("value", "map<string,string>")).alias("publisher", "text")).filter("not startswith(publisher, '_')")
+    rows = found.select(F.explode(F.from_json("text", "map<string,array<struct<version:string,actions:array<string>>>>")).alias("fmri", "items")).select("fmri", F.explode("items").alias("item"))
+    pattern = r"^set(?: last-fmri=[^ ]+)? name=([^ ]+)(?: refresh_fmri=[^ ]+)?( value=.*)$"
+
+    def said(key: str) -> Column:
+        """All values of a name, in order."""
+        texts_ = F.flatten(F.transform(F.filter(_i("actions"), lambda a: F.regexp_extract(a, pattern, 1) == key), lambda a: F.slice(F.split(F.regexp_extract(a, pattern, 2), " value="), 2, 1000)))
+        return F.transform(texts_, lambda v: F.regexp_replace(v, r"""^(["'])(.*)\1$""", "$2"))
+
+    first = lambda key: F.get(said(key), F.lit(0))
+    name, version, summary = first("com.oracle.info.name"), first("com.oracle.info.version"), first("pkg.summary")
     rows = rows.filter(name.isNotNull() & version.isNotNull() & summary.isNotNull())
-    category = F.substring_index(F.coalesce(value("info.classification"), F.lit("")), ":", -1)
-    return raw(rows, names={"openindiana_name": name, "openindiana_fmri": _i("fmri")}, version=version, summary=summary, categories=one(category), links=[link("upstream_homepage", one(value("info.upstream-url"))), link("upstream_download", one(value("info.source-url")))])
+    categories = F.transform(said("info.classification"), lambda c: F.substring_index(c, ":", -1))
+    return raw(rows, names={"openindiana_name": name, "openindiana_fmri": F.col("fmri")}, version=version, summary=summary, categories=categories, links=[link("upstream_homepage", said("info.upstream-url")), link("upstream_download", said("info.source-url"))])
 
 
 def wikidata(docs: DataFrame) -> DataFrame:
@@ -533,7 +608,9 @@ def vcpkg(docs: DataFrame) -> DataFrame:
     get = lambda k: F.get_json_object("value", f"$['{k}']")
     version = F.coalesce(*[get(k) for k in ("version", "version-string", "version-semver", "version-date")])
     dated = version.rlike("^[0-9]{4}[.-][0-9]{1,2}[.-][0-9]{1,2}")
-    plain = F.regexp_replace(F.regexp_replace(version, "^v(?=[0-9])", ""), "-[0-9]+$", "")
+    # Marks of the packager, pre-release words before a dash, commits.
+    plain = F.regexp_replace(version, "[^0-9]*vcpkg.*$", "")
+    plain = F.regexp_replace(F.regexp_replace(plain, "(alpha|beta|rc|patch)-([0-9]+)$", "$1$2"), "-[0-9a-f]{6,}$", "")
     description = F.coalesce(F.get(F.from_json(get("description"), "array<string>"), F.lit(0)), get("description"))
     people = F.coalesce(F.from_json(get("maintainers"), "array<string>"), F.array(get("maintainers")))
     name = F.when(get("name") == F.col("folder"), get("name")).otherwise(F.raise_error(F.concat(F.lit("name differs from folder "), F.col("folder"))))

@@ -62,7 +62,7 @@ def conan(tree: DataFrame) -> DataFrame:
 
 
 # Labels of documents and the kind of link they give.
-WINGET_LABELS = {"upstream_documentation": ("documentation", "docs", "manual", "user guide", "user manual"), "upstream_wiki": ("wiki",), "upstream_discussion": ("forum", "discussions", "discord", "community")}
+WINGET_LABELS = {"upstream_documentation": ("", "docs", "documentation", "guide", "manual", "user guide"), "upstream_wiki": ("wiki",)}
 
 
 def winget(tree: DataFrame) -> DataFrame:

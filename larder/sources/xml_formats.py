@@ -131,7 +131,7 @@ def openpkg(items: DataFrame) -> DataFrame:
 def chocolatey(items: DataFrame) -> DataFrame:
     """Pages of entries; the title in the metadata may be empty."""
     p = lambda k: F.nullif(F.trim(_c(f"properties.{k}")), F.lit(""))
-    kinds = {"upstream_homepage": "ProjectUrl", "upstream_repository": "ProjectSourceUrl", "package_repository": "PackageSourceUrl", "upstream_documentation": "DocsUrl", "upstream_issue_tracker": "BugTrackerUrl", "upstream_discussion": "MailingListUrl"}
+    kinds = {"upstream_homepage": "ProjectUrl", "upstream_repository": "ProjectSourceUrl", "package_sources": "PackageSourceUrl", "upstream_documentation": "DocsUrl", "upstream_issue_tracker": "BugTrackerUrl", "upstream_discussion": "MailingListUrl"}
     return raw(items, names={"chocolatey_title": _c("title"), "chocolatey_metadata_title": p("Title")}, version=p("Version"), summary=_c("summary"), links=[link(k, one(p(c))) for k, c in kinds.items()])
 
 
@@ -149,7 +149,7 @@ def npackd(items: DataFrame) -> DataFrame:
         names={"npackd_title": F.col("p.title"), "npackd_fullname": F.col("name"), "npackd_lastname": F.substring_index("name", ".", -1)},
         version=F.col("v._name"),
         licenses=F.col("licenses"),
-        categories=F.filter(F.col("p.category"), lambda c: ~c.rlike("^(stable|unstable|reupload|same-url|end-of-life|libs)$")),
+        categories=F.filter(F.col("p.category"), lambda c: ~c.rlike("^(end-of-life|libs|reupload|same-url|stable|stable64|unstable)$")),
         links=[link("upstream_download", F.col("v.url")), link("upstream_homepage", F.col("p.url"))],
     )
 

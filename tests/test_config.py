@@ -39,7 +39,7 @@ def test_yaml(spark):
     assert [(r["version"], [u for _, u, _ in links(r["links"])], r["extrafields"]) for r in out] == [("1.10", ["http://a/1"], {"folder": "all"}), ("2.0", ["http://a/2", "http://b/2"], {"folder": "all", "patch": "p/1.patch"})]
     files = {"manifests/a/Acme/Tool/1.20/Acme.Tool.yaml": "ManifestType: version\nPackageVersion: 1.20\n", "manifests/a/Acme/Tool/1.20/Acme.Tool.installer.yaml": "ManifestType: installer\nInstallers:\n- InstallerUrl: http://a/1\n", "manifests/a/Acme/Tool/1.20/Acme.Tool.locale.yaml": "ManifestType: defaultLocale\nPackageIdentifier: Acme.Tool\nPackageName: Acme Tool\nPackageVersion: 1.20\nTags: [x, y]\nDocumentations:\n- DocumentLabel: Wiki\n  DocumentUrl: http://w/\n"}
     r = make_packages(other_formats.winget(tree(spark, files=files)), Repository("r", "f")).first()
-    assert (r["effname"], r["srcname"], r["visiblename"], r["version"], r["category"], links(r["links"])) == ("Tool", "a/Acme/Tool", "Acme Tool", "1.20", "x", [(1, "http://a/1", None), (27, "http://w/", None)])
+    assert (r["effname"], r["srcname"], r["visiblename"], r["version"], r["category"], links(r["links"])) == ("Tool", "a/Acme/Tool", "Acme Tool", "1.20", "x", [(1, "http://a/1", None), (23, "http://w/", None)])
     t = tree(spark, files={"x/foo/stone.yaml": "name: foo\nversion: 1.10\nlicense: [MIT, BSD]\nupstreams:\n- http://a/1: abc\n- git|http://g/x: def\n"})
     assert shown(other_formats.stone_yaml(t), "licenses") == [("foo", "1.10", ["MIT", "BSD"])]
 

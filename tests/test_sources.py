@@ -74,12 +74,12 @@ def test_trees(spark):
     t = tree(spark, files={"games/foo/foo.info": 'PRGNAM="foo"\nVERSION="1.2"\nHOMEPAGE="http://a.b/"\nDOWNLOAD="http://a.b/1 \\\n http://a.b/2"\nDOWNLOAD_x86_64="UNSUPPORTED"\nEMAIL="x@y.z"\n'})
     r = make_packages(text_formats.slackbuilds_info(t), REPO).first()
     assert (r["srcname"], r["version"], r["maintainers"]) == ("games/foo", "1.2", ["x@y.z"]) and [u for _, u, _ in links(r["links"])] == ["http://a.b/", "http://a.b/1", "http://a.b/2"]
-    t = tree(spark, files={"dev/foo/foo_x-1.2-3.recipe": 'HOMEPAGE="http://a.b/\n http://c.d/"'})
-    assert shown(text_formats.haiku_recipes(t), "srcname") == [("foo_x", "1.2-3", "dev/foo_x")]
-    assert shown(text_formats.kiss_versions(tree(spark, files={"core/foo/version": "1.2 3\n", "core/foo/build": "x"}))) == [("foo", "1.2")]
-    t = tree(spark, files={"Foo/1.2/Recipe": "url=http://a.b/1", "Foo/1.10-r2/Recipe": 'url="http://a.b/2"', "Foo/1.9/Other": ""})
-    assert shown(text_formats.gobolinux_recipes(t)) == [("Foo", "1.10")]
-    t = tree(spark, files={"base/foo/foo.desc": "[I] A tool\n[V] 1.5 2\n[U] http://a.b/\n[M] X Y <x@y.z>\n[L] MIT\n[C] extra/base\n[D] abc foo-1.5.tgz http://a.b/dl/\n"})
+    t = tree(spark, files={"dev/foo-x/foo_x-1.2.recipe": 'HOMEPAGE="http://a.b/\n http://c.d/"'})
+    assert shown(text_formats.haiku_recipes(t), "srcname") == [("foo-x", "1.2", "dev/foo-x")]
+    assert shown(text_formats.kiss_versions(tree(spark, files={"core/foo/version": "1.2 3\n", "core/foo/sources": "# x\nhttp://a.b/1 dir\npatches/p\ngit+http://g/r", "core/foo/meta": "license: MIT,BSD\n", "core/bare/version": "1 1"})), "licenses", "subrepo") == [("foo", "1.2", ["MIT", "BSD"], "core")]
+    t = tree(spark, files={"Foo/1.2/Recipe": "url=http://a.b/1", "Foo/1.10/Recipe": 'url="http://a.b/2"\nurl="$x/3"', "Foo/1.10/Resources/Description": "[Name] Foo\n[Summary] A\n tool\n[License] MIT\n", "Foo/1.9/Other": ""})
+    assert shown(text_formats.gobolinux_recipes(t), "comment", "licenses") == [("Foo", "1.10", "A tool", ["MIT"])]
+    t = tree(spark, files={"base/foo/foo.desc": "[I] A tool\n[ver] 1.5\n[U] http://a.b/\n[M] X Y <x@y.z>\n[L] MIT\n[C] extra/base\n[D] abc foo-1.5.tgz !http://a.b/dl/\n"})
     r = make_packages(text_formats.t2_descriptions(t), REPO).first()
     assert (r["effname"], r["version"], r["category"], links(r["links"])[1][1]) == ("foo", "1.5", "extra/base", "http://a.b/dl/foo-1.5.tgz")
     t = tree(spark, files={"foo/package-version.txt": "1.2.p3\n", "foo/checksums.ini": "tarball=x\nupstream_url=http://a.b/foo-VERSION.tgz\n", "foo/requirements.txt": "foo"})
@@ -88,7 +88,7 @@ def test_trees(spark):
     t = tree(spark, files={"foo.txt": "﻿[Section]\nName = Foo Tool\nVersion = 1.5\nURLSite = http://a.b/\n"})
     assert shown(text_formats.rapps_ini(t), "visiblename") == [("foo", "1.5", "Foo Tool")]
     t = tree(spark, files={"foo/1.2/foo.cabal": "synopsis: old\n", "foo/1.10/foo.cabal": "Synopsis:  New tool \nmaintainer: x@y.z\ncategory: A, B\n"})
-    assert shown(text_formats.cabal_files(t), "comment", "category") == [("foo", "1.10", "New tool", "A")]
+    assert shown(text_formats.cabal_files(t), "comment", "category") == [("foo", "1.10", "New tool", "A, B")]
     t = tree(spark, files={"pkgs/foo/build.textproto": 'source: "http://a.b/1"\nversion: "1.2-7"\ncherry_pick: "p1"\n'})
     assert shown(text_formats.textproto_builds(t), "extrafields") == [("foo", "1.2", {"path": "pkgs/foo", "patch": "p1"})]
     t = tree(spark, files={"foo/foo.toml": '# Voyager: X <x@y.z>\nver = "1.2"\nurl = "http://a.b/1"\n', "bar/bar.toml": 'ver = "1"\n'})
@@ -109,7 +109,7 @@ def test_json_lists(spark):
     assert shown(j.luarocks(docs(spark, {"repository": {"a": {"1.2-1": [], "1.10-1": []}}}))) == [("a", "1.10")]
     cyg = dict(name="foo", summary="s", maintainers=["A. B"], versions={"stable": ["1-1", "2-1"], "test": ["3-0.1.rc1"]}, subpackages=[{"name": "libfoo", "categories": ["Libs"]}, {"name": "old", "categories": ["_obsolete"]}])
     assert shown(j.cygwin(docs(spark, {"packages": [cyg, dict(name="_x", versions={}, subpackages=[])]})), "binname", "flags", "maintainers") == [("foo", "2", "libfoo", 0, ["a.b@cygwin"]), ("foo", "3-rc1", "libfoo", 6, ["a.b@cygwin"])]
-    brew = dict(name="foo@2", desc="d", homepage="http://a.b/", ruby_source_path="F/foo.rb", versions={"stable": "2.1", "head": "HEAD"}, urls={"stable": {"url": "http://a.b/x.tgz"}, "head": {"url": "http://a.b/x.git", "branch": "main"}})
+    brew = dict(name="foo@2", desc="d", homepage="http://a.b/", ruby_source_path="F/foo.rb", versions={"stable": "2.1", "head": "HEAD"}, urls={"stable": {"url": "http://a.b/x.tgz", "checksum": "1"}, "head": {"url": "http://a.b/x.git", "branch": "main"}})
     assert shown(j.homebrew(docs(spark, [brew])), "srcname", "flags") == [("foo", "2.1", "foo@2", 0), ("foo", "HEAD", "foo@2", FLAG["rolling"])]
     assert shown(j.homebrew_cask(docs(spark, [dict(token="t", name=["T x"], version="1.2,345", url="http://a.b/")])), "visiblename") == [("t", "1.2", "T x")]
     pkg = dict(info=dict(name="foo", project_url="http://p/", author_email="a@b.c, X <d@e.f>", project_urls={"Docs": "http://d/", "Source": "UNKNOWN"}), releases={"1.0": [{"yanked": False, "url": "http://f/1"}], "2.0rc1": [], "3.0": [{"yanked": True, "url": "x"}]})
@@ -126,14 +126,16 @@ def test_json_lists(spark):
     hits = lambda *xs: {"hits": {"hits": [{"_source": x} for x in xs]}}
     rel = lambda d, v, s, m: dict(distribution=d, version=v, status=s, maturity=m, author="ABC")
     assert shown(j.metacpan(docs(spark, hits(rel("F", "v1.5", "latest", "released"), rel("F", "1.10", "cpan", "developer")), hits(rel("F", "1.2", "cpan", "developer")))), "flags") == [("F", "1.10", 2), ("F", "1.5", 0)]
-    nix = {"packages": {"foo": {"name": "foo-1.2", "meta": {"license": {"shortName": "mit"}, "position": "p/x.nix:3"}}, "bar": {"name": "bar"}}}
-    assert shown(j.nix(docs(spark, nix)), "srcname", "licenses", "extrafields") == [("foo", "1.2", "foo", ["mit"], {"posfile": "p/x.nix", "posline": "3"})]
+    nix = {"packages": {"py.foo": {"name": "foo-1.2", "pname": "foo", "version": "1.2", "meta": {"license": [{"spdxId": "MIT"}, "x"], "maintainers": [{"email": "A@b.c", "github": "g"}, {"github": "H"}], "platforms": ["x86_64-linux"]}}, "bar": {"name": "bar", "version": "1", "meta": {}}, "baz": {"name": "x86-64bit", "pname": "x86", "version": "64bit", "meta": {}}, "odd": {"name": "odd-1x-2", "pname": "odd", "version": "1x-2", "meta": {"broken": True}}}}
+    assert shown(j.nix(docs(spark, nix)), "srcname", "licenses", "category", "maintainers", "flags") == [("foo", "1.2", "py.foo", ["MIT", "x"], "py", ["a@b.c", "h@github"], 0), ("odd", "1x-2", "odd", None, None, ["nobody@example.com"], FLAG["untrusted"])]
+    r = make_packages(j.nix(docs(spark, nix), branch="24.05"), REPO).filter("effname = 'foo'").first()
+    assert links(r["links"]) == [(27, "https://hydra.nixos.org/job/nixos/release-24.05/nixpkgs.py.foo.x86_64-linux", None)]
     sis = dict(name="foo", epoch="0", version="1.0", release="alt1", binaries=[{"name": "b"}, {"name": "a"}], packager="X@y.z", url="http://u/")
     assert shown(j.sisyphus(docs(spark, {"packages": [sis]})), "rawversion", "binnames") == [("foo", "1.0", "1.0-alt1", ["a", "b"])]
     termux = dict(name="foo", version="1:2.0", description="d", maintainer="X @GitUser", homepage="http://h/", package_patch_urls=["http://p/1"], package_patch_raw_urls=["http://r/1"])
     r = make_packages(j.termux(docs(spark, [termux])), REPO).first()
     assert (r["version"], r["maintainers"], [k for k, *_ in links(r["links"])]) == ("2.0", ["gituser@github"], [0, 11, 12])
-    oi = {"packages": [{"fmri": "pkg:/foo", "actions": ["set name=com.oracle.info.name value=foo", 'set name=pkg.summary value="A tool"', "set name=com.oracle.info.version value=1.2", "set name=info.classification value=org.x:Apps/Y"]}, {"fmri": "x", "actions": []}]}
+    oi = {"openindiana.org": {"pkg:/foo": [{"version": "1", "actions": ["set name=com.oracle.info.name value=foo value=bar", 'set name=pkg.summary value="A tool"', "set name=com.oracle.info.version value=1.2", "set name=info.classification value=org.x:Apps/Y"]}], "x": [{"version": "1", "actions": []}]}, "_SIGNATURE": {"a": "b"}}
     assert shown(j.openindiana(docs(spark, oi)), "binname", "comment", "category") == [("foo", "1.2", "pkg:/foo", "A tool", "Apps/Y")]
     for f, item, at in ((j.chromebrew, dict(name="a", version="1"), None), (j.crux, dict(name="a", version="1", maintainer=""), "ports"), (j.ptxdist, dict(name="a", version="1", upstream_urls="http://a/ http://b/"), None), (j.ravenports, dict(namebase="a", version="1", variants=[{"sdesc": "s", "label": "std"}], bucket="b", cpe={"vendor": "v"}), "ravenports"), (j.salix, dict(name="a", ver="1"), "packages"), (j.yacp, dict(name="a", version="1", subpackages=[{"name": "b"}]), "packages"), (j.stalix, dict(pkg_name="a", ix_pkg_name="x", ix_pkg_full_name="y", pkg_ver="1", lang_module=None), None), (j.pacstall, dict(name="a", version="2:1-3", source=[{"value": "http://x/y.git"}]), None), (j.exherbo, dict(name="a", category="c", version="1-r2"), None)):
         assert shown(f(docs(spark, {at: [item]} if at else [item]))) == [("a", "1")], f.__name__
@@ -147,7 +149,7 @@ def test_json_trees(spark):
     assert len(r) == 1 and r[0]["licenses"] == ["MIT"] and [u for _, u, _ in links(r[0]["links"])] == ["http://a.b/", "http://a.b/1", "http://a.b/2"]
     t = tree(spark, files={"bucket/foo.json": dict(version="1.0", description="d", homepage="http://baulk.x/", architecture={"64bit": {"url": "http://a.b/2"}}), "x.json": {}})
     assert shown(json_formats.baulk(t), "flags") == [("foo", "1.0", FLAG["untrusted"])]
-    t = tree(spark, files={"ports/foo/vcpkg.json": {"name": "foo", "version-string": "v1.2-3", "description": ["d", "e"], "maintainers": ["X <x@y.z>"]}, "ports/foo/b.patch": "", "ports/foo/a.patch": "", "ports/bar/vcpkg.json": {"name": "bar", "version-date": "2020-01-02"}})
+    t = tree(spark, files={"ports/foo/vcpkg.json": {"name": "foo", "version-string": "1.2-abcdef0", "description": ["d", "e"], "maintainers": ["X <x@y.z>"]}, "ports/foo/b.patch": "", "ports/foo/a.patch": "", "ports/bar/vcpkg.json": {"name": "bar", "version-date": "2020-01-02"}})
     assert shown(json_formats.vcpkg(t), "flags", "comment", "maintainers", "extrafields") == [("bar", "2020-01-02", FLAG["untrusted"], None, ["nobody@example.com"], None), ("foo", "1.2", 0, "d", ["x@y.z"], {"patch": "a.patch\nb.patch"})]
 
 
