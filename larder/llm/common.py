@@ -14,11 +14,23 @@ from pyspark.sql import types as T
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches()
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 #: Spark's own switch: the shuffle files of a query go when the query ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that a Python worker is sent at once, and Spark's own number of them: texts are long, so that would be some
+#: hundred megabytes on each side.
+BATCH_ROWS, MANY_ROWS, FEW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
+def small_batches() -> None:
+    """Fewer rows at once for this session, unless it has a number of its own. Operators that send texts to Python call this
+    when they are planned, since the setting counts when a query runs."""
+    spark = SparkSession.active()
+    if spark.conf.get(BATCH_ROWS, MANY_ROWS) == MANY_ROWS:
+        spark.conf.set(BATCH_ROWS, FEW_ROWS)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -61,15 +73,24 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     files that led to it are removed as soon as it is there."""
     path = f"{folder}/{name}.parquet"
     spark = df.sparkSession
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
+    with settings(spark, {SHUFFLE_CLEANUP: "true"}):
         df.write.mode("overwrite").parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for the time of a job; afterwards they are as they were."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Tables:
     """Written tables of one run, in a shared folder of its own."""
 
@@ -130,6 +151,7 @@ def per_text(make: Callable[[], Callable[[list[str]], list[tuple]]], schema: T.S
     tuples in the order of ``schema``. Nulls arrive as empty strings. Memory is bounded by ``most_chars`` and
     the longest single text.
     """
+    small_batches()
     names = schema.fieldNames()
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

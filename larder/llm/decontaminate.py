@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import documents
+from larder.llm.common import documents, small_batches
 
 Q = 10
 #: Edits allowed for each character of a segment.
@@ -347,6 +347,7 @@ def blocks(bench: DataFrame, item_col: str = "item_id", text_col: str = "text",
 
 def _finder(spark: SparkSession, index: Index):
     shared = spark.sparkContext.broadcast(index)
+    small_batches()
 
     @F.pandas_udf(FOUND)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

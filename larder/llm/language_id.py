@@ -19,9 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import documents, in_chunks
+from larder.llm.common import documents, in_chunks, small_batches
 
 UNDETERMINED = "und"
+#: Characters of texts that are worked on together; a task holds some hundred bytes for each.
+CHUNK = 200_000
 
 
 @dataclass(frozen=True)
@@ -123,7 +125,7 @@ def document_frequencies(texts: DataFrame, text_col: str, lang_col: str, setting
             n_texts += len(batch)
             for lang, n in batch[lang_col].value_counts().items():
                 langs[lang] = langs.get(lang, 0) + n
-            for chunk in in_chunks(batch[text_col].tolist(), 1_000_000):
+            for chunk in in_chunks(batch[text_col].tolist(), CHUNK):
                 bucket, owner = features(chunk, settings)
                 for first in range(0, len(chunk), 512):  # a block of texts at a time bounds the table
                     mine = slice(None) if len(chunk) <= 512 else (owner >= first) & (owner < first + 512)
@@ -133,6 +135,7 @@ def document_frequencies(texts: DataFrame, text_col: str, lang_col: str, setting
         names = list(langs)
         yield pd.DataFrame({"bucket": [*range(settings.buckets), *[-1] * len(names), -2], "lang": [None] * settings.buckets + names + [None], "n": [*total.tolist(), *[langs[x] for x in names], n_texts]})
 
+    small_batches()
     counts = texts.select(text_col, lang_col).mapInPandas(count, "bucket int, lang string, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n"))
     # All but rare languages, which come last: one row for each bucket, one for the number of texts.
     kept = counts.orderBy(F.col("bucket") == -1, F.desc("n"), "lang").limit(settings.buckets + 1 + settings.languages)
@@ -270,6 +273,7 @@ PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructFi
 def predicted(model: Model, text: Column, spark) -> Column:
     """A struct of lang_pred and score for a column of texts."""
     shared = spark.sparkContext.broadcast(model)
+    small_batches()
 
     @F.pandas_udf(PREDICTED)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -277,7 +281,7 @@ def predicted(model: Model, text: Column, spark) -> Column:
         for batch in batches:
             langs: list[str] = []
             scores: list[float] = []
-            for chunk in in_chunks(("" if x is None else x for x in batch), 1_000_000):
+            for chunk in in_chunks(("" if x is None else x for x in batch), CHUNK):
                 lang, score = one.predict(chunk)
                 for t, a, b in zip(chunk, lang, score):
                     known = has_letter(t)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import Tables, documents, per_text
+from larder.llm.common import Tables, documents, per_text, small_batches
 
 SHINGLE = 5
 #: A text without this has no words.
@@ -51,7 +51,9 @@ BIT_FLIPS = _rng.integers(0, 2**64, BITS, dtype=np.uint64)[:, None]
 BIT_FACTORS = _rng.integers(0, 2**64, BITS, dtype=np.uint64)[:, None] | np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hashes a task keeps; beyond it the table starts anew, which changes no result.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
+#: Characters of texts that are worked on together.
+CHUNK = 300_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -197,11 +199,15 @@ def are_similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
     shingler = Shingler()
     for a, b in batches:
         held: dict[str, np.ndarray] = {}
+        held_chars = 0
 
         def one(text: str) -> np.ndarray:
+            nonlocal held_chars
             if text not in held:
-                if sum(map(len, held)) > 8_000_000:
+                held_chars += len(text)
+                if held_chars > 2_000_000:
                     held.clear()
+                    held_chars = 0
                 held[text] = shingler.sets([text])[0]
             return held[text]
 
@@ -226,6 +232,7 @@ class NearDuplicates:
     """One run over a table. Tables that later steps do not read are deleted on the way; the result stays."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+        small_batches()
         self.tables = Tables(docs.sparkSession)
         self.keep, self.drop = self.tables.keep, self.tables.drop
         key = text_key(F.col(text_col))
@@ -233,7 +240,7 @@ class NearDuplicates:
 
     def classes(self) -> DataFrame:
         """(node, key, id, n, bands, sig): one row for each distinct text, numbered as it is written."""
-        signed = self.rows.select("id", "key", per_text(_sign, SIGNED, 1_000_000)(F.col("text")).alias("s")).select("id", "key", "s.*")
+        signed = self.rows.select("id", "key", per_text(_sign, SIGNED, CHUNK)(F.col("text")).alias("s")).select("id", "key", "s.*")
         one = signed.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in SIGNED.fieldNames()])
         return self.keep(one.withColumn("node", F.monotonically_increasing_id()), "classes")
 
@@ -358,7 +365,7 @@ class NearDuplicates:
 
         unsettled = self.keep(self.mixed(members, component).select("bucket", "node"), "unsettled")
         self.drop(members)
-        sketched = texts.join(unsettled.select("node").distinct(), "node").select("node", per_text(_sketch, SKETCHED, 1_000_000)(F.col("text")).alias("s"))
+        sketched = texts.join(unsettled.select("node").distinct(), "node").select("node", per_text(_sketch, SKETCHED, CHUNK)(F.col("text")).alias("s"))
         sketches = self.keep(sketched.select("node", "s.*"), "sketches")
         unsettled = self.keep(self.open_members(unsettled, sketches), "open")
         for name, more in (("hub", self.hub_pairs), ("rest", self.rest_pairs)):

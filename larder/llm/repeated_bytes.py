@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import Tables, documents
+from larder.llm.common import Tables, documents, small_batches
 from larder.llm.near_duplicates import mixed
 
 WINDOW = 200
@@ -273,6 +273,7 @@ class Repeats:
     """One run over a table. Tables that later steps do not read are deleted on the way; the covers stay."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        small_batches()
         self.tables = Tables(docs.sparkSession)
         self.keep, self.drop = self.tables.keep, self.tables.drop
         text = F.coalesce(F.col(text_col), F.lit(""))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import documents, per_text
+from larder.llm.common import documents, per_text, small_batches
 
 #: Fixed patterns of the contract: kind, pattern, group that must be long enough, least length.
 BASE = (
@@ -204,6 +204,8 @@ def redact_text(text: str, mark: str = "[SECRET]") -> str:
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with the secrets in its texts replaced; all rows and columns stay, null texts stay null."""
 
+    small_batches()
+
     @F.pandas_udf("string")
     def clean(texts):
         return texts.map(lambda x: None if x is None else redact_text(x, mark))

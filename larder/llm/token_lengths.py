@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import Tables, documents
+from larder.llm.common import Tables, documents, small_batches
 
 #: Lengths in a block of the two-level sums.
 BLOCK = 1024
@@ -67,6 +67,7 @@ def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ran
     empty table gives no rows.
     """
     path = ranks or default_ranks()
+    small_batches()
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:

@@ -322,3 +322,22 @@ def test_verdict_against_plain_repeats():
         failed, kept, fraction, found = row[5:]
         assert (found, round(fraction, 9)) == (longest, round(len(covered) / n if n else 0.0, 9))
         assert kept == (not failed and fraction <= repetition.MOST_COVERED and longest <= repetition.LONGEST_REPEAT)
+
+
+def test_repeats_over_the_seam_of_blocks(spark):
+    """A passage that lies over the border of two blocks of windows, and long periodic and random texts."""
+    from larder.llm import repeated_bytes
+    from test_operators import plain_repeats, same
+
+    rng = random.Random(7)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    passage = noise(420)
+    long = list(noise(repeated_bytes.BLOCK + 90_000))
+    at = repeated_bytes.BLOCK - 210
+    long[at : at + 420] = passage
+    long = "".join(long)
+    texts = [long, "x" + passage + noise(500), noise(60_000) + long[1000:1300], "abc" * 400]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    expected = plain_repeats([t.encode() for t in texts], repeated_bytes.WINDOW)
+    assert expected[0][1] == 420 + 300 and expected[0][2] == 2
+    same(repeated_bytes.remove_repeats(docs, with_bytes=False), [(k, *x) for k, x in enumerate(expected)])
