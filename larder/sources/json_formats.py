@@ -575,9 +575,10 @@ def openindiana(docs: DataFrame) -> DataFrame:
     return raw(rows, names={"openindiana_name": name, "openindiana_fmri": F.col("fmri")}, version=version, summary=summary, categories=categories, links=[link("upstream_homepage", said("info.upstream-url")), link("upstream_download", said("info.source-url"))])
 
 
-def wikidata(docs: DataFrame) -> DataFrame:
-    """Versions times projects; where an entity has preferred versions only those count. Lists are packed in one text."""
-    item = "struct<project:string,projectLabel:string,projectDescription:string,licenses:string,websites:string,repositories:string,repology_projects:string,versions:string>"
+def wikidata(docs: DataFrame, names_field: str = "projects") -> DataFrame:
+    """Versions times projects; where an entity has preferred versions only those count. Lists are packed in one
+    text; ``names_field`` is the one with the names of projects."""
+    item = f"struct<project:string,projectLabel:string,projectDescription:string,licenses:string,websites:string,repositories:string,{names_field}:string,versions:string>"
     rows = json_items(docs, item)
     packed = lambda c: F.array_sort(F.split(F.coalesce(_i(c), F.lit("")), SEP))
     parts = lambda v: F.split(v, r"\|")
@@ -585,7 +586,7 @@ def wikidata(docs: DataFrame) -> DataFrame:
     wanted = F.filter(packed("versions"), lambda v: (v != "") & ~kinds(v, "X") & ~(kinds(v, "o") & ~kinds(v, "O")) & ~(kinds(v, "p") & ~kinds(v, "P")))
     preferred = F.filter(wanted, lambda v: kinds(v, "R"))
     rows = rows.withColumn("v", F.explode(F.when(F.size(preferred) > 0, preferred).otherwise(wanted)))
-    rows = rows.withColumn("project", F.explode(packed("repology_projects")))
+    rows = rows.withColumn("project", F.explode(packed(names_field)))
     v = F.col("v")
     return raw(
         rows,

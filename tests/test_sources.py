@@ -118,7 +118,7 @@ def test_json_lists(spark):
     assert links(out[0]["links"]) == [(4, "http://p/", None), (16, "http://d/", None), (18, "http://f/1", None)] and out[0]["maintainers"] == ["a@b.c"]
     spack = {"packages": {"k": dict(name="foo", maintainers=["m"], homepages=[], patches=["a.patch x", "http://p"], version=[{"version": "1.2"}, {"version": "1.10"}, {"version": "main", "branch": "main", "repositories": {"url": "http://g/r"}}])}}
     assert shown(j.spack(docs(spark, spack)), "flags", "extrafields") == [("foo", "1.10", 0, {"patch": "a.patch"}), ("foo", "main", FLAG["rolling"], {"patch": "a.patch"})]
-    wiki = dict(project="http://w/Q1", projectLabel="Foo", repology_projects="foo␞bar", versions="1.0|S␞2.0|R|S␞3.0|U␞4|o", licenses="b␞a")
+    wiki = dict(project="http://w/Q1", projectLabel="Foo", projects="foo␞bar", versions="1.0|S␞2.0|R|S␞3.0|U␞4|o", licenses="b␞a")
     assert shown(j.wikidata(docs(spark, [wiki])), "licenses") == [("bar", "2.0", ["a", "b"]), ("foo", "2.0", ["a", "b"])]
     assert shown(j.wikidata(docs(spark, [wiki | {"versions": "1.0|S␞3.0|U"}])), "flags") == [("bar", "1.0", 0), ("bar", "3.0", 2), ("foo", "1.0", 0), ("foo", "3.0", 2)]
     guix = [dict(name="a", version="1-2.abcdef1", synopsis="s", location="g/p.scm:12", source=[{"type": "git", "git_url": "http://g/", "git_ref": "abcdef1234567890abcdef1234567890abcdef12"}]), dict(name="b", version="2.0", location="g/p.scm:1", source=[{"type": "url", "urls": ["http://bad.host/x", "http://ok/x"]}])]
