@@ -130,6 +130,19 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Memory that a finished task has freed goes back to the system: Python workers live on beside the next stage."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def in_chunks(texts: Iterable[str], most_chars: int) -> Iterator[list[str]]:
     """Consecutive texts with at most so many characters together; a longer text is a chunk of its own."""
     chunk: list[str] = []
@@ -161,6 +174,8 @@ def per_text(make: Callable[[], Callable[[list[str]], list[tuple]]], schema: T.S
             for chunk in in_chunks(("" if x is None else x for x in batch), most_chars):
                 rows += work(chunk)
             yield pd.DataFrame(rows, columns=names, dtype=object)
+        work = None
+        give_back()
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(run, schema)

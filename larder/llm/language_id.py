@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import documents, in_chunks, small_batches
+from larder.llm.common import documents, give_back, in_chunks, small_batches
 
 UNDETERMINED = "und"
 #: Characters of texts that are worked on together; a task holds some hundred bytes for each.
@@ -288,6 +288,7 @@ def predicted(model: Model, text: Column, spark) -> Column:
                     langs.append(a if known else UNDETERMINED)
                     scores.append(float(b) if known else 0.0)
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
+        give_back()
 
     return run(text)
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import Tables, documents, per_text, small_batches
+from larder.llm.common import Tables, documents, give_back, per_text, small_batches
 
 SHINGLE = 5
 #: A text without this has no words.
@@ -51,7 +51,7 @@ BIT_FLIPS = _rng.integers(0, 2**64, BITS, dtype=np.uint64)[:, None]
 BIT_FACTORS = _rng.integers(0, 2**64, BITS, dtype=np.uint64)[:, None] | np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hashes a task keeps; beyond it the table starts anew, which changes no result.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 50_000
 #: Characters of texts that are worked on together.
 CHUNK = 300_000
 
@@ -217,6 +217,8 @@ def are_similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
             shared = len(np.intersect1d(p, q, assume_unique=True))
             out.append(100 * shared >= PERCENT * (len(p) + len(q) - shared) and shared > 0)
         yield pd.Series(out, dtype=bool)
+    shingler = None
+    give_back()
 
 
 def row_key(id_: Column, text_key: Column) -> Column:
