@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,8 +135,6 @@ def give_back() -> None:
     """Memory that a finished task has freed goes back to the system: Python workers live on beside the next stage."""
     import ctypes
 
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -179,3 +178,20 @@ def per_text(make: Callable[[], Callable[[list[str]], list[tuple]]], schema: T.S
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(run, schema)
+
+
+def record_batch(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as a record batch; none are a batch without rows."""
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for (_, t), c in zip(schema, columns)], names=[n for n, _ in schema])
+
+
+def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], spread_by: Column, salts: int = 64) -> DataFrame:
+    """``left`` with the columns of ``right``, which has one row a key, where both have the key.
+
+    A key that holds a third of ``left`` is dealt to ``salts`` tasks: rows get a salt, each salt that a key has in ``left``
+    gets its own copy of the row of ``right`` (so many a key at most), and rows meet it on key and salt.
+    """
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    copies = salted.select(*keys, "_salt").distinct().join(right, keys)
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
