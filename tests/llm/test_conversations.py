@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,12 +195,16 @@ def test_trie_of_conversations_as_they_are(spark, odd):
     assert got == Counter(plain_trie(four(spark, odd), rebuild=False)) and max(r[1] for r in got) == 700
 
 
-def test_ids_of_a_node_in_several_pieces(spark, monkeypatch):
+def test_ids_of_a_node_in_several_pieces(monkeypatch):
     monkeypatch.setattr(conversation_trie, "PIECE", 20)
-    rows = [(c, 1, "user", "Hi.") for c in range(-50, 400)] + [(c, 2, "user", "More.") for c in range(0, 400, 7)]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = Counter(tuple(r) for r in conversation_trie.prefix_trie(turns).collect())
-    assert got == Counter(plain_trie(rows, rebuild=False))
+    nodes = [(bytes([k]), c) for k in range(3) for c in range(-20, 30 * k)]
+    schema = [("node", pa.binary()), ("conv", pa.int64())]
+    pieces = [r for b in conversation_trie._joined_ids(conversation_trie.record_batch(schema, nodes[k : k + 7]) for k in range(0, len(nodes), 7)) for r in b.to_pylist()]
+    assert len(pieces) > 12
+    rows = [(r["node"], r["ids"]) for r in pieces]
+    schema = [("node", pa.binary()), ("ids", pa.string())]
+    got = [tuple(r.values()) for b in conversation_trie._hashed_ids(conversation_trie.record_batch(schema, rows[k : k + 4]) for k in range(0, len(rows), 4)) for r in b.to_pylist()]
+    assert got == [(bytes([k]), sha(",".join(map(str, range(-20, 30 * k))))) for k in range(3)]
 
 
 def test_salted_lookup(spark):
