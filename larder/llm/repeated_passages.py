@@ -37,7 +37,7 @@ WINDOW = 50
 #: Words of the grams that divide suffixes, one length after the other.
 GRAMS = (12, 25, 40, WINDOW)
 #: Spans in a group that becomes a tree in one task.
-GROUP = 2_000
+GROUP = 500
 #: Windows that become trees together.
 TOGETHER = 60_000
 #: Window starts that are handled at once; longer texts are handled in blocks of so many.
@@ -222,7 +222,8 @@ def repeated_ranges(rows: DataFrame, tables: Tables) -> DataFrame:
     place = F.struct("rank", "k1", "k2", "lo", "hi")
     kinds = keep(spans.groupBy(*KIND).agg(F.min(place).alias("at"), F.max("rank").alias("top")), "kinds")
     variety = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("at.rank").alias("low"), F.max("top").alias("high")).filter("low < high")
-    kinds = keep(kinds.join(variety, "g").filter("m > 1 or top > at.rank").select(*KIND, "at", "m"), "shared")
+    all_kinds, kinds = kinds, keep(kinds.join(variety, "g").filter("m > 1 or top > at.rank").select(*KIND, "at", "m"), "shared")
+    tables.drop(all_kinds)
 
     wanted = kinds.filter("m > 1").select(F.col("at.rank").alias("rank"), F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"), F.struct(*KIND, F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi")).alias("span"), "m")
     lists = wanted.groupBy("rank", "k1", "k2").agg(F.collect_list(F.col("span")).alias("spans"))  # as many as a text has grams
@@ -233,6 +234,7 @@ def repeated_ranges(rows: DataFrame, tables: Tables) -> DataFrame:
     for n, size in enumerate(GRAMS):
         if n:
             work = keep(large.mapInArrow(_divided(size), WORK), "work")
+            tables.drop(sized)
         if size == WINDOW:
             least = work.groupBy("key", "key2").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).filter("least < most").drop("most")
             found.append(salted_lookup(work, least, ["key", "key2"], F.col("s1")).filter("rank > least").select(*KIND, F.col("off").alias("a"), F.col("off").alias("b")))
@@ -250,6 +252,7 @@ def repeated_ranges(rows: DataFrame, tables: Tables) -> DataFrame:
         ranges = ranges.union(f)
     ranges = ranges.groupBy(*KIND).agg(F.collect_set(F.struct("a", "b")).alias("ranges"))  # as many as a span has windows
     verdicts = keep(kinds.select(*KIND, F.col("at.rank").alias("least")).join(ranges, KIND, "left"), "verdicts")
+    tables.drop_all_but(spans, verdicts)
 
     judged = salted_lookup(spans, verdicts, KIND, F.xxhash64("k1", "k2", "lo"))
     whole = judged.filter("rank > least").select("k1", "k2", "rank", F.col("lo").alias("a"), (F.col("hi") + WINDOW).alias("b"))
