@@ -21,17 +21,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Spark's own switch: the shuffle files of a query go when the query ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Rows that a Python worker is sent at once, and Spark's own number of them: texts are long, so that would be some
-#: hundred megabytes on each side.
-BATCH_ROWS, MANY_ROWS, FEW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+#: Bytes that a Python worker is sent at once, and Spark's own number of them.
+BATCH_BYTES, MANY_BYTES, FEW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "2m"
 
 
 def small_batches() -> None:
-    """Fewer rows at once for this session, unless it has a number of its own. Operators that send texts to Python call this
-    when they are planned, since the setting counts when a query runs."""
+    """Batches for Python workers of 2 MB, or of one row that is longer, instead of 64 MB: several are alive at once on either side.
+
+    Operators that send texts to Python call this when they are planned, since the setting counts when a query runs. A
+    session whose owner has set another size keeps it; results do not depend on it.
+    """
     spark = SparkSession.active()
-    if spark.conf.get(BATCH_ROWS, MANY_ROWS) == MANY_ROWS:
-        spark.conf.set(BATCH_ROWS, FEW_ROWS)
+    if spark.conf.get(BATCH_BYTES) == MANY_BYTES:
+        spark.conf.set(BATCH_BYTES, FEW_BYTES)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as a struct, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -30,13 +30,16 @@ EDIT_RATE = 0.06
 SHORT, SHORT_STEP = 50, 10
 #: Long segments find edits that crowd together; one begins every half, what is left at the end joins the last one.
 LONG = 160
-#: Shorter normalised items are looked for on whole words and without edits only.
-SHORTEST_ITEM = 24
+#: Least length of the segments of a longer item.
+SHORTEST_PIECE = 24
+#: Shorter normalised items are looked for on whole words and without edits only: from here on one edit leaves a shared gram.
+SHORTEST_ITEM = 2 * Q
 #: Characters of the benchmark that one pass over the texts takes; a larger benchmark takes more passes.
 BLOCK_CHARS = 8_000_000
-#: Places shared with the benchmark that are looked at together; texts with more are shortened and searched in parts.
+#: Places shared with the benchmark that are looked at together; texts with more have what repeats in them searched once, and are
+#: searched in parts, against parts of the benchmark.
 MOST_SHARED = 1_000_000
-#: Longest period of a stretch that is shortened.
+#: Longest period of a stretch that is searched once for all its repeats.
 PERIOD = 64
 #: Leading bits of a hash that lead to its place among the sorted keys.
 TABLE_BITS = 20
@@ -72,13 +75,15 @@ def grams(codes: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77)
 
 
-def unrolled(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Text whose periodic stretches are cut down to ``most`` characters and a few, and the places that are left.
+def unrolled(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Text whose periodic stretches are cut down to ``most`` characters and a few, the places that are left, and the stretches
+    that were cut: (begin, end, period) in ``codes``.
 
     A stretch that repeats every p characters, p up to ``PERIOD``, loses whole periods out of its middle. All its
     strings of up to half of ``most`` characters are still there, as are those that reach over its ends.
     """
     left = np.arange(len(codes))
+    cut: list[tuple[int, int, int]] = []
     for p in range(1, PERIOD + 1):
         if len(codes) <= most + 2 * p:
             break
@@ -93,8 +98,36 @@ def unrolled(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
             whole = (z - a - most) // p * p
             middle = a + most // 2
             keep[middle : middle + whole] = False
+            cut.append((int(left[a]), int(left[z - 1]) + 1, p))
         codes, left = codes[keep], left[keep]
-    return codes, left
+    return codes, left, cut
+
+
+Found = list[tuple[int | None, int, int, int]]
+
+
+def repeats(found: Found, origin: np.ndarray, cut: list[tuple[int, int, int]]) -> Found:
+    """Findings in an unrolled text as findings in the text itself: one within a stretch that was cut is there in all its
+    periods. Repeats that overlap are one finding. With edits, the borders may be those of another alignment as good."""
+    out, told = [], set()
+    borders = [(int(np.searchsorted(origin, a)), int(np.searchsorted(origin, z)), a, z, p) for a, z, p in cut]
+    for item, a, z, edits in found:
+        inside = False
+        for low, high, begin, end, p in borders:
+            if low <= a and z <= high:
+                inside = True
+                n, first = z - a, begin + (a - low) % p
+                if (key := (item, begin, p, first, n, edits)) in told:
+                    continue
+                told.add(key)
+                last = first + (end - n - first) // p * p
+                if n > p:
+                    out.append((item, first, last + n, edits))
+                else:
+                    out += [(item, x, x + n, edits) for x in range(first, last + 1, p)]
+        if not inside:
+            out.append((item, int(origin[a]), int(origin[z - 1]) + 1, edits))
+    return out
 
 
 def as_text(codes: np.ndarray) -> str:
@@ -113,7 +146,7 @@ def edit_budget(m: int) -> int:
 
 def short_pieces(n: int) -> list[tuple[int, int]]:
     """Places of the short segments of an item of n characters; the last one ends with it."""
-    m = min(n, SHORT, max(SHORTEST_ITEM, n // 2 - SHORT_STEP + 1))
+    m = min(n, SHORT, max(SHORTEST_PIECE, n // 2 - SHORT_STEP + 1))
     return [(s, s + m) for s in sorted({*range(0, n - m, SHORT_STEP), n - m})]
 
 
@@ -166,6 +199,9 @@ class Index:
         self.keys, first = np.unique(flat[order], return_index=True)
         self.first = np.r_[first, len(flat)]
         self.place = place[order]
+        #: For each entry the number of its gram and its place, as one number that grows; and where items begin.
+        self.entry = np.repeat(np.arange(len(self.keys)), np.diff(self.first)) * len(self.codes) + self.place
+        self.borders = offset
         slot = self.keys >> np.uint32(32 - TABLE_BITS)
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[slot] = True
@@ -193,28 +229,39 @@ class Index:
             found = [(item, int(origin[a]), int(origin[z - 1]) + 1, edits) for item, a, z, edits in found]
         return self._joined(found)
 
-    def _segments(self, codes: np.ndarray) -> list[tuple[int | None, int, int, int]]:
-        """Findings of segments. If shared grams are many for the length of the text, what repeats in it is shortened
-        first: that loses no string of a segment's length. Then it is searched in parts that overlap by more than a segment."""
+    def _segments(self, codes: np.ndarray) -> Found:
+        """Findings of segments. If shared grams are many for the length of the text, a periodic stretch of it is searched over a few
+        periods, and what is found there holds for all of them. Then it is searched in parts that overlap by more than a segment."""
         if not self.segments:
             return []
         hits = self._shared(codes)
         if hits[2].sum() <= MOST_SHARED:
             return self._votes_of(codes, *hits)
-        short, origin = unrolled(codes, 2 * self.longest)
-        if len(short) < len(codes):
-            found = self._joined(self._segments(short))
-            return [(item, int(origin[a]), int(origin[z - 1]) + 1, edits) for item, a, z, edits in found]
+        short, origin, cut = unrolled(codes, 2 * self.longest)
+        if cut:
+            return repeats(self._segments(short), origin, cut)
         overlap = 2 * self.longest
         half = len(codes) // 2
         if half <= 2 * overlap:
-            return self._votes_of(codes, *hits)
+            return self._by_items(codes, *hits[:2], 0, len(self.codes))
         # A finding at the border of a part may lack its rest; the other part has it whole.
         left = [f for f in self._segments(codes[: half + overlap]) if f[2] < half + overlap]
         right = [(item, a + half, z + half, edits) for item, a, z, edits in self._segments(codes[half:]) if a > 0]
         return left + right
 
-    def _brief(self, codes: np.ndarray) -> list[tuple[int | None, int, int, int]]:
+    def _by_items(self, codes: np.ndarray, at: np.ndarray, k: np.ndarray, low: int, high: int) -> Found:
+        """Findings of the items that lie in low..high of the benchmark, halved between items until what is shared is little."""
+        # Entries are in order of gram and place, so those of a gram within low..high stand together.
+        row = k.astype(np.int64) * len(self.codes)
+        begin = np.searchsorted(self.entry, row + low)
+        n = np.searchsorted(self.entry, row + high) - begin
+        inner = self.borders[(self.borders > low) & (self.borders < high)]
+        if n.sum() <= MOST_SHARED or not len(inner):
+            return self._votes_of(codes, at, k, n, begin)
+        middle = int(inner[len(inner) // 2])
+        return self._by_items(codes, at, k, low, middle) + self._by_items(codes, at, k, middle, high)
+
+    def _brief(self, codes: np.ndarray) -> Found:
         if not len(self.brief):
             return []
         text, found = as_text(codes), []
@@ -236,11 +283,11 @@ class Index:
         at, k = at[same], k[same]
         return at, k, self.first[k + 1] - self.first[k]
 
-    def _votes_of(self, codes: np.ndarray, at: np.ndarray, k: np.ndarray, n: np.ndarray) -> list[tuple[int | None, int, int, int]]:
-        if not len(at):
+    def _votes_of(self, codes: np.ndarray, at: np.ndarray, k: np.ndarray, n: np.ndarray, begin: np.ndarray | None = None) -> Found:
+        if not n.sum():
             return []
         ends = np.cumsum(n)
-        entry = np.arange(ends[-1]) + np.repeat(self.first[k] - ends + n, n)
+        entry = np.arange(ends[-1]) + np.repeat((self.first[k] if begin is None else begin) - ends + n, n)
         segment, diagonal = self._votes(np.repeat(at, n), self.place[entry])
         if not len(segment):
             return []

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import documents, give_back, in_chunks, small_batches
+from larder.llm.common import documents, give_back, in_chunks, small_batches, whole_row
 
 UNDETERMINED = "und"
 #: Characters of texts that are worked on together; a task holds some hundred bytes for each.
@@ -30,8 +31,8 @@ CHUNK = 200_000
 class Settings:
     orders: tuple[int, ...] = (1, 2, 3)
     bits: int = 15
-    #: Bounds of the sample that is learned from: labelled texts of one language, characters taken of one text,
-    #: characters of all together, and languages (the most frequent ones; no other is ever predicted).
+    #: Bounds of the sample that is learned from: labelled texts of one language, characters taken of one text and
+    #: characters of all together. More languages than ``languages`` are an error: none is left out silently.
     sample: int = 600
     text_chars: int = 40_000
     sample_chars: int = 12_000_000
@@ -80,9 +81,13 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
 
+    @cached_property
+    def table(self) -> np.ndarray:
+        return self.idf[:, None] * self.weights
+
     def logits(self, texts: list[str]) -> np.ndarray:
         bucket, owner = features(texts, self.settings)
-        table = self.idf[:, None] * self.weights
+        table = self.table
         n = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
         out = np.empty((len(texts), len(self.languages)))
         for k in range(len(self.languages)):
@@ -112,9 +117,9 @@ def remainder(id_col: Column) -> Column:
 
 
 def document_frequencies(texts: DataFrame, text_col: str, lang_col: str, settings: Settings) -> tuple[np.ndarray, int, dict[str, int]]:
-    """In how many texts each bucket occurs, the number of texts, and that of the most frequent languages.
+    """In how many texts each bucket occurs, the number of texts, and that of each language.
 
-    One pass; what travels is a row per task and bucket or language.
+    One pass; what travels is a row per task and bucket or language. More languages than the settings allow are an error.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,8 +142,8 @@ def document_frequencies(texts: DataFrame, text_col: str, lang_col: str, setting
 
     small_batches()
     counts = texts.select(text_col, lang_col).mapInPandas(count, "bucket int, lang string, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n"))
-    # All but rare languages, which come last: one row for each bucket, one for the number of texts.
-    kept = counts.orderBy(F.col("bucket") == -1, F.desc("n"), "lang").limit(settings.buckets + 1 + settings.languages)
+    # One row for each bucket, one for the number of texts, one for each language and one that tells of more.
+    kept = counts.orderBy(F.col("bucket") == -1, F.desc("n")).limit(settings.buckets + 2 + settings.languages)
     df = np.zeros(settings.buckets, np.int64)
     n, langs = 0, {}
     for r in kept.collect():  # as many rows as buckets and languages
@@ -148,6 +153,8 @@ def document_frequencies(texts: DataFrame, text_col: str, lang_col: str, setting
             langs[r["lang"]] = r["n"]
         else:
             n = r["n"]
+    if len(langs) > settings.languages:
+        raise ValueError(f"more than {settings.languages} languages among the labels; set Settings.languages to learn them all")
     return df, n, langs
 
 
@@ -313,7 +320,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5, settings: Setting
     any name pass through.
     """
     r = predicted(fit(docs, settings, id_col, text_col, lang_col), F.col(text_col), docs.sparkSession)
-    kept = docs.select(F.struct(*docs.columns).alias("row"), r.alias("language"))
+    kept = docs.select(whole_row(docs).alias("row"), r.alias("language"))
     return kept.filter((F.col("language.lang_pred") != UNDETERMINED) & (F.col("language.score") >= least_score)).select("row.*")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import Tables, documents, give_back, per_text, small_batches
+from larder.llm.common import Tables, documents, give_back, per_text, small_batches, whole_row
 
 SHINGLE = 5
 #: A text without this has no words.
@@ -416,7 +416,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     run = NearDuplicates(docs, id_col, text_col)
     first = run.run().filter("first and n > 0").select(row_key(F.col("id"), F.col("key")).alias("row"))
-    rows = docs.select(F.struct(*docs.columns).alias("all"), F.coalesce(F.col(text_col).rlike(WORD), F.lit(False)).alias("worded"), row_key(F.col(id_col), text_key(F.col(text_col))).alias("row"))
+    rows = docs.select(whole_row(docs).alias("all"), F.coalesce(F.col(text_col).rlike(WORD), F.lit(False)).alias("worded"), row_key(F.col(id_col), text_key(F.col(text_col))).alias("row"))
     worded = rows.filter("worded").drop("worded").join(first, "row").dropDuplicates(["row"])
     return rows.filter("not worded").select("all.*").unionByName(worded.select("all.*"))
 

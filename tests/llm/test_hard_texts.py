@@ -100,6 +100,55 @@ def test_split_search_equals_whole_search(monkeypatch):
         assert index.find(text) == whole and whole
 
 
+@pytest.mark.parametrize("unit", ["a", "ab", "klm ", "the quick brown fox jumps nows ", "-=- " * 9])
+def test_repeats_are_found_on_both_sides_of_the_switch(monkeypatch, unit):
+    """What repeats is searched over a few periods beyond the switch and as it stands below it."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choice(["kite", "lamp", "moss", "nut"]) for _ in range(n))
+    item = (unit * 40)[: max(30, len(unit) - 1)].strip()
+    index = decontaminate.Index([(1, item), (2, prose(12)), (3, (unit * 90)[:87].strip() + "x")])
+    for text in (prose(9) + " " + unit * 400 + prose(9), unit * 300 + "Z " + unit * 301, prose(3) + " " + unit * 500 + "x " + prose(4) + unit * 300):
+        monkeypatch.setattr(decontaminate, "MOST_SHARED", 10**9)
+        whole = index.find(text)
+        monkeypatch.setattr(decontaminate, "MOST_SHARED", 100)
+        parts = index.find(text)
+        monkeypatch.undo()
+        assert whole and [f[0] for f in parts] == [f[0] for f in whole]
+        assert [f for f in parts if f[3] == 0] == [f for f in whole if f[3] == 0]
+        # Which of several alignments with edits is reported depends on the text around; all lie within the edits allowed.
+        budget = decontaminate.edit_budget(87)
+        assert all(abs(p - w) <= budget for x, y in zip(parts, whole) for p, w in zip(x[1:], y[1:]))
+
+
+def test_every_repeat_is_a_finding():
+    index = decontaminate.Index([(1, "the quick brown fox jumps nows")])
+    for n in (1_000, 60_000):
+        assert len(index.find("the quick brown fox jumps nows " * n)) == n
+
+
+def test_many_items_with_one_gram(monkeypatch):
+    """Shared places of one text and many items are looked at a part of the benchmark at a time."""
+    rng = random.Random(6)
+    noise = lambda: "".join(rng.choice("klmnopqrstuvw ") for _ in range(40)).strip()
+    items = [(k, f"{noise()} all terms and conditions apply {noise()}") for k in range(500)]
+    index = decontaminate.Index(items)
+    text = "of these all terms and conditions apply " * 3 + items[17][1] + " and all terms and conditions apply"
+    whole = index.find(text)
+    monkeypatch.setattr(decontaminate, "MOST_SHARED", 1_000)
+    assert index.find(text) == whole and [(f[0], f[3]) for f in whole] == [(17, 0)]
+
+
+def test_one_edit_in_short_items():
+    rng = random.Random(8)
+    for size in range(16, 30):
+        item = "".join(rng.choice("klmnopqrstuvw") for _ in range(size))
+        index = decontaminate.Index([(5, item)])
+        assert index.find(f"abc {item} def")
+        for k in range(1, size - 1):
+            edited = item[:k] + "X" + item[k + 1 :]
+            assert bool(index.find(f"abc {edited} def")) == (size >= decontaminate.SHORTEST_ITEM)
+
+
 def plain_edits(pattern: str, text: str) -> int:
     """Fewest edits between the pattern and any part of the text."""
     row = [0] * (len(text) + 1)

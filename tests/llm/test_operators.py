@@ -277,6 +277,15 @@ def test_partial_quotes(size, share):
     assert {i for i, *_ in index.find(crowded)} == {7}
 
 
+def test_columns_with_dots_and_too_many_languages(spark):
+    table = spark.createDataFrame([(1, "some words of text here", "en", 3), (2, "some words of text here", "en", 4), (3, None, "de", 5)], "doc_id long, text string, lang string, `a.b` long")
+    assert near_duplicates.keep_one(table).columns == table.columns and near_duplicates.keep_one(table).count() == 2
+    assert language_id.keep_identified(table, 0.0).columns == table.columns
+    many = spark.createDataFrame([(k, f"text {k}", f"l{k}", 1) for k in range(60)], table.schema)
+    with pytest.raises(ValueError, match="more than 20 languages"):
+        language_id.fit(many, language_id.Settings(languages=20))
+
+
 def test_items_without_id_and_short_items(spark):
     item = "klm nopq rstu vwkl mnop qrst uvwk lmno pqrs tuvw"
     bench = spark.createDataFrame([(None, item), (4, "Red  kite!"), (5, "ki"), (6, "")], "item_id long, text string")
@@ -303,4 +312,4 @@ def test_sentencepiece(spark, docs, empty):
 
 
 def test_all_operators_are_registered():
-    assert len(QUERIES) == 10
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14))
