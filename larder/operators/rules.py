@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.versions import lower_bound, upper_bound, version_key
-from larder.operators import name_rules
+from larder.operators import name_rules, pattern_rules
 from larder.schema import FLAG, RULE_LINK_TYPES
 
 STATE = ("effname", "version", "flags", "flavors", "branch", "subrepo", "rule_flags", "stopped", "matched_rules", "warnings")
@@ -231,7 +231,8 @@ def apply_rules(packages: DataFrame, rules: list[Rule], rulesets: set[str] = fro
     rows = packages.withColumns(start)
     for run in _runs(for_repository(rules, rulesets)):
         if len(run) >= name_rules.SHORTEST_RUN:
-            rows = name_rules.apply_run(rows, run, FLAG_ACTIONS)
+            plain = all(name_rules.fits(rule, FLAG_ACTIONS) for _, rule in run)
+            rows = (name_rules if plain else pattern_rules).apply_run(rows, run, FLAG_ACTIONS)
             continue
         rows = _one_by_one(rows, run)
     removed = F.col("flags").bitwiseAND(F.lit(FLAG["remove"])) != 0
@@ -242,11 +243,11 @@ def apply_rules(packages: DataFrame, rules: list[Rule], rulesets: set[str] = fro
 
 
 def _runs(rules: list[tuple[int, Rule]]) -> list[list[tuple[int, Rule]]]:
-    """Rules in order: long runs of name rules by themselves, all others in runs of one."""
+    """Rules in order: long runs of rules for names and patterns by themselves, all others in runs of one."""
     out: list[list[tuple[int, Rule]]] = []
     run: list[tuple[int, Rule]] = []
     for number, rule in [*rules, (-1, {})]:
-        if rule and name_rules.fits(rule, FLAG_ACTIONS):
+        if rule and (name_rules.fits(rule, FLAG_ACTIONS) or pattern_rules.fits(rule, FLAG_ACTIONS)):
             run.append((number, rule))
             continue
         out += [run] if len(run) >= name_rules.SHORTEST_RUN else [[x] for x in run]

@@ -668,6 +668,31 @@ def rule_engine(spark, sf_dir):
     return ruled.groupBy("effname", "flags", "branch", F.array_join("flavors", ",").alias("flavors")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def pattern_rule_set() -> list[dict]:
+    """5,000 rules with patterns: names by number, sent on by a second rule, versions turned around, links marked."""
+    turned = [{"namepat": f"item{k:04d}-(.*)", "setname": f"group{k % 70:02d}-$1"} for k in range(2400)]
+    versions = [{"namepat": f"item{k:04d}-.*", "verpat": r"([0-9]+)\.([0-9]+)", "setver": "$2.$1", "last": True} for k in range(2400, 4900)]
+    linked = [{"wwwpat": f"https?://host{k:02d}\\.org/.*", "devel": True} for k in range(50)]
+    return [*turned, *versions, *linked, *({"namepat": f"group{k:02d}-b(.*)", "setname": "all-$1", "ignore": True} for k in range(50))]
+
+
+@query("""WITH p AS (SELECT p_partkey % 6000 AS k, concat('item', lpad(CAST(p_partkey % 6000 AS VARCHAR), 4, '0'), '-', lower(replace(p_brand, '#', ''))) AS n, p_size AS a, p_partkey % 17 AS b, p_partkey % 60 AS h FROM part),
+r AS (SELECT CASE WHEN k >= 2400 THEN n WHEN k % 70 < 50 THEN concat('all-', substr(n, 11)) ELSE concat('group', lpad(CAST(k % 70 AS VARCHAR), 2, '0'), substr(n, 9)) END AS effname,
+CASE WHEN k >= 2400 AND k < 4900 THEN concat(b, '.', a) ELSE concat(a, '.', b) END AS version, (CASE WHEN h < 50 AND NOT (k >= 2400 AND k < 4900) THEN 2 ELSE 0 END + CASE WHEN k < 2400 AND k % 70 < 50 THEN 4 ELSE 0 END) AS flags FROM p)
+SELECT effname, version, CAST(flags AS INT) AS flags, count(*) AS n FROM r GROUP BY ALL""")
+def rule_patterns(spark, sf_dir):
+    text = lambda c: c.cast("string")
+    key = F.col("p_partkey")
+    name = F.concat(F.lit("item"), F.lpad(text(key % 6000), 4, "0"), F.lit("-"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))))
+    url = F.concat(F.lit("http://host"), F.lpad(text(key % 60), 2, "0"), F.lit(".org/x"))
+    rows = table(spark, sf_dir, "part").select(
+        name.alias("effname"), F.concat(text(F.col("p_size")), F.lit("."), text(key % 17)).alias("version"), F.lit(0).alias("flags"),
+        F.array(F.struct(F.lit(0).alias("link_type"), url.alias("url"), F.lit(None).cast("string").alias("fragment"))).alias("links"),
+    )
+    ruled = rules.apply_rules(rows, pattern_rule_set())
+    return ruled.groupBy("effname", "version", "flags").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT s_suppkey, lower(replace(s_name, '#', '.')) || '@' || 'n' || CAST(s_nationkey AS VARCHAR) || '.org,zz@x.y' AS maintainers FROM supplier")
 def maintainer_extract(spark, sf_dir):
     mail = F.concat(F.replace("s_name", F.lit("#"), F.lit(".")), F.lit("@N"), F.col("s_nationkey").cast("string"), F.lit(".org"))

@@ -137,7 +137,7 @@ def make_packages(records: DataFrame, repository: Repository, on_failure: str =
 def load(records: DataFrame, repository: Repository, rules: list[dict] = (), hidden: list[str] = (), replaced: dict[str, str] | None = None, on_failure: str = "raise") -> DataFrame:
     """The whole way of a record: package, links of templates, rules, without removed ones, tidy flavours, maintainers.
 
-    One narrow stage without a shuffle.
+    One narrow stage without a shuffle, but for long runs of rules with patterns: those look at distinct names.
     """
     packages = make_packages(records, repository, on_failure)
     if repository.package_links:

@@ -1,12 +1,16 @@
 """The rule language: each matcher and action on its own, and large rule sets against a plain interpreter."""
 
+import functools
 import random
+import re
 import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larder.operators import name_rules, rules
+from larder.operators import name_rules, pattern_rules, rules
 from larder.schema import FLAG
 
 SCHEMA = "effname string, version string, flags int, category string, maintainers array<string>, comment string, links array<struct<link_type:int,url:string,fragment:string>>"
@@ -136,12 +140,93 @@ def test_runs_between_columns(spark):
     """Runs as tables and as columns give the same."""
     rng = random.Random(4)
     rule_set = [{"name": f"n{rng.randrange(30)}", "setname": f"n{rng.randrange(30)}"} if k % 25 else {"namepat": "n([0-9])", "setname": "n1$1"} for k in range(70)]
-    df = spark.createDataFrame([(f"n{k}", "1", 0, None, None, None, None) for k in range(30)], SCHEMA)
-    as_table = rules.apply_rules(df, rule_set).select("effname", "matched_rules").collect()
+    df = spark.createDataFrame([(f"n{k}", "1", 0, f"{k:02d}", None, None, None) for k in range(30)], SCHEMA)
+    as_table = rules.apply_rules(df, rule_set).select("category", "matched_rules").orderBy("category").collect()
     before, name_rules.SHORTEST_RUN = name_rules.SHORTEST_RUN, 10**9
     try:
         few = rule_set[:27]
-        as_columns = rules.apply_rules(df, few).select("effname", "matched_rules").collect()
+        as_columns = rules.apply_rules(df, few).select("category", "matched_rules").orderBy("category").collect()
     finally:
         name_rules.SHORTEST_RUN = before
     assert [[x for x in r["matched_rules"] if x < 27] for r in as_table] == [r["matched_rules"] for r in as_columns]
+
+
+def test_literals():
+    for pattern, wanted in {
+        "foo": "foo", "foo.*": "foo", "foo?bar": "bar", "(a|b)cde": "cde", "a|b": "", r"lib\.so[0-9]+": "lib.so", r"\d+x\w": "x", "x{2,3}yz": "yz", "ab+c": "ab", "(?:ab)?cd": "cd",
+        "[]a]bc": "bc", r"[\]x]yy": "yy", "(?i)foo": "", "": "", "a.b.ccc": "ccc", "(foo)": "", "py(2|3)-(.*)": "py", "ba*r": "b", "[^]x]q": "q",
+    }.items():
+        assert pattern_rules.literal(pattern) == wanted, pattern
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.from_regex(r"(ab|[cd]|e[?*+]?|\.|\(f[?*]?\)|\\\.|g\{1,2\}){1,8}", fullmatch=True), st.data())
+def test_what_matches_holds_the_literal(pattern, data):
+    text = data.draw(st.from_regex(pattern, fullmatch=True))
+    assert pattern_rules.literal(pattern) in text
+
+
+compiled = functools.cache(re.compile)
+
+
+def plain_patterns(name, version, url, category, rule_set):
+    """Rules with patterns one after the other."""
+    flags, marks, fired = 0, set(), []
+    whole = lambda p, t: compiled(p).fullmatch(t)
+    for k, r in enumerate(rule_set):
+        m = whole(r["namepat"], name) if "namepat" in r else None
+        v = whole(r["verpat"].lower(), version.lower()) if "verpat" in r else None
+        if ("name" in r and name != r["name"]) or ("namepat" in r and not m) or ("verpat" in r and not v) or ("flag" in r and r["flag"] not in marks):
+            continue
+        if ("wwwpat" in r and not whole(r["wwwpat"].lower(), url)) or ("wwwpart" in r and r["wwwpart"] not in url) or ("categorypat" in r and not whole(r["categorypat"], category)):
+            continue
+        fired.append(k)
+        flags |= FLAG["devel"] if r.get("devel") else 0
+        if "addflag" in r:
+            marks.add(r["addflag"])
+        fill = lambda t, x, current: re.sub(r"\$([0-9])", lambda g: x[int(g[1])] if x else current, t)
+        if "setver" in r:
+            version = fill(r["setver"], v, version) if v else r["setver"]
+        if "setname" in r:
+            name = fill(r["setname"], m, name)
+        if r.get("last"):
+            break
+    return name, version, flags, fired
+
+
+def test_large_pattern_set(spark):
+    """Thousands of pattern rules plan as one and give what rules one after the other give."""
+    rng = random.Random(21)
+    rule_set = []
+    for k in range(5000):
+        n = rng.randrange(1500)
+        r = rng.choice([{"namepat": f"lib{n}-(.*)"}, {"namepat": f"(py|rb)[0-9]?-mod{n}(-.*)?"}, {"namepat": f"(.*){n}x+"}, {"name": f"lib{n}-a"}, {"wwwpat": f"http://host{n}\\.org/.*"}, {"wwwpart": f"host{n}.o"}])
+        if "namepat" in r:
+            r["setname"] = rng.choice([f"lib{rng.randrange(1500)}-$1", f"py-mod{rng.randrange(1500)}", f"{rng.randrange(1500)}xx", "$0-y"])
+        for key, value in (("verpat", r"([0-9])\.([0-9]+)"), ("devel", True), ("addflag", "m"), ("flag", "m"), ("categorypat", "ga.*"), ("last", True)):
+            if rng.random() < 0.2:
+                r[key] = value
+        if "verpat" in r and rng.random() < 0.5:
+            r["setver"] = "$2.$1"
+        if len(r) == 1:
+            r["devel"] = True
+        rule_set.append(r)
+    assert len(rules._runs(rules.for_repository(rule_set, set()))) == 1
+    rows = []
+    for k in range(700):
+        n = rng.randrange(1700)
+        rows.append((rng.choice([f"lib{n}-a", f"py3-mod{n}", f"rb-mod{n}-z", f"q{n}xx", "plain"]), rng.choice(["1.5", "2.10", "x"]), 0, rng.choice(["games", "net"]), None, None, [(0, f"http://host{rng.randrange(1600)}.org/p", None)]))
+    rows.append(("plain", "1", 0, "net", None, None, None))
+    begin = time.time()
+    out = rules.apply_rules(spark.createDataFrame(rows, SCHEMA), rule_set)
+    out.explain()
+    planned = time.time() - begin
+    got = sorted((r["effname"], r["version"], r["flags"], r["matched_rules"]) for r in out.collect())
+    expected = sorted(plain_patterns(n, v, links[0][1] if links else "", c, rule_set) for n, v, _, c, _, _, links in rows)
+    assert got == expected and sum(len(x[3]) > 1 for x in expected) > 100 and planned < 10
+
+
+def test_guard_tries_few_patterns():
+    run = [(k, {"namepat": f"lib{k:05d}-.*", "devel": True}) for k in range(5000)]
+    finder = pattern_rules.NameRules(run, rules.FLAG_ACTIONS)
+    assert [r[0] for k in (7, 4000) for r in finder.of(f"lib{k:05d}-a", [])] == [7, 4000] and finder.tried == 2
