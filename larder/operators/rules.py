@@ -12,10 +12,10 @@ from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.functions.versions import lower_bound, upper_bound, version_key
+from larder.functions.versions import KEY_TYPE, lower_bound, upper_bound, version_key
 from larder.operators import name_rules, pattern_rules
 from larder.schema import FLAG, RULE_LINK_TYPES
 
@@ -39,12 +39,16 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def _version(state_version: Column) -> Column:
-    return version_key(state_version, F.col("flags"))
+#: The keys that a version in a rule may stand for.
+BOUNDS = {"exact": version_key, "lower": lower_bound, "upper": upper_bound}
 
 
-def _compared(op: Callable[[Column, Column], Column], bound: Callable[[Column], Column] = version_key) -> Callable[[Any, Rule], Column]:
-    return lambda value, rule: op(_version(F.col("version")), bound(F.lit(str(value))))
+def _bound(value: Any, rule: Rule, bound: str) -> Column:
+    return rule["_keys"][bound, str(value)]
+
+
+def _compared(op: Callable[[Column, Column], Column], bound: str = "exact") -> Callable[[Any, Rule], Column]:
+    return lambda value, rule: op(F.col("_key"), _bound(value, rule, bound))
 
 
 def _link(test: Callable[[Column], Column]) -> Column:
@@ -84,12 +88,12 @@ MATCHERS: dict[str, Callable[[Any, Rule], Column]] = {
     "verle": _compared(lambda a, b: a <= b),
     "vereq": _compared(lambda a, b: a == b),
     "verne": _compared(lambda a, b: a != b),
-    "relgt": _compared(lambda a, b: a > b, upper_bound),
-    "relge": _compared(lambda a, b: a > b, lower_bound),
-    "rellt": _compared(lambda a, b: a < b, lower_bound),
-    "relle": _compared(lambda a, b: a < b, upper_bound),
-    "releq": lambda v, r: (_version(F.col("version")) > lower_bound(F.lit(str(v)))) & (_version(F.col("version")) < upper_bound(F.lit(str(v)))),
-    "relne": lambda v, r: (_version(F.col("version")) < lower_bound(F.lit(str(v)))) | (_version(F.col("version")) > upper_bound(F.lit(str(v)))),
+    "relgt": _compared(lambda a, b: a > b, "upper"),
+    "relge": _compared(lambda a, b: a > b, "lower"),
+    "rellt": _compared(lambda a, b: a < b, "lower"),
+    "relle": _compared(lambda a, b: a < b, "upper"),
+    "releq": lambda v, r: (F.col("_key") > _bound(v, r, "lower")) & (F.col("_key") < _bound(v, r, "upper")),
+    "relne": lambda v, r: (F.col("_key") < _bound(v, r, "lower")) | (F.col("_key") > _bound(v, r, "upper")),
     "wwwpat": lambda v, r: _link(lambda t: t.rlike(_whole(str(v).lower()))),
     "wwwpart": lambda v, r: _link(lambda t: _any([F.lower(t).contains(x) for x in _lower(v)])),
     "wwwprefix": lambda v, r: _link(lambda t: _any([F.lower(t).startswith(x) for x in _lower(v)])),
@@ -102,6 +106,21 @@ MATCHERS: dict[str, Callable[[Any, Rule], Column]] = {
 }
 
 
+#: Matchers that look at the key of the version, and actions after which it is another.
+ORDERS = {"vergt", "verge", "verlt", "verle", "vereq", "verne", "relgt", "relge", "rellt", "relle", "releq", "relne"}
+NEW_KEY = {"setver", "p_is_patch", "any_is_patch"}
+
+
+def bound_keys(spark: SparkSession, rules: list[tuple[int, Rule]]) -> dict[tuple[str, str], Column]:
+    """Keys of all versions that rules name, as literals: Spark works them out once, when the rules are compiled."""
+    texts = sorted({str(rule[k]) for _, rule in rules for k in ORDERS & rule.keys()})
+    if not texts:
+        return {}
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", *[f(F.col("text")).alias(b) for b, f in BOUNDS.items()]).collect()  # as many as rules
+    unit = lambda x: F.struct(*[F.lit(v).alias(n) for n, v in x.asDict().items()])
+    return {(b, r["text"]): F.array(*map(unit, r[b])).cast(KEY_TYPE) for r in rows for b in BOUNDS}
+
+
 # Actions that set or clear a flag, and the flag, in the order in which they are taken.
 FLAG_ACTIONS = {
     "remove": "remove",
@@ -229,12 +248,20 @@ def apply_rules(packages: DataFrame, rules: list[Rule], rulesets: set[str] = fro
     empty = {"branch": "string", "subrepo": "string", "comment": "string", "category": "string", "maintainers": "array<string>", "links": "array<struct<link_type:int,url:string,fragment:string>>"}
     start |= {c: F.lit(None).cast(t) for c, t in empty.items() if c not in names}
     rows = packages.withColumns(start)
-    for run in _runs(for_repository(rules, rulesets)):
+    runs = _runs(for_repository(rules, rulesets))
+    keys = bound_keys(packages.sparkSession, [x for run in runs if len(run) < name_rules.SHORTEST_RUN for x in run])
+    known = False  # whether _key is that of the version as it is now
+    for run in runs:
         if len(run) >= name_rules.SHORTEST_RUN:
             plain = all(name_rules.fits(rule, FLAG_ACTIONS) for _, rule in run)
             rows = (name_rules if plain else pattern_rules).apply_run(rows, run, FLAG_ACTIONS)
+            known = False
             continue
-        rows = _one_by_one(rows, run)
+        for number, rule in run:
+            if ORDERS & rule.keys() and not known:
+                rows, known = rows.withColumn("_key", version_key(F.col("version"), F.col("flags"))), True
+            rows = _one(rows, number, {**rule, "_keys": keys})
+            known = known and not NEW_KEY & rule.keys()
     removed = F.col("flags").bitwiseAND(F.lit(FLAG["remove"])) != 0
     rows = rows.withColumn("warnings", F.when(removed, texts).otherwise(F.col("warnings")))
     extra = [c for c in ("effname", "flags", "flavors", "branch", "subrepo") if c not in names]
@@ -257,16 +284,14 @@ def _runs(rules: list[tuple[int, Rule]]) -> list[list[tuple[int, Rule]]]:
     return out
 
 
-def _one_by_one(rows: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
-    for number, rule in rules:
-        tests = [F.coalesce(MATCHERS[k](rule[k], rule), F.lit(False)) for k in MATCHERS if k in rule]
-        fires = reduce(lambda a, b: a & b, tests, ~F.col("stopped"))
-        rows = rows.withColumns({"_fires": fires, "_name": F.col("effname"), "_version": F.lower("version")})
-        for k in ACTIONS:
-            if k in rule:
-                rows = rows.withColumns({c: F.when(F.col("_fires"), new).otherwise(F.col(c)) for c, new in ACTIONS[k](rule[k], rule).items()})
-        rows = rows.withColumn("matched_rules", F.when(F.col("_fires"), F.concat("matched_rules", F.array(F.lit(number)))).otherwise(F.col("matched_rules")))
-    return rows
+def _one(rows: DataFrame, number: int, rule: Rule) -> DataFrame:
+    tests = [F.coalesce(MATCHERS[k](rule[k], rule), F.lit(False)) for k in MATCHERS if k in rule]
+    fires = reduce(lambda a, b: a & b, tests, ~F.col("stopped"))
+    rows = rows.withColumns({"_fires": fires, "_name": F.col("effname"), "_version": F.lower("version")})
+    for k in ACTIONS:
+        if k in rule:
+            rows = rows.withColumns({c: F.when(F.col("_fires"), new).otherwise(F.col(c)) for c, new in ACTIONS[k](rule[k], rule).items()})
+    return rows.withColumn("matched_rules", F.when(F.col("_fires"), F.concat("matched_rules", F.array(F.lit(number)))).otherwise(F.col("matched_rules")))
 
 
 def without_removed(packages: DataFrame) -> DataFrame:
