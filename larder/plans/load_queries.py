@@ -14,9 +14,9 @@ from larder.functions.link_templates import compile_template
 from larder.functions.versions import version_key
 from larder.plans.landscape import table
 from larder.plans.registry import query
-from larder.sources import json_formats, text_formats, xml_formats
+from larder.sources import json_formats, load_log, text_formats, xml_formats
 from larder.sources.names import MAPPINGS, ROLES, mapped_names
-from larder.sources.packages import Repository, dumped, load, make_packages
+from larder.sources.packages import Repository, dumped, link, load, make_packages, raw
 from larder.sources.readers import xml_items
 
 REPO = Repository("repo", "family", default_maintainer="nobody@example.com")
@@ -262,3 +262,50 @@ def dump_lines(spark, sf_dir):
     text = "Package: {n}\nBinary: {n}, lib{n}\nVersion: {v}-2\nSection: {c}"
     packages_ = make_packages(text_formats.debian_sources(written(rows(spark, sf_dir), text)), Repository("repo", "family"))
     return dumped(packages_, ["effname", "version", "binnames", "maintainers"], " ", first="l")
+
+
+def odd_records(spark, sf_dir) -> DataFrame:
+    """Records of which some lack a version, some state names that belong to no mapping, and some have odd fields."""
+    k = F.col("k")
+    version = F.when(k % 5 == 0, F.lit("  ")).otherwise(F.col("v"))
+    url = F.concat(F.when(k % 3 == 0, "gemini://").otherwise("https://"), "b", F.lit(".org/"))
+    mail = F.when(k % 2 == 0, F.concat("b", F.lit("@y.z"))).otherwise(F.concat(F.lit("A "), "b", F.lit("@Y.z")))
+    return raw(
+        rows(spark, sf_dir), names={"name": F.col("n"), "other": F.when(k % 11 == 0, F.col("b"))}, version=version, links=[link("upstream_homepage", F.array(url))],
+        maintainers=F.array(mail), summary=F.when(k % 13 == 0, F.lit("one\ntwo")).otherwise(F.lit("one")),
+    )
+
+
+ODD = ROWS.rstrip() + """, p AS (SELECT *, CASE WHEN k % 11 = 0 THEN 'unknown set of names: name, other' WHEN k % 5 = 0 THEN 'no version' END AS reason,
+CASE WHEN k % 5 = 0 THEN '  ' ELSE v END AS version FROM r)
+"""
+LINES = ODD.rstrip() + """, l AS (SELECT CASE WHEN k % 11 = 0 THEN concat(n, '/', b) ELSE n END || ' ' || version AS label, * FROM p),
+m AS (SELECT label, 'error' AS severity, concat(label, ': record ', reason) AS message FROM l WHERE reason IS NOT NULL
+UNION ALL SELECT label, 'error', concat(label, ': links "gemini://', b, '.org/" scheme not known') FROM l WHERE k % 3 = 0
+UNION ALL SELECT label, 'warning', concat(label, ': maintainers "A ', b, '@Y.z" white space inside') FROM l WHERE k % 2 = 1
+UNION ALL SELECT label, 'error', concat(label, ': summary "one', chr(10), 'two" more than one line') FROM l WHERE k % 13 = 0),
+c AS (SELECT row_number() OVER (ORDER BY label, message, severity) AS lineno, * FROM m)
+"""
+
+
+@query(ODD + "SELECT n AS name, version, reason FROM p WHERE reason IS NOT NULL")
+def load_rejected(spark, sf_dir):
+    """Records that give no package, with the reason."""
+    return load_log.rejected(odd_records(spark, sf_dir), REPO).select(F.element_at("names", "name").alias("name"), "version", "reason")
+
+
+@query(LINES + "SELECT lineno, CASE WHEN lineno > 2500 THEN 'error' ELSE severity END AS severity, CASE WHEN lineno > 2500 THEN 'Log trimmed at 2500 lines' ELSE message END AS message FROM c WHERE lineno <= 2501")
+def load_log_lines(spark, sf_dir):
+    """The log of a load: what normalisers found odd or dropped, record by record, at most 2,500 lines."""
+    return load_log.log_lines(odd_records(spark, sf_dir), REPO).select("lineno", "severity", "message")
+
+
+@query(LINES + """SELECT (SELECT count(*) FROM p) AS n_records, (SELECT count(*) FROM p WHERE reason IS NULL) AS n_packages, (SELECT count(*) FROM p WHERE reason IS NOT NULL) AS n_rejected,
+count(*) FILTER (severity = 'warning') AS n_warnings, count(*) FILTER (severity = 'error') AS n_errors FROM m""")
+def run_log(spark, sf_dir):
+    """The account of a load: the records that came in are the packages and the rejected ones that came out."""
+    records = odd_records(spark, sf_dir)
+    of = lambda severity: F.sum(F.size(F.filter("_notes", lambda x: x["severity"] == severity)))
+    out = load_log.diagnosed(records, REPO).agg(F.count(F.lit(1)).alias("n_records"), F.count("_problem").alias("n_rejected"), of("warning").alias("n_warnings"), of("error").alias("n_errors"))
+    made = make_packages(records, REPO, "skip").agg(F.count(F.lit(1)).alias("n_packages"))
+    return out.withColumn("repo", F.lit(REPO.name)).join(made.withColumn("repo", F.lit(REPO.name)), "repo").drop("repo")

@@ -87,14 +87,29 @@ def _cleaned_names(names: Column) -> Column:
     return F.map_filter(clean, lambda _, v: v.isNotNull() & (v != ""))
 
 
+def names_of(names: Column) -> Column:
+    """The five names of a record's names; null where no mapping knows them."""
+    return mapped_names(_cleaned_names(F.coalesce(names, F.create_map().cast("map<string,string>"))))
+
+
+def version_of(version: Column) -> Column:
+    return F.nullif(FIELD["version"](version)["value"], F.lit(""))
+
+
+def problem_of(names: Column, version: Column) -> Column:
+    """Why a record gives no package; null if it gives one."""
+    kinds = F.array_join(F.array_sort(F.map_keys(names)), ", ")
+    return F.when(names_of(names).isNull(), F.concat(F.lit("unknown set of names: "), F.coalesce(kinds, F.lit("")))).when(version_of(version).isNull(), F.lit("no version"))
+
+
 def make_packages(records: DataFrame, repository: Repository, on_failure: str = "raise") -> DataFrame:
     """RAW records as packages of a repository.
 
     A record fails whose names no mapping knows or that has no version left; ``on_failure`` says whether that is
-    an error (raise) or the record is left out (skip). An empty table gives no packages.
+    an error (raise) or the record is left out (skip; ``load_log.rejected`` has it). An empty table gives no packages.
     """
-    step = records.withColumns({"_names": mapped_names(_cleaned_names(F.coalesce("names", F.create_map().cast("map<string,string>")))), "_version": F.nullif(FIELD["version"](F.col("version"))["value"], F.lit(""))})
-    problem = F.when(F.col("_names").isNull(), F.concat(F.lit("unknown set of names: "), F.array_join(F.array_sort(F.map_keys("names")), ", "))).when(F.col("_version").isNull(), F.lit("no version"))
+    step = records.withColumns({"_names": names_of(F.col("names")), "_version": version_of(F.col("version"))})
+    problem = problem_of(F.col("names"), F.col("version"))
     if on_failure == "skip":
         step = step.filter(problem.isNull())
     elif on_failure == "raise":
