@@ -306,6 +306,6 @@ def run_log(spark, sf_dir):
     """The account of a load: the records that came in are the packages and the rejected ones that came out."""
     records = odd_records(spark, sf_dir)
     of = lambda severity: F.sum(F.size(F.filter("_notes", lambda x: x["severity"] == severity)))
-    out = load_log.diagnosed(records, REPO).agg(F.count(F.lit(1)).alias("n_records"), F.count("_problem").alias("n_rejected"), of("warning").alias("n_warnings"), of("error").alias("n_errors"))
+    out = load_log.diagnosed(records).agg(F.count(F.lit(1)).alias("n_records"), F.count("_problem").alias("n_rejected"), of("warning").alias("n_warnings"), of("error").alias("n_errors"))
     made = make_packages(records, REPO, "skip").agg(F.count(F.lit(1)).alias("n_packages"))
     return out.withColumn("repo", F.lit(REPO.name)).join(made.withColumn("repo", F.lit(REPO.name)), "repo").drop("repo")

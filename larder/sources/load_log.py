@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from larder.functions.normalize import FIELD
-from larder.sources.packages import Repository, load, no_texts, problem_of
+from larder.sources.packages import Repository, load, mapped, no_texts
 
 #: Lines that the log of a run holds; one more says that there were others.
 MOST_LINES = 2_500
@@ -31,8 +31,8 @@ def _note(field: str, text: Column, result: Column) -> Column:
     return F.struct(severity.alias("severity"), F.lit(field).alias("field"), text.alias("text"), result["note"].alias("note"))
 
 
-def notes(repository: Repository) -> Column:
-    """All notes on a record, in the order of its fields; a problem that leaves no package comes last."""
+def notes() -> Column:
+    """All notes on a mapped record, in the order of its fields; a problem that leaves no package comes last."""
     given = lambda x: x.isNotNull() & (x != "")
     parts = [F.array(_note(f, F.col(f), FIELD[kind](F.col(f)))) for f, kind in _TEXTS.items()]
     each = lambda f, kind: F.transform(F.filter(F.coalesce(f, no_texts()), given), lambda x: _note(f, x, FIELD[kind](x)))
@@ -41,9 +41,8 @@ def notes(repository: Repository) -> Column:
     urls = F.transform(F.coalesce("links", F.array().cast("array<struct<link_type:int,url:string>>")), lambda x: F.get(F.split(F.rtrim(x["url"], F.lit("#")), "#", 2), F.lit(0)))
     parts.append(F.transform(F.filter(urls, given), lambda x: _note("links", x, FIELD["url"](x))))
     said = F.filter(F.concat(*[p.cast(NOTE) for p in parts]), lambda x: x["note"].isNotNull())
-    problem = problem_of(F.col("names"), F.col("version"))
-    last = F.array(F.struct(F.lit(ERROR).alias("severity"), F.lit("record").alias("field"), F.lit(None).cast("string").alias("text"), problem.alias("note"))).cast(NOTE)
-    return F.when(problem.isNotNull(), F.concat(said, last)).otherwise(said)
+    last = F.array(F.struct(F.lit(ERROR).alias("severity"), F.lit("record").alias("field"), F.lit(None).cast("string").alias("text"), F.col("_problem").alias("note"))).cast(NOTE)
+    return F.when(F.col("_problem").isNotNull(), F.concat(said, last)).otherwise(said)
 
 
 def label(names: Column, version: Column) -> Column:
@@ -52,15 +51,15 @@ def label(names: Column, version: Column) -> Column:
     return F.concat_ws(" ", F.array_join(F.array_distinct(F.transform(sorted_names, lambda e: e["value"])), "/"), version)
 
 
-def diagnosed(records: DataFrame, repository: Repository) -> DataFrame:
+def diagnosed(records: DataFrame) -> DataFrame:
     """Records with their label, notes, and the problem that leaves no package (null: none)."""
-    return records.withColumns({"_label": label(F.col("names"), F.col("version")), "_notes": notes(repository), "_problem": problem_of(F.col("names"), F.col("version"))})
+    return mapped(records).withColumns({"_label": label(F.col("names"), F.col("version")), "_notes": notes()})
 
 
 def rejected(records: DataFrame, repository: Repository) -> DataFrame:
     """(repo, names, version, reason): the records that give no package."""
-    bad = records.withColumn("reason", problem_of(F.col("names"), F.col("version"))).filter("reason is not null")
-    return bad.select(F.lit(repository.name).alias("repo"), "names", "version", "reason")
+    bad = mapped(records).filter("_problem is not null")
+    return bad.select(F.lit(repository.name).alias("repo"), "names", "version", F.col("_problem").alias("reason"))
 
 
 def log_lines(records: DataFrame, repository: Repository, most: int = MOST_LINES) -> DataFrame:
@@ -68,7 +67,7 @@ def log_lines(records: DataFrame, repository: Repository, most: int = MOST_LINES
 
     Each of many parts of the notes gives its first lines, so no task sorts the notes of a whole run.
     """
-    n = diagnosed(records, repository).select("_label", F.explode("_notes").alias("n"))
+    n = diagnosed(records).select("_label", F.explode("_notes").alias("n"))
     text = F.when(F.col("n.text").isNotNull(), F.concat(F.lit(' "'), F.col("n.text"), F.lit('"'))).otherwise(F.lit(""))
     lines = n.select("_label", "n.severity", F.concat("_label", F.lit(": "), F.col("n.field"), text, F.lit(" "), F.col("n.note")).alias("message"))
     order = ["_label", "message", "severity"]
@@ -82,12 +81,12 @@ def log_lines(records: DataFrame, repository: Repository, most: int = MOST_LINES
     )
 
 
-def counted(records: DataFrame, repository: Repository) -> tuple[DataFrame, Observation]:
+def counted(records: DataFrame) -> tuple[DataFrame, Observation]:
     """Diagnosed records, and what will have been counted when they have been written."""
     seen = Observation()
     of = lambda severity: F.size(F.filter("_notes", lambda x: x["severity"] == severity))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    rows = diagnosed(records, repository).observe(
+    rows = diagnosed(records).observe(
         seen, F.count(F.lit(1)).alias("n_records"), F.count("_problem").alias("n_rejected"), total(of(WARNING)).alias("n_warnings"), total(of(ERROR)).alias("n_errors")
     )
     return rows, seen
@@ -107,7 +106,7 @@ def run_load(records: DataFrame, repository: Repository, folder: str, started: d
         df.drop("repo").write.mode("overwrite").parquet(f"{folder}/{table}/repo={repository.name}")
 
     try:
-        rows, seen = counted(records, repository)
+        rows, seen = counted(records)
         put(rows.filter("_problem is not null").select("names", "version", F.col("_problem").alias("reason")), "rejected")
         put(log_lines(records, repository), "log")
         put(load(records, repository, on_failure="skip", **options), "packages")

@@ -96,10 +96,11 @@ def version_of(version: Column) -> Column:
     return F.nullif(FIELD["version"](version)["value"], F.lit(""))
 
 
-def problem_of(names: Column, version: Column) -> Column:
-    """Why a record gives no package; null if it gives one."""
-    kinds = F.array_join(F.array_sort(F.map_keys(names)), ", ")
-    return F.when(names_of(names).isNull(), F.concat(F.lit("unknown set of names: "), F.coalesce(kinds, F.lit("")))).when(version_of(version).isNull(), F.lit("no version"))
+def mapped(records: DataFrame) -> DataFrame:
+    """Records with the five names (_names), the version (_version), and why there is no package (_problem; null if there is one)."""
+    step = records.withColumns({"_names": names_of(F.col("names")), "_version": version_of(F.col("version"))})
+    kinds = F.coalesce(F.array_join(F.array_sort(F.map_keys("names")), ", "), F.lit(""))
+    return step.withColumn("_problem", F.when(F.col("_names").isNull(), F.concat(F.lit("unknown set of names: "), kinds)).when(F.col("_version").isNull(), F.lit("no version")))
 
 
 def make_packages(records: DataFrame, repository: Repository, on_failure: str = "raise") -> DataFrame:
@@ -108,8 +109,8 @@ def make_packages(records: DataFrame, repository: Repository, on_failure: str =
     A record fails whose names no mapping knows or that has no version left; ``on_failure`` says whether that is
     an error (raise) or the record is left out (skip; ``load_log.rejected`` has it). An empty table gives no packages.
     """
-    step = records.withColumns({"_names": names_of(F.col("names")), "_version": version_of(F.col("version"))})
-    problem = problem_of(F.col("names"), F.col("version"))
+    step = mapped(records)
+    problem = F.col("_problem")
     if on_failure == "skip":
         step = step.filter(problem.isNull())
     elif on_failure == "raise":
