@@ -5,7 +5,9 @@ The twins state what each text was made from, so they hold the parsers against t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import normalize
@@ -13,8 +15,9 @@ from larder.functions.distro_versions import nevra, nevra_text
 from larder.functions.link_templates import compile_template
 from larder.functions.versions import version_key
 from larder.plans.landscape import table
-from larder.plans.registry import query
+from larder.plans.registry import ORACLE_SQL, query
 from larder.sources import json_formats, load_log, text_formats, xml_formats
+from larder.sources.json_files import json_documents
 from larder.sources.names import MAPPINGS, ROLES, mapped_names
 from larder.sources.packages import Repository, dumped, link, load, make_packages, raw
 from larder.sources.readers import xml_items
@@ -136,12 +139,28 @@ def parse_aur(spark, sf_dir):
     return plain(json_formats.aur(json_texts(rows(spark, sf_dir), item)), "binname", "maintainers", "licenses")
 
 
-@query(ROWS + """SELECT n AS effname, v AS version, 0 AS flags FROM r WHERE k % 3 < 2 UNION ALL SELECT n, concat(v, '.9-rc'), 2 FROM r WHERE k % 3 > 0""")
-def parse_crates(spark, sf_dir):
+def crate() -> Column:
     """A third has a stable version only, a third a newer one beside it, a third no stable one."""
     newer = F.concat("v", F.lit(".9-rc"))
-    item = F.struct(F.col("n").alias("id"), F.col("n").alias("name"), F.when(F.col("k") % 3 < 2, F.col("v")).alias("max_stable_version"), F.when(F.col("k") % 3 == 0, F.col("v")).otherwise(newer).alias("max_version"))
-    return plain(json_formats.crates(json_texts(rows(spark, sf_dir), item, "crates")), "flags")
+    return F.struct(F.col("n").alias("id"), F.col("n").alias("name"), F.when(F.col("k") % 3 < 2, F.col("v")).alias("max_stable_version"), F.when(F.col("k") % 3 == 0, F.col("v")).otherwise(newer).alias("max_version"))
+
+
+@query(ROWS + """SELECT n AS effname, v AS version, 0 AS flags FROM r WHERE k % 3 < 2 UNION ALL SELECT n, concat(v, '.9-rc'), 2 FROM r WHERE k % 3 > 0""")
+def parse_crates(spark, sf_dir):
+    return plain(json_formats.crates(json_texts(rows(spark, sf_dir), crate(), "crates")), "flags")
+
+
+@query(ORACLE_SQL["parse_crates"])
+def parse_json_files(spark, sf_dir):
+    """The crates again, from files: each brand is one file with one list, and many tasks read it. The files stay in the checkpoint folder."""
+    of_file = Window.partitionBy("b")
+    items = rows(spark, sf_dir).withColumns({"line": F.to_json(crate()), "first": F.min("k").over(of_file), "last": F.max("k").over(of_file)})
+    left = F.when(F.col("k") == F.col("first"), '{"crates": [').otherwise(",")
+    right = F.when(F.col("k") == F.col("last"), "]}").otherwise("")
+    folder = f"{spark.sparkContext.getCheckpointDir()}/json-{uuid.uuid4().hex}"
+    lines = items.select("b", "k", F.concat(left, "line", right).alias("line"))
+    lines.repartition("b").sortWithinPartitions("b", "k").select("b", "line").write.partitionBy("b").text(folder)
+    return plain(json_formats.crates(json_documents(spark, folder, "crates")), "flags")
 
 
 @query(ROWS + "SELECT b AS effname, arg_max(v, size * 100 + k % 17) AS version FROM r GROUP BY b")
