@@ -57,10 +57,27 @@ def url(c: Column) -> Column:
     return _result(F.when(ok & known, F.concat(scheme, F.lit("://"), host, path)), note)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that stands in the plan once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def chain(*steps: Normaliser) -> Normaliser:
     """The steps one after the other; a drop ends the chain, notes are joined."""
 
+    def after(step: Normaliser) -> Normaliser:
+        def more(before: Column) -> Column:
+            return bound(step(before["value"]), lambda out: _result(out["value"], F.nullif(F.concat_ws("; ", before["note"], out["note"]), F.lit(""))))
+
+        return more
+
     def run(c: Column) -> Column:
+        out = _result(c)
+        for step in steps:
+            out = bound(out, after(step))
+        return out
+
+    def short(c: Column) -> Column:
         value, notes = c, []
         for step in steps:
             out = step(value)
@@ -68,7 +85,7 @@ def chain(*steps: Normaliser) -> Normaliser:
             value = out["value"]
         return _result(value, F.nullif(F.concat_ws("; ", *notes), F.lit("")))
 
-    return run
+    return short if len(steps) < 3 else run  # two steps are small enough to stay plain expressions
 
 
 #: The chains of each field of a record.
@@ -93,7 +110,7 @@ def values(items: Column, step: Normaliser) -> Column:
 
 def or_null(items: Column) -> Column:
     """Null for an empty array: the model has no empty lists."""
-    return F.when(F.size(items) > 0, items)
+    return bound(items, lambda x: F.when(F.size(x) > 0, x))
 
 
 def split_link(link: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from larder.functions.normalize import bound
+
 ROLES = ("srcname", "binname", "trackname", "visiblename", "projectname_seed")
 
 # For each set of kinds that a source may state, the kind that fills each role, in the order of ROLES.
@@ -46,12 +48,17 @@ MAPPINGS: list[tuple[str | None, ...]] = [
 ]
 
 
-def mapped_names(names: Column) -> Column:
-    """struct of the five roles for a map of kind to name; null where no mapping knows that set of kinds."""
+def kinds_of(names: Column) -> Column:
+    """struct of the kind of name for each of the five roles; null where no mapping knows the kinds of a map of kind to name."""
     table = []
     for kinds in MAPPINGS:
         key = "|".join(sorted({k for k in kinds if k}))
         table += [F.lit(key), F.struct(*[F.lit(k).cast("string").alias(r) for r, k in zip(ROLES, kinds)])]
-    kinds = F.try_element_at(F.create_map(*table), F.array_join(F.array_sort(F.map_keys(names)), "|"))
-    filled = F.struct(*[F.try_element_at(names, kinds[r]).alias(r) for r in ROLES])
-    return F.when(kinds.isNotNull(), filled)
+    return F.try_element_at(F.create_map(*table), F.array_join(F.array_sort(F.map_keys(names)), "|"))
+
+
+def mapped_names(names: Column, kinds: Column | None = None) -> Column:
+    """struct of the five roles for a map of kind to name; null where no mapping knows that set of kinds. ``kinds`` are those of
+    ``kinds_of`` where they are a column already."""
+    filled = lambda k: F.when(k.isNotNull(), F.struct(*[F.try_element_at(names, k[r]).alias(r) for r in ROLES]))
+    return bound(kinds_of(names), filled) if kinds is None else filled(kinds)

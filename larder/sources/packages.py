@@ -12,7 +12,7 @@ from larder.functions.link_templates import merged_links
 from larder.functions.normalize import FIELD, mapped_maintainers, or_null
 from larder.operators import rules as rule_language
 from larder.schema import CPE_FIELDS, FLAG, LINK_TYPE, PACKAGE, RAW
-from larder.sources.names import ROLES, mapped_names
+from larder.sources.names import ROLES, kinds_of, mapped_names
 
 
 
@@ -87,18 +87,15 @@ def _cleaned_names(names: Column) -> Column:
     return F.map_filter(clean, lambda _, v: v.isNotNull() & (v != ""))
 
 
-def names_of(names: Column) -> Column:
-    """The five names of a record's names; null where no mapping knows them."""
-    return mapped_names(_cleaned_names(F.coalesce(names, F.create_map().cast("map<string,string>"))))
-
-
 def version_of(version: Column) -> Column:
     return F.nullif(FIELD["version"](version)["value"], F.lit(""))
 
 
 def mapped(records: DataFrame) -> DataFrame:
     """Records with the five names (_names), the version (_version), and why there is no package (_problem; null if there is one)."""
-    step = records.withColumns({"_names": names_of(F.col("names")), "_version": version_of(F.col("version"))})
+    given = F.coalesce("names", F.create_map().cast("map<string,string>"))
+    step = records.withColumns({"_clean": _cleaned_names(given), "_version": version_of(F.col("version"))}).withColumn("_kinds", kinds_of(F.col("_clean")))
+    step = step.withColumn("_names", mapped_names(F.col("_clean"), F.col("_kinds"))).drop("_clean", "_kinds")
     kinds = F.coalesce(F.array_join(F.array_sort(F.map_keys("names")), ", "), F.lit(""))
     return step.withColumn("_problem", F.when(F.col("_names").isNull(), F.concat(F.lit("unknown set of names: "), kinds)).when(F.col("_version").isNull(), F.lit("no version")))
 

@@ -91,8 +91,17 @@ def required(value: Column, what: str) -> Column:
 def field(stanza: Column, key: str) -> Column:
     """The value of ``key:`` in a stanza of ``key: value`` lines; lines that begin with a space go on with the value
     before them. The last of equal keys counts; null without one."""
-    joined = F.regexp_replace(stanza, r"[ \t\r]*\n[ ][ \t]*", "")
-    found = F.filter(F.split(joined, "\n"), lambda x: x.startswith(key + ":"))
+    return field_of(stanza_lines(stanza), key)
+
+
+def stanza_lines(stanza: Column) -> Column:
+    """The lines of a stanza, each with what goes on after it: the step before ``field_of``, for formats with many fields."""
+    return F.split(F.regexp_replace(stanza, r"[ \t\r]*\n[ ][ \t]*", ""), "\n")
+
+
+def field_of(lines: Column, key: str) -> Column:
+    """``field`` of the lines of a stanza."""
+    found = F.filter(lines, lambda x: x.startswith(key + ":"))
     return F.when(F.size(found) > 0, F.btrim(F.substr(F.element_at(found, -1), F.lit(len(key) + 2)), F.lit(" \t\r")))
 
 

@@ -12,7 +12,7 @@ from larder.functions.distro_versions import nevra, parse_debian, parse_rpm
 from larder.functions.normalize import extract_maintainers, split_cpe
 from larder.functions.versions import strip_left, strip_right, strip_right_greedy, version_key
 from larder.sources.packages import flag_if, flags_of, link, map_of, one, raw, texts
-from larder.sources.readers import assigned, block, field
+from larder.sources.readers import assigned, block, field_of, stanza_lines
 
 
 def value() -> Column:
@@ -31,49 +31,61 @@ def last_parts(text: Column, sep: str, n: int) -> list[Column]:
 # Stanzas of key: value lines
 
 
+def _fields(records: DataFrame, *keys: str) -> DataFrame:
+    """Records with the named fields of their stanzas as columns of a struct ``f``, each looked for once."""
+    lined = records.select("value", stanza_lines(value()).alias("lines"))
+    return lined.select("value", F.struct(*[field_of(F.col("lines"), k).alias(k) for k in keys]).alias("f"))
+
+
+DEBIAN_FIELDS = ("Version", "Homepage", "Maintainer", "Uploaders", "Section")
+
+
 def _debian(records: DataFrame, extra_garbage: tuple[str, ...], more: dict) -> DataFrame:
-    get = lambda k: field(value(), k)
-    parsed = parse_debian(get("Version"), extra_garbage)
+    """Rows of ``_fields`` with DEBIAN_FIELDS at least; ``more`` are further fields of RAW."""
+    get = lambda k: F.col("f")[k]
     people = lambda k: extract_maintainers(F.coalesce(get(k), F.lit("")))
+    rows = records.withColumn("parsed", parse_debian(get("Version"), extra_garbage))
     links = [link("upstream_homepage", one(get("Homepage"))), *more.pop("links", [])]
-    flags = flags_of(parsed["flags"], *more.pop("flags", []))
-    return raw(records, version=parsed["version"], rawversion=get("Version"), flags=flags, maintainers=texts(people("Maintainer"), people("Uploaders")), categories=one(get("Section")), links=links, **more)
+    flags = flags_of(F.col("parsed.flags"), *more.pop("flags", []))
+    return raw(rows, version=F.col("parsed.version"), rawversion=get("Version"), flags=flags, maintainers=texts(people("Maintainer"), people("Uploaders")), categories=one(get("Section")), links=links, **more)
 
 
 def debian_sources(records: DataFrame, allowed_vcs_urls: str | None = None, extra_garbage: tuple[str, ...] = ()) -> DataFrame:
     """Source stanzas; a version control link is kept if it begins like ``allowed_vcs_urls``."""
+    rows = _fields(records, *DEBIAN_FIELDS, "Package", "Binary", "Vcs-Browser")
     links = []
     if allowed_vcs_urls is not None:
-        vcs = F.coalesce(field(value(), "Vcs-Browser"), F.nullif(F.regexp_extract(value(), r"(?m)^Vcs-[A-Za-z0-9_-]*:[ \t]*(.*?)[ \t]*$", 1), F.lit("")))
-        links.append(link("package_sources", one(F.when(vcs.rlike(f"(?i)^(?:{allowed_vcs_urls})"), vcs))))
-    return _debian(records, extra_garbage, {"names": {"debian_source": field(value(), "Package")}, "binnames": F.split(field(value(), "Binary"), ", "), "links": links})
+        vcs = F.coalesce(F.col("f")["Vcs-Browser"], F.nullif(F.regexp_extract(value(), r"(?m)^Vcs-[A-Za-z0-9_-]*:[ \t]*(.*?)[ \t]*$", 1), F.lit("")))
+        rows = rows.withColumn("vcs", vcs)
+        links.append(link("package_sources", one(F.when(F.col("vcs").rlike(f"(?i)^(?:{allowed_vcs_urls})"), F.col("vcs")))))
+    return _debian(rows, extra_garbage, {"names": {"debian_source": F.col("f.Package")}, "binnames": F.split("f.Binary", ", "), "links": links})
 
 
 def debian_packages(records: DataFrame, extra_garbage: tuple[str, ...] = ()) -> DataFrame:
     """Stanzas of binary packages only."""
-    return _debian(records, extra_garbage, {"names": {"debian_binary": field(value(), "Package")}})
+    return _debian(_fields(records, *DEBIAN_FIELDS, "Package"), extra_garbage, {"names": {"debian_binary": F.col("f.Package")}})
 
 
 def openwrt(records: DataFrame) -> DataFrame:
-    source = field(value(), "Source")
-    path = F.split(source, "/")
-    cpe = split_cpe(F.coalesce(field(value(), "CPE-ID"), F.lit("")))
-    python = (F.get(path, F.lit(2)) == "lang") & (F.get(path, F.lit(3)) == "python")
+    get = lambda k: F.col("f")[k]
+    rows = _fields(records, *DEBIAN_FIELDS, "Package", "Source", "Architecture", "URL", "CPE-ID")
+    rows = rows.withColumns({"path": F.split(get("Source"), "/"), "cpe": split_cpe(F.coalesce(get("CPE-ID"), F.lit("")))})
+    python = (F.get("path", F.lit(2)) == "lang") & (F.get("path", F.lit(3)) == "python")
     more = {
-        "names": {"openwrt_package": field(value(), "Package"), "openwrt_sourcedir": F.element_at(path, -1), "openwrt_source": source},
-        "arch": field(value(), "Architecture"),
-        "extrafields": map_of(path=F.array_join(F.slice(path, 3, F.greatest(F.lit(0), F.size(path) - 2)), "/")),
-        "links": [link("upstream_homepage", one(field(value(), "URL")))],
-        "cpe": map_of(vendor=F.get(cpe, F.lit(2)), product=F.get(cpe, F.lit(3))),
+        "names": {"openwrt_package": get("Package"), "openwrt_sourcedir": F.element_at("path", -1), "openwrt_source": get("Source")},
+        "arch": get("Architecture"),
+        "extrafields": map_of(path=F.array_join(F.slice("path", 3, F.greatest(F.lit(0), F.size("path") - 2)), "/")),
+        "links": [link("upstream_homepage", one(get("URL")))],
+        "cpe": map_of(vendor=F.get("cpe", F.lit(2)), product=F.get("cpe", F.lit(3))),
         "flags": [flag_if(F.coalesce(python, F.lit(False)), "untrusted")],
     }
-    return _debian(records, (), more)
+    return _debian(rows, (), more)
 
 
 def apk_index(records: DataFrame) -> DataFrame:
-    get = lambda k: field(value(), k)
+    get = lambda k: F.col("f")[k]
     return raw(
-        records,
+        _fields(records, "P", "o", "V", "T", "U", "L", "A", "m"),
         names={"name": get("P"), "base": F.nullif(get("o"), F.lit(""))},
         version=F.regexp_replace(get("V"), "-r[0-9]+$", ""),
         summary=get("T"),
