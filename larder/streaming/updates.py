@@ -23,10 +23,10 @@ KEPT = 2
 
 
 class Store:
-    """Classified packages in buckets of projects, under one folder; readers see the last manifest."""
+    """A table in buckets by its keys (classified packages by project), under one folder; readers see the last manifest."""
 
-    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, buckets: int = 64):
-        self.spark, self.folder, self.schema, self.buckets = spark, folder.rstrip("/"), schema, buckets
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, buckets: int = 64, keys: tuple[str, ...] = ("effname",)):
+        self.spark, self.folder, self.schema, self.buckets, self.keys = spark, folder.rstrip("/"), schema, buckets, keys
         self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
@@ -62,7 +62,7 @@ class Store:
             raise RuntimeError(f"{self.folder}: manifest {manifest['number']} is there already; another writer is at work")
 
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64("effname"), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
     def read(self, buckets: list[str] | None = None) -> DataFrame:
         """What is stored; of some buckets only, if these are given."""
