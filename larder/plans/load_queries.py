@@ -5,11 +5,10 @@ The twins state what each text was made from, so they hold the parsers against t
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.folders import run_folder
 from larder.functions import normalize
 from larder.functions.distro_versions import nevra, nevra_text
 from larder.functions.link_templates import compile_template
@@ -157,7 +156,7 @@ def parse_json_files(spark, sf_dir):
     items = rows(spark, sf_dir).withColumns({"line": F.to_json(crate()), "first": F.min("k").over(of_file), "last": F.max("k").over(of_file)})
     left = F.when(F.col("k") == F.col("first"), '{"crates": [').otherwise(",")
     right = F.when(F.col("k") == F.col("last"), "]}").otherwise("")
-    folder = f"{spark.sparkContext.getCheckpointDir()}/json-{uuid.uuid4().hex}"
+    folder = run_folder(spark, "json")
     lines = items.select("b", "k", F.concat(left, "line", right).alias("line"))
     lines.repartition("b").sortWithinPartitions("b", "k").select("b", "line").write.partitionBy("b").text(folder)
     return plain(json_formats.crates(json_documents(spark, folder, "crates")), "flags")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larder.folders import run_folder
 from larder.functions import distro_versions, normalize
 from larder.functions.versions import lower_bound, upper_bound, version_key
 from larder.operators import changes, rules
@@ -15,7 +16,9 @@ from larder.operators.classify import classify
 from larder.plans import aggregates, history, links
 from larder.plans.landscape import new_packages, old_packages, packages, snapshots, table, with_sql
 from larder.plans.registry import ORACLE_SQL, QUERIES, query
+from larder.plans.update_run import State, update
 from larder.schema import STATUS
+from larder.streaming.tracks import tracks_of
 
 RUN_TS = "TIMESTAMP '2001-01-01 00:00:00'"
 
@@ -171,6 +174,15 @@ def repo_stats_full(spark, sf_dir):
     return longs(aggregates.by_repository(snapshots(spark, sf_dir)[1]), "repo")
 
 
+@query(with_sql(_repo_sql("new_c"), new=True).replace("new_pkg AS (SELECT * FROM", "new_pkg AS (SELECT DISTINCT * FROM"))
+def update_run(spark, sf_dir):
+    """Counters of repositories after two updates of a stored state; the twin works them out anew."""
+    state = State(spark, run_folder(spark, "update"))
+    update(state, old_packages(spark, sf_dir), F.expr("TIMESTAMP '2000-06-01 00:00:00'"))
+    update(state, new_packages(spark, sf_dir), F.expr(RUN_TS))
+    return longs(state.read("repo_stats"), "repo")
+
+
 @query(_delta_sql(_repo_sql, ["repo"], _REPO_COUNTERS))
 def repo_stats_delta(spark, sf_dir):
     a, b = snapshots(spark, sf_dir)
@@ -292,6 +304,24 @@ def tracks_merged(spark, sf_dir):
     return t.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("start_ts") == F.expr(RUN_TS)).alias("started"), F.count("end_ts").alias("ended"))
 
 
+@query(
+    with_sql(
+        """SELECT coalesce(o.repo, n.repo) AS repo, count(*) AS n, count(*) FILTER (WHERE o.repo IS NULL) AS started, count(*) FILTER (WHERE n.repo IS NULL) AS restarted, count(*) FILTER (WHERE o.repo IS NULL) AS ended, CAST(coalesce(sum(o.k), 0) AS BIGINT) AS packages
+FROM (SELECT repo, trackname, count(*) AS k FROM old_pkg GROUP BY repo, trackname) o FULL OUTER JOIN (SELECT DISTINCT repo, trackname FROM new_pkg) n ON o.repo = n.repo AND o.trackname = n.trackname GROUP BY 1""",
+        old=True,
+        new=True,
+    )
+)
+def tracks_streamed(spark, sf_dir):
+    """Three runs as a stream: the old snapshot, the new one, the old one again, so that tracks end and come back."""
+    old, new = old_packages(spark, sf_dir), new_packages(spark, sf_dir)
+    steps = [(old.filter("false"), old, "2000-06-01"), (old, new, "2001-01-01"), (new, old, "2001-02-01")]
+    runs = [history.track_delta(a, b).withColumn("run_ts", F.expr(f"TIMESTAMP '{day} 00:00:00'")) for a, b, day in steps]
+    at = lambda c, day: F.count_if(F.col(c) == F.expr(f"TIMESTAMP '{day} 00:00:00'"))
+    t = tracks_of(spark, runs, run_folder(spark, "tracks"))
+    return t.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), at("start_ts", "2001-01-01").alias("started"), at("restart_ts", "2001-02-01").alias("restarted"), at("end_ts", "2001-02-01").alias("ended"), F.sum("refcount").alias("packages"))
+
+
 @query(
     with_sql(
         """SELECT coalesce(o.repo, n.repo) AS repo, coalesce(o.trackname, n.trackname) AS trackname, coalesce(o.version, n.version) AS version, coalesce(n.k, 0) - coalesce(o.k, 0) AS delta, coalesce(s, 0) AS any_statuses, coalesce(f, 0) AS any_flags

@@ -14,7 +14,6 @@ state of a track stays small.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -150,9 +149,8 @@ def follow_tracks(spark: SparkSession, source: str, store: Store, checkpoint: st
         raise RuntimeError(f"{source}: {late} changes are of runs more than {delay} before the latest one and were not applied")
 
 
-def tracks_of(spark: SparkSession, runs: Iterable[DataFrame], checkpoint: str) -> DataFrame:
-    """Tracks after the changes of some runs (CHANGE), each sent as a batch of files, in a new folder below ``checkpoint``."""
-    folder = f"{checkpoint.rstrip('/')}/tracks-{uuid4().hex}"
+def tracks_of(spark: SparkSession, runs: Iterable[DataFrame], folder: str) -> DataFrame:
+    """Tracks after the changes of some runs (CHANGE), each sent as a batch of files; all is kept in a new folder."""
     store = track_store(spark, f"{folder}/store")
     for run in runs:
         run.select([F.col(f.name).cast(f.dataType) for f in CHANGE.fields]).write.mode("append").parquet(f"{folder}/in")

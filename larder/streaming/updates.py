@@ -22,11 +22,11 @@ from larder.operators.classify import classify
 KEPT = 2
 
 
-class Store:
-    """A table in buckets by its keys (classified packages by project), under one folder; readers see the last manifest."""
+class Manifests:
+    """Numbered manifests in a folder: each says which files are the state; readers see the last one."""
 
-    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, buckets: int = 64, keys: tuple[str, ...] = ("effname",)):
-        self.spark, self.folder, self.schema, self.buckets, self.keys = spark, folder.rstrip("/"), schema, buckets, keys
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
         self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
@@ -61,6 +61,24 @@ class Store:
         if self.fs.exists(final) or not self.fs.rename(draft, final):
             raise RuntimeError(f"{self.folder}: manifest {manifest['number']} is there already; another writer is at work")
 
+    def _prune(self, pattern: str) -> None:
+        """Old manifests, and folders of this pattern that none of the others names."""
+        numbers = self.manifests()
+        needed = {f for n in numbers[-KEPT:] for f in self.manifest(n)["files"].values()}
+        for name in self._list(pattern):
+            if name not in needed:
+                self.fs.delete(self._path(name), True)
+        for n in numbers[:-KEPT]:
+            self.fs.delete(self._path(f"manifests/{n}.json"), False)
+
+
+class Store(Manifests):
+    """A table in buckets by its keys (classified packages by project), under one folder."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, buckets: int = 64, keys: tuple[str, ...] = ("effname",)):
+        super().__init__(spark, folder)
+        self.schema, self.buckets, self.keys = schema, buckets, keys
+
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
@@ -83,17 +101,7 @@ class Store:
         files = {b: f for b, f in before["files"].items() if b not in buckets}
         files |= {x.rpartition("=")[2]: x for x in self._list(f"{place}/_bucket=*")}
         self._switch({"number": number, "files": files, "done": {**before["done"], query: batch}})
-        self._prune()
-
-    def _prune(self) -> None:
-        """Old manifests, and files that none of the others names."""
-        numbers = self.manifests()
-        needed = {f for n in numbers[-KEPT:] for f in self.manifest(n)["files"].values()}
-        for name in self._list("data/*/_bucket=*"):
-            if name not in needed:
-                self.fs.delete(self._path(name), True)
-        for n in numbers[:-KEPT]:
-            self.fs.delete(self._path(f"manifests/{n}.json"), False)
+        self._prune("data/*/_bucket=*")
 
 
 def apply_batch(store: Store, batch: DataFrame, query: str, batch_id: int) -> None:
