@@ -38,11 +38,15 @@ TRACKS = "repo string, trackname string, refcount long, start_ts timestamp, rest
 
 
 class State(Manifests):
-    """The tables that the last update left under a folder; any session that sees the folder can go on."""
+    """The tables that the last update left under a folder; any session that sees the folder can go on.
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+    The number of buckets is that of the first update: the one given, or else the session's number of shuffle partitions. It should suit the
+    size of all packages; the manifest keeps it, since tables are read bucket by bucket.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
         super().__init__(spark, folder)
-        self.buckets = buckets
+        self.buckets = self.manifest()["done"].get("buckets") or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _table(self, place: str) -> str:
         return f"larder_{hashlib.md5(f'{self.folder}/{place}'.encode()).hexdigest()}"
@@ -73,7 +77,7 @@ class State(Manifests):
     def switch(self, files: dict[str, str]) -> None:
         """These tables are the state now; what neither this nor the last manifest names goes."""
         before = self.manifest()
-        self._switch({"number": before["number"] + 1, "files": files, "done": {}})
+        self._switch({"number": before["number"] + 1, "files": files, "done": {"buckets": self.buckets}})
         known = set(self._list("tables/*/*"))
         self._prune("tables/*/*")
         for place in known - set(self._list("tables/*/*")):
