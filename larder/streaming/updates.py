@@ -92,15 +92,15 @@ class Store(Manifests):
 
     current = read
 
-    def replace(self, packages: DataFrame, buckets: list[str], query: str, batch: int) -> None:
-        """``packages`` are from now on all that these buckets hold."""
+    def replace(self, packages: DataFrame, buckets: list[str], query: str, batch: int, **more) -> None:
+        """``packages`` are from now on all that these buckets hold. The manifest also keeps ``more``."""
         before = self.manifest()
         number = before["number"] + 1
         place = f"data/{number}"
         packages.select(*self.schema.fieldNames(), self.bucket().alias("_bucket")).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.folder}/{place}")
         files = {b: f for b, f in before["files"].items() if b not in buckets}
         files |= {x.rpartition("=")[2]: x for x in self._list(f"{place}/_bucket=*")}
-        self._switch({"number": number, "files": files, "done": {**before["done"], query: batch}})
+        self._switch({**before, "number": number, "files": files, "done": {**before["done"], query: batch}, **more})
         self._prune("data/*/_bucket=*")
 
 

@@ -1,6 +1,7 @@
 """Tracks as state of a stream against the merge of tables."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +74,17 @@ def test_runs_that_cannot_be_applied_are_errors(spark, tmp_path):
     with pytest.raises(Exception, match="two different changes of one run"):
         follow_tracks(spark, other, store, str(tmp_path / "check2"))
     assert found(store.read()) == before
+
+
+def test_batches_need_no_call_for_each_track(spark, tmp_path):
+    """Many tracks in one batch, thrice: a join each, in seconds."""
+    source, check = str(tmp_path / "in"), str(tmp_path / "check")
+    store = track_store(spark, str(tmp_path / "store"), buckets=4)
+    tracks = spark.range(150_000).select(F.lit("r").alias("repo"), F.col("id").cast("string").alias("trackname"), F.lit(1).cast("long").alias("delta"))
+    begin = time.time()
+    for n, delta in ((0, 1), (100, -1), (120, 1)):
+        tracks.select("repo", "trackname", F.lit(delta).cast("long").alias("delta"), F.lit(day(n)).cast("timestamp").alias("run_ts")).write.mode("append").parquet(source)
+        follow_tracks(spark, source, store, check)
+    assert store.read().filter("refcount = 1 and start_ts < restart_ts and end_ts is null").count() == 150_000
+    assert store.read().filter("base.settled is null").isEmpty()  # the first run is settled: the watermark has passed it
+    assert time.time() - begin < 60
