@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,12 +166,26 @@ def cpe_matches(ours: DataFrame, theirs: DataFrame, fields: tuple[str, ...], on:
     return j.drop(*[f"_{f}" for f in fields])
 
 
-def unreferenced_cpes(manual: DataFrame, dictionary: DataFrame, vulnerable: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+def cpe_match_counts(ours: DataFrame, theirs: DataFrame, fields: tuple[str, ...], on: tuple[str, ...] = ("cpe_vendor", "cpe_product")) -> DataFrame:
+    """(on, fields, n): of each distinct name of ours that some of theirs match, how many do.
+
+    Distinct names meet, each with its number of rows, so a product that very many rows name is no hot group.
+    """
+    names = (*on, *fields)
+    kinds = theirs.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    return cpe_matches(ours.select(*names).distinct(), kinds, fields, on).groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def same_cpe(a: str, b: str, names: tuple[str, ...]) -> Column:
+    """Whether two aliased tables have the same name; nulls are equal."""
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names])
+
+
+def unreferenced_cpes(manual: DataFrame, dictionary: DataFrame, vulnerable: DataFrame, fields: tuple[str, ...], on: tuple[str, ...] = ("cpe_vendor", "cpe_product")) -> DataFrame:
     """Bindings that match neither the dictionary nor any vulnerability."""
-    keys = manual.columns
-    hit = cpe_matches(manual, dictionary, fields).select(*keys).unionByName(cpe_matches(manual, vulnerable, fields).select(*keys)).distinct()
-    cond = [F.col(f"m.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-    return manual.alias("m").join(hit.alias("h"), cond, "left_anti")
+    names = (*on, *fields)
+    hit = cpe_match_counts(manual, dictionary.select(*names).unionByName(vulnerable.select(*names)), fields, on)
+    return manual.alias("m").join(hit.alias("h"), same_cpe("m", "h", names), "left_anti")
 
 
 def vulnerable(packages: DataFrame, ranges: DataFrame) -> DataFrame:
