@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.plans.links import cpe_matches
+from larder.plans.links import cpe_matches, unreferenced_cpes
 from larder.schema import CPE_FIELDS
 
 CPE_COLUMNS = tuple(f"cpe_{c}" for c in CPE_FIELDS)
@@ -204,10 +204,7 @@ def cpe_unreferenced(packages: DataFrame, dictionary: DataFrame, known: DataFram
     """Packages whose name neither the dictionary nor any vulnerability has, with suggestions where there are some."""
     others = tuple(c for c in CPE_COLUMNS if c != "cpe_product")
     named = packages.filter(F.col("cpe_product").isNotNull())
-    distinct = named.select(*CPE_COLUMNS).distinct()
-    hit = cpe_matches(distinct, dictionary, others, ("cpe_product",)).select(*CPE_COLUMNS).unionByName(cpe_matches(distinct, known, others, ("cpe_product",)).select(*CPE_COLUMNS)).distinct()
-    same = reduce(lambda a, b: a & b, [F.col(f"p.{c}").eqNullSafe(F.col(f"h.{c}")) for c in CPE_COLUMNS])
-    return named.alias("p").join(hit.alias("h"), same, "left_anti").join(suggestions(vulnerable), "effname", "left")
+    return unreferenced_cpes(named, dictionary, known, others, ("cpe_product",)).join(suggestions(vulnerable), "effname", "left")
 
 
 def vulnerable_projects(bindings: DataFrame, known: DataFrame) -> DataFrame:
