@@ -269,7 +269,7 @@ SELECT b, arg_min(v, concat(key, '|', v)) AS least, arg_max(v, concat(key, '|',
 def version_order_long(spark, sf_dir):
     """Versions of up to thirty components with letters and patches."""
     last = F.element_at(F.array(*[F.lit(p) for p in _PIECES]), (F.col("k") % len(_PIECES) + 1).cast("int"))
-    v = rows(spark, sf_dir).select("b", F.concat(F.repeat(F.lit("1."), (F.col("size") % 25).cast("int")), last).alias("v")).withColumn("key", version_key(F.col("v")))
+    v = rows(spark, sf_dir).select("b", F.concat(F.repeat(F.lit("1."), (F.col("size") % 25).cast("int")), last).alias("v")).distinct().withColumn("key", version_key(F.col("v")))
     by = F.struct("key", "v")
     return v.groupBy("b").agg(F.min_by("v", by).alias("least"), F.max_by("v", by).alias("greatest"), F.count_distinct("key").alias("n"))
 
