@@ -28,9 +28,13 @@ concat(CAST(p_size AS VARCHAR), '.', CAST(p_partkey % 17 AS VARCHAR)) AS v, lowe
 
 
 def rows(spark, sf_dir) -> DataFrame:
-    """Parts as what a source states of a package: number, name, version, category, brand."""
+    """Parts as what a source states of a package: number, name, version, category, brand.
+
+    They are few bytes for what their parsing costs, so they are dealt out to all cores rather than read in one or two tasks.
+    """
     text = lambda c: F.col(c).cast("string")
-    return table(spark, sf_dir, "part").select(
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_type", "p_brand")
+    return part.repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey").select(
         F.col("p_partkey").alias("k"),
         F.concat(F.replace(F.lower("p_name"), F.lit(" "), F.lit("-")), F.lit("-"), text("p_partkey")).alias("n"),
         F.concat(text("p_size"), F.lit("."), (F.col("p_partkey") % 17).cast("string")).alias("v"),
