@@ -22,6 +22,8 @@ LOWEST, PRE, ZERO, POST, LETTER, NUMBER, HIGHEST = range(7)
 #: Words that name a release after the plain version.
 POST_WORDS = ("post", "patch", "pl", "errata")
 _MARK = "\x01"
+#: Versions whose key needs no look at their tokens.
+PLAIN = r"^[1-9][0-9]*(\.[1-9][0-9]*)?\z"
 KEY_TYPE = "array<struct<sign:int,zeros:int,rank:int,size:int,text:string>>"
 
 
@@ -51,6 +53,17 @@ def _key(parts: Column) -> Column:
     return F.aggregate(parts, start, add, lambda done: F.concat(done["key"], F.array(end)))
 
 
+def _plain_key(version: Column) -> Column:
+    """The key of one or two numbers above zero, without taking the version to pieces."""
+
+    def unit(number: Column) -> Column:
+        return F.struct(F.lit(1).alias("sign"), F.lit(0).alias("zeros"), F.lit(NUMBER).alias("rank"), F.length(number).alias("size"), number.alias("text"))
+
+    end = F.struct(F.lit(0).alias("sign"), F.lit(0).alias("zeros"), F.lit(ZERO).alias("rank"), F.lit(0).alias("size"), F.lit("").alias("text"))
+    two = F.array(unit(F.substring_index(version, ".", 1)), unit(F.substring_index(version, ".", -1)), end)
+    return F.when(F.instr(version, ".") > 0, two).otherwise(F.array(unit(version), end)).cast(KEY_TYPE)
+
+
 def version_key(version: Column, flags: Column | None = None, fill: int = ZERO) -> Column:
     """The key of a version; flags say whether ``p`` or any word means a patch. A null version equals zero."""
     p_is_patch = F.lit(False) if flags is None else flags.bitwiseAND(F.lit(FLAG["p_is_patch"])) != 0
@@ -65,7 +78,9 @@ def version_key(version: Column, flags: Column | None = None, fill: int = ZERO)
         return F.when(token.rlike("^[0-9]"), number).otherwise(_component(rank, 0, F.substring(word, 1, 1)))
 
     parts = F.transform(_tokens(version), one)
-    return _key(parts if fill == ZERO else F.concat(parts, F.array(_component(fill))))
+    if fill != ZERO:
+        return _key(F.concat(parts, F.array(_component(fill))))
+    return F.when(version.rlike(PLAIN), _plain_key(version)).otherwise(_key(parts))
 
 
 def lower_bound(version: Column) -> Column:

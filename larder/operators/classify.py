@@ -1,9 +1,9 @@
 """The version classifier, with windows only.
 
-Packages of a project are ranked by version (1 is the greatest, equal versions share a rank), which turns every
-comparison of versions into one of numbers. Each step of the classification is then a minimum, maximum or
-running maximum over a window; all windows divide the project, so one shuffle by project serves them all and no
-group is ever collected.
+Packages of a project are ranked by version (a greater one has a lesser number, equal versions share it), which turns every
+comparison of versions into one of numbers. Each step of the classification is then a minimum or maximum over a
+window; all windows divide the project, so one shuffle by project serves them all and no group is ever collected. One
+sort by version serves all windows but those by repository.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.versions import package_key
-from larder.schema import ANY_IGNORED, STATUS, has
+from larder.schema import ANY_IGNORED, FLAG, STATUS, has
 
 REQUIRED = ("effname", "repo", "family", "version", "flags")
 
@@ -27,7 +27,14 @@ def classify(packages: DataFrame, key: Column | None = None) -> DataFrame:
     flavor = F.array_join(F.coalesce(F.col("flavors"), F.array().cast("array<string>")), "_") if "flavors" in kept else F.lit("")
     branch = F.col("branch") if "branch" in kept else F.lit(None).cast("string")
     rows = packages.select(*kept, F.coalesce(F.col("flags"), F.lit(0)).alias("_flags"), flavor.alias("_flavor"), branch.alias("_branch"))
-    rows = rows.withColumns({"_rolling": has("_flags", "rolling"), "_alt": has("_flags", "altscheme"), "_key": package_key(F.col("version"), F.col("_flags")) if key is None else key})
+    rows = rows.withColumns(
+        {
+            "_rolling": has("_flags", "rolling"),
+            "_scheme": F.col("_flags").bitwiseAND(F.lit(FLAG["rolling"] | FLAG["altscheme"])),
+            "_key": package_key(F.col("version"), F.col("_flags")) if key is None else key,
+        }
+    )
+    rows = rows.withColumn("_rank", -F.dense_rank().over(Window.partitionBy("effname", "_scheme").orderBy("_key")))
 
     project = Window.partitionBy("effname")
     live_family = F.when(~F.col("_rolling"), F.col("family"))
@@ -48,9 +55,8 @@ def classify(packages: DataFrame, key: Column | None = None) -> DataFrame:
     )
 
     # Rolling packages are classified already; they stay in the window partitions of their own.
-    scheme = Window.partitionBy("effname", "_rolling", "_alt")
-    rows = rows.withColumn("_rank", F.dense_rank().over(scheme.orderBy(F.col("_key").desc())))
-    group = Window.partitionBy("effname", "_rolling", "_alt", "_rank")
+    scheme = Window.partitionBy("effname", "_scheme")
+    group = Window.partitionBy("effname", "_scheme", "_key")
 
     def any_of(*names: str) -> Column:
         return F.max(has("_flags", *names)).over(group)
@@ -64,9 +70,10 @@ def classify(packages: DataFrame, key: Column | None = None) -> DataFrame:
     )
 
     # First pass: live groups up to the first that isn't devel make the devel section, the rest the stable one.
-    down = scheme.orderBy("_rank").rangeBetween(Window.unboundedPreceding, 0)
+    rows = rows.drop("_key")
     live = ~F.col("_ignored")
-    rows = rows.withColumn("_bound", F.when(live, F.max(live & ~F.col("_devel")).over(down).cast("int")))
+    reached = lambda c: F.coalesce(F.min(F.when(c, F.col("_rank"))).over(scheme) <= F.col("_rank"), F.lit(False)).cast("int")  # noqa: E731  (from the first such group on)
+    rows = rows.withColumn("_bound", F.when(live, reached(live & ~F.col("_devel"))))
 
     def first(section: int, all_groups: bool) -> Column:
         wanted = (F.col("_bound") == section) & (F.lit(True) if all_groups else ~F.col("_altver"))
@@ -77,24 +84,21 @@ def classify(packages: DataFrame, key: Column | None = None) -> DataFrame:
     # Second pass: from the first group that neither fits the devel section nor lies above it, all are stable.
     begin = F.when(F.col("_altver"), F.col("_first0a")).otherwise(F.col("_first0"))
     fits = F.coalesce((begin <= F.col("_rank")) & (F.col("_rank") <= F.col("_last0")), F.lit(False)) | F.col("_devel") | F.coalesce(F.col("_rank") < begin, F.lit(False))
-    rows = rows.withColumn("_section", F.max(~fits).over(down).cast("int"))
+    rows = rows.withColumn("_section", reached(~fits))
 
     # Third pass: each package against its section's best and against what its repository has.
     altver = has("_flags", "altver")
     best = F.when(F.col("_section") == 0, F.when(altver, F.col("_first0a")).otherwise(F.col("_first0"))).otherwise(F.when(altver, F.col("_first1a")).otherwise(F.col("_first1")))
     rows = rows.withColumn("_best", best)
     below = F.col("_rank") >= F.col("_best")
-    in_section = Window.partitionBy("effname", "_rolling", "_alt", "repo", "_section", "_flavor")
-    in_branch = Window.partitionBy("effname", "_rolling", "_alt", "repo", "_branch", "_flavor")
-    of_branch = Window.partitionBy("effname", "_rolling", "_alt", "_branch")
-    rows = rows.withColumns(
-        {
-            "_own_first": F.min(F.when(below, F.col("_rank"))).over(in_section),
-            "_branch_first": F.min(F.when(below, F.col("_rank"))).over(in_branch),
-            "_branch_best": F.min(F.when(live & ~F.col("_devel"), F.col("_rank"))).over(of_branch),
-        }
-    )
-    late_in_branch = (F.col("_branch_first") == F.col("_rank")) & (F.col("_branch_best") < F.col("_rank"))
+    in_section = Window.partitionBy("effname", "_scheme", "repo", "_section", "_flavor")
+    rows = rows.withColumn("_own_first", F.min(F.when(below, F.col("_rank"))).over(in_section))
+    late_in_branch = F.lit(False)
+    if "branch" in kept:  # one branch holds all sections, so nothing is late in it that isn't the first of its section
+        in_branch = Window.partitionBy("effname", "_scheme", "repo", "_branch", "_flavor")
+        of_branch = Window.partitionBy("effname", "_scheme", "_branch")
+        rows = rows.withColumns({"_branch_first": F.min(F.when(below, F.col("_rank"))).over(in_branch), "_branch_best": F.min(F.when(live & ~F.col("_devel"), F.col("_rank"))).over(of_branch)})
+        late_in_branch = (F.col("_branch_first") == F.col("_rank")) & (F.col("_branch_best") < F.col("_rank"))
     legacy = ((F.col("_own_first") < F.col("_rank")) & ~F.coalesce(late_in_branch, F.lit(False)) & ~has("_flags", "nolegacy")) | has("_flags", "legacy")
     status = lambda name: F.lit(STATUS[name])
     above = F.when(has("_flags", "noscheme"), status("noscheme")).when(has("_flags", "incorrect"), status("incorrect")).when(has("_flags", "untrusted"), status("untrusted")).when(has("_flags", "ignore"), status("ignored")).otherwise(status("outdated"))
