@@ -74,30 +74,42 @@ def ignored_by_masks(statuses: Column, flags: Column) -> Column:
 
 def releases(incoming: DataFrame, track_versions: DataFrame) -> DataFrame:
     """First and last time of each version of a project over all its tracks, trusted or not."""
-    tracks = incoming.select("effname", "repo", "trackname").distinct()
+    return releases_by_project(of_projects(incoming, track_versions))
+
+
+def of_projects(incoming: DataFrame, track_versions: DataFrame) -> DataFrame:
+    """Track versions with the projects that have their tracks."""
+    return incoming.select("effname", "repo", "trackname").distinct().join(track_versions, ["repo", "trackname"])
+
+
+def releases_by_project(track_versions: DataFrame) -> DataFrame:
+    """The releases of track versions that name their project. Where these lie by project, they stay there."""
     ignored = ignored_by_masks(F.col("any_statuses"), F.col("any_flags"))
-    return tracks.join(track_versions, ["repo", "trackname"]).groupBy("effname", "version").agg(
+    return track_versions.groupBy("effname", "version").agg(
         F.min("start_ts").alias("start_ts"),
         F.min(F.when(~ignored, F.col("start_ts"))).alias("trusted_start_ts"),
         F.max("end_ts").alias("end_ts"),
-        F.collect_set(F.when(ignored, F.col("start_ts"))).alias("ignored_starts"),
-        F.collect_set(F.when(~ignored, F.col("start_ts"))).alias("trusted_starts"),
     )
 
 
-def merged_releases(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Stored releases widened by fresh ones. A trusted start that has become an ignored one is set anew."""
+def merged_releases(stored: DataFrame, track_versions: DataFrame) -> DataFrame:
+    """Stored releases widened by those of fresh track versions, which name their project. A trusted start that has become an ignored one,
+    and is that of no trusted track version, is set anew.
+
+    Both sides are grouped together: a join by project and version would deal out anew what lies by project already.
+    """
     keys = ["effname", "version"]
-    n = fresh.select(*keys, F.lit(True).alias("seen"), *[F.col(c).alias(f"n_{c}") for c in fresh.columns if c not in keys])
-    j = stored.withColumn("known", F.lit(True)).join(n, keys, "full_outer")
-    known, seen = F.coalesce(F.col("known"), F.lit(False)), F.coalesce(F.col("seen"), F.lit(False))
-    fooled = F.array_contains("n_ignored_starts", F.col("trusted_start_ts")) & ~F.coalesce(F.array_contains("n_trusted_starts", F.col("trusted_start_ts")), F.lit(False))
-    pick = lambda c, merged: F.when(known & seen, merged).when(known, F.col(c)).otherwise(F.col(f"n_{c}")).alias(c)
-    return j.select(
-        *keys,
-        pick("start_ts", F.least("start_ts", "n_start_ts")),
-        pick("trusted_start_ts", F.when(F.coalesce(fooled, F.lit(False)), F.col("n_trusted_start_ts")).otherwise(F.least("trusted_start_ts", "n_trusted_start_ts"))),
-        pick("end_ts", F.greatest("end_ts", "n_end_ts")),
+    ignored = ignored_by_masks(F.col("any_statuses"), F.col("any_flags"))
+    start = F.col("start_ts")
+    fresh = track_versions.select(*keys, start, F.when(~ignored, start).alias("trusted_start_ts"), "end_ts", F.when(ignored, start).alias("ignored_start_ts"), F.lit(True).alias("fresh"))
+    known = stored.select(*keys, "start_ts", "trusted_start_ts", "end_ts", F.lit(None).cast("timestamp").alias("ignored_start_ts"), F.lit(False).alias("fresh"))
+    rows = known.unionByName(fresh).withColumn("was", F.max(F.when(~F.col("fresh"), F.col("trusted_start_ts"))).over(Window.partitionBy(*keys)))
+    trusted = F.when(F.col("fresh"), F.col("trusted_start_ts"))
+    found = lambda c: F.coalesce(F.max(c == F.col("was")), F.lit(False))
+    return rows.groupBy(*keys).agg(
+        F.min("start_ts").alias("start_ts"),
+        F.when(found(F.col("ignored_start_ts")) & ~found(trusted), F.min(trusted)).otherwise(F.min("trusted_start_ts")).alias("trusted_start_ts"),
+        F.max("end_ts").alias("end_ts"),
     )
 
 

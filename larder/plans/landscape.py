@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.operators.classify import classify
 
+OLD = "pk % 89 <> 0 and not (pk % 4 = 0 and ts >= timestamp '2000-01-01 00:00:00')"
+NEW = "pk % 97 <> 0 and not (pk % 4 = 1 and ts < timestamp '1996-01-01 00:00:00')"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as packages: parts are projects, nations repositories, regions families, suppliers maintainers."""
+def packages(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """Line items as packages: parts are projects, nations repositories, regions families, suppliers maintainers.
+    ``more`` are further columns of a line item."""
     name = lambda key: F.concat(F.lit("p"), F.col(key).cast("string")).alias("effname")
     place = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     place = place.select("n_nationkey", F.lower("n_name").alias("repo"), F.lower("r_name").alias("family"), (F.col("n_nationkey") % 5 == 0).alias("shadow"))
@@ -29,23 +33,38 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("pk"),
         F.col("l_shipdate").alias("ts"),
     )
+    plain = len(item.columns)
+    item = item.select("*", *more)
     # Parts come last and by name: what goes by project afterwards finds its rows dealt out already. Neither side is large a task, so none is sorted.
     joined = item.join(supplier.hint("shuffle_hash"), F.col("l_suppkey") == F.col("s_suppkey")).join(part.hint("shuffle_hash"), "effname")
     trackname = F.concat("effname", F.lit("-"), "category").alias("trackname")
-    return joined.select("effname", "repo", "family", trackname, "version", "category", "maintainer", "flags", "shadow", "pk", "size", "ts")
+    return joined.select("effname", "repo", "family", trackname, "version", "category", "maintainer", "flags", "shadow", "pk", "size", "ts", *item.columns[plain:])
 
 
 def old_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packages(spark, sf_dir).filter("pk % 89 <> 0 and not (pk % 4 = 0 and ts >= timestamp '2000-01-01 00:00:00')")
+    return packages(spark, sf_dir).filter(OLD)
 
 
 def new_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packages(spark, sf_dir).filter("pk % 97 <> 0 and not (pk % 4 = 1 and ts < timestamp '1996-01-01 00:00:00')")
+    return packages(spark, sf_dir).filter(NEW)
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Both snapshots, classified."""
-    return classify(old_packages(spark, sf_dir)), classify(new_packages(spark, sf_dir))
+    """Both snapshots, classified.
+
+    They are two sides of one view: line items meet suppliers and parts once for both, since the shuffles below the sides are the same
+    and Spark makes them once. Two filters would be pushed below the shuffles, which would make them twice.
+    """
+    sides = F.expr(f"case when {OLD} then 1 else 0 end + case when {NEW} then 2 else 0 end").alias("sides")
+    view = packages(spark, sf_dir, sides)
+    both = view.select(*[c for c in view.columns if c != "sides"], F.explode(F.expr("case sides when 1 then array(1) when 2 then array(2) when 3 then array(1, 2) end")).alias("side"))
+    old, new = (both.filter(F.col("side") == n).drop("side") for n in (1, 2))
+    return classify(old), classify(new)
+
+
+def new_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The new snapshot alone, classified."""
+    return classify(new_packages(spark, sf_dir))
 
 
 PKG = """pkg AS (
