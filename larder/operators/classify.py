@@ -26,24 +26,33 @@ def classify(packages: DataFrame, key: Column | None = None) -> DataFrame:
     kept = [c for c in packages.columns if c != "versionclass"]
     flavor = F.array_join(F.coalesce(F.col("flavors"), F.array().cast("array<string>")), "_") if "flavors" in kept else F.lit("")
     branch = F.col("branch") if "branch" in kept else F.lit(None).cast("string")
-    rows = packages.select(*kept, F.coalesce(F.col("flags"), F.lit(0)).alias("_flags"), flavor.alias("_flavor"), branch.alias("_branch"))
-    rows = rows.withColumns(
-        {
-            "_rolling": has("_flags", "rolling"),
-            "_scheme": F.col("_flags").bitwiseAND(F.lit(FLAG["rolling"] | FLAG["altscheme"])),
-            "_key": package_key(F.col("version"), F.col("_flags")) if key is None else key,
-        }
+    # Each window copies its rows several times, so what is only passed on is one column, and what the windows need is narrow.
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    carried = [c for c in kept if c not in ("effname", "repo")]
+    flags = F.coalesce(F.col("flags"), F.lit(0))
+    rows = packages.select(
+        "effname",
+        "repo",
+        "family",
+        "version",
+        flags.alias("_flags"),
+        flavor.alias("_flavor"),
+        branch.alias("_branch"),
+        flags.bitwiseAND(F.lit(FLAG["rolling"] | FLAG["altscheme"])).alias("_scheme"),
+        (package_key(F.col("version"), flags) if key is None else key).alias("_key"),
+        F.struct(*[quoted(c) for c in carried]).alias("_package"),
     )
     rows = rows.withColumn("_rank", -F.dense_rank().over(Window.partitionBy("effname", "_scheme").orderBy("_key")))
 
+    rolling = has("_flags", "rolling")
     project = Window.partitionBy("effname")
-    live_family = F.when(~F.col("_rolling"), F.col("family"))
+    live_family = F.when(~rolling, F.col("family"))
     ignored = F.col("_flags").bitwiseAND(F.lit(ANY_IGNORED)) != 0
-    n = F.sum((~F.col("_rolling")).cast("int")).over(project)
+    n = F.sum((~rolling).cast("int")).over(project)
     # Snapshot schemes that can't be compared with each other keep ignored versions ignored.
     old_scheme = F.col("version").startswith("20")
     new_scheme = ~old_scheme & F.col("version").contains("-unstable-")
-    steady = ~F.col("_rolling")
+    steady = ~rolling
     mixed = (F.max(F.when(steady, F.col("family"))).over(project) == "nix") & F.max((steady & old_scheme)).over(project) & F.max((steady & new_scheme)).over(project)
     all_ignored = F.min(F.when(steady, ignored & ~has("_flags", "noscheme"))).over(project)
     one_family = F.min(live_family).over(project) == F.max(live_family).over(project)
@@ -69,26 +78,32 @@ def classify(packages: DataFrame, key: Column | None = None) -> DataFrame:
         }
     )
 
-    # First pass: live groups up to the first that isn't devel make the devel section, the rest the stable one.
-    rows = rows.drop("_key")
+    # First pass: live groups up to the first that isn't devel (_split) make the devel section, the rest the stable one. _next is the
+    # greatest live version that isn't above a package's own.
     live = ~F.col("_ignored")
-    reached = lambda c: F.coalesce(F.min(F.when(c, F.col("_rank"))).over(scheme) <= F.col("_rank"), F.lit(False)).cast("int")  # noqa: E731  (from the first such group on)
-    rows = rows.withColumn("_bound", F.when(live, reached(live & ~F.col("_devel"))))
-
-    def first(section: int, all_groups: bool) -> Column:
-        wanted = (F.col("_bound") == section) & (F.lit(True) if all_groups else ~F.col("_altver"))
-        return F.min(F.when(wanted, F.col("_rank"))).over(scheme)
-
-    rows = rows.withColumns({f"_first{s}{'a' if a else ''}": first(s, a) for s in (0, 1) for a in (False, True)} | {"_last0": F.max(F.when(F.col("_bound") == 0, F.col("_rank"))).over(scheme)})
+    ordered = Window.partitionBy("effname", "_scheme").orderBy("_key")
+    least = lambda wanted: F.min(F.when(wanted, F.col("_rank")))
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns(
+        {"_split": least(live & ~F.col("_devel")).over(whole), "_top": least(live & ~F.col("_altver")).over(whole), "_topa": least(live).over(whole), "_next": least(live).over(ordered)}
+    ).drop("_key")
 
     # Second pass: from the first group that neither fits the devel section nor lies above it, all are stable.
-    begin = F.when(F.col("_altver"), F.col("_first0a")).otherwise(F.col("_first0"))
-    fits = F.coalesce((begin <= F.col("_rank")) & (F.col("_rank") <= F.col("_last0")), F.lit(False)) | F.col("_devel") | F.coalesce(F.col("_rank") < begin, F.lit(False))
-    rows = rows.withColumn("_section", reached(~fits))
+    in_devel = lambda top: F.when(F.col("_split").isNull() | (F.col(top) < F.col("_split")), F.col(top))
+    first0, first0a = in_devel("_top"), in_devel("_topa")
+    no_devel = F.when(F.col("_altver"), first0a).otherwise(first0).isNull()
+    below_devel = F.col("_next").isNull() | F.coalesce(F.col("_next") >= F.col("_split"), F.lit(False))
+    rows = rows.withColumns(
+        {
+            "_first1": least(live & ~F.col("_altver") & (F.col("_rank") >= F.col("_split"))).over(scheme),
+            "_stable": least(~F.col("_devel") & (no_devel | below_devel)).over(scheme),
+        }
+    )
+    rows = rows.withColumn("_section", F.coalesce(F.col("_stable") <= F.col("_rank"), F.lit(False)).cast("int"))
 
     # Third pass: each package against its section's best and against what its repository has.
     altver = has("_flags", "altver")
-    best = F.when(F.col("_section") == 0, F.when(altver, F.col("_first0a")).otherwise(F.col("_first0"))).otherwise(F.when(altver, F.col("_first1a")).otherwise(F.col("_first1")))
+    best = F.when(F.col("_section") == 0, F.when(altver, first0a).otherwise(first0)).otherwise(F.when(altver, F.col("_split")).otherwise(F.col("_first1")))
     rows = rows.withColumn("_best", best)
     below = F.col("_rank") >= F.col("_best")
     in_section = Window.partitionBy("effname", "_scheme", "repo", "_section", "_flavor")
@@ -105,9 +120,9 @@ def classify(packages: DataFrame, key: Column | None = None) -> DataFrame:
     top = F.when(F.col("_unique"), status("unique")).when(F.col("_section") == 0, status("devel")).otherwise(status("newest"))
     top = F.when(has("_flags", "outdated"), status("outdated")).otherwise(top)
     cls = (
-        F.when(F.col("_rolling"), status("rolling"))
+        F.when(rolling, status("rolling"))
         .when(F.col("_best").isNull() | (F.col("_rank") < F.col("_best")), above)
         .when(F.col("_rank") == F.col("_best"), top)
         .otherwise(F.when(legacy, status("legacy")).otherwise(status("outdated")))
     )
-    return rows.select(*kept, cls.cast("int").alias("versionclass"))
+    return rows.select(*[F.col("_package").getField(c).alias(c) if c in carried else F.col(c) for c in kept], cls.cast("int").alias("versionclass"))

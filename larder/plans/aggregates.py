@@ -29,17 +29,17 @@ def package_counters() -> list[Column]:
 
 
 def project_kinds() -> dict[str, Column]:
-    """What a project is counted as, by a condition on its packages."""
-    return {"": F.lit(True), "_newest": _is(*UPTODATE), "_outdated": _is(STATUS["outdated"]), "_problematic": _is(*PROBLEMATIC), "_vulnerable": has("flags", "vulnerable")}
+    """What a project is counted as, by the counters of its packages."""
+    some = lambda *classes: reduce(lambda a, b: a | b, [F.col(f"num_packages_{c}") > 0 for c in classes])
+    return {"": F.lit(True), "_newest": some("newest", "unique", "devel"), "_outdated": some("outdated"), "_problematic": some("ignored", "incorrect", "untrusted"), "_vulnerable": some("vulnerable")}
 
 
 def by_maintainer(packages: DataFrame, *keys: str) -> DataFrame:
     """Counters of each maintainer, or of each maintainer and further keys; in two levels, first for each project, so that
     distinct projects are counted without a copy of the rows for each kind."""
-    kinds = project_kinds()
-    inner = packages.groupBy("maintainer", *keys, "effname").agg(*package_counters(), *[F.bool_or(c).alias(f"_is{k}") for k, c in kinds.items()])
+    inner = packages.groupBy("maintainer", *keys, "effname").agg(*package_counters())
     sums = [F.sum(c).alias(c) for c in inner.columns if c.startswith("num_packages")]
-    return inner.groupBy("maintainer", *keys).agg(*sums, *[F.count_if(f"_is{k}").alias(f"num_projects{k}") for k in kinds])
+    return inner.groupBy("maintainer", *keys).agg(*sums, *[F.count_if(c).alias(f"num_projects{k}") for k, c in project_kinds().items()])
 
 
 def by_maintainer_category(packages: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def by_repository(packages: DataFrame) -> DataFrame:
         "_vulnerable": some("vulnerable"),
     }
     sums = [F.sum(c).alias(c) for c in inner.columns if c.startswith("num_packages")]
-    return inner.join(countable, "effname").groupBy("repo").agg(*sums, *[F.count_if(c).alias(f"num_metapackages{k}") for k, c in kinds.items()])
+    return inner.join(countable.hint("shuffle_hash"), "effname").groupBy("repo").agg(*sums, *[F.count_if(c).alias(f"num_metapackages{k}") for k, c in kinds.items()])
 
 
 def delta(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

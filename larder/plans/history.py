@@ -6,6 +6,8 @@ Stored tables are merged functionally: each function takes the stored rows and g
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +20,20 @@ def _zero(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0))
 
 
+def _grouped(old: DataFrame, new: DataFrame, keys: tuple[str, ...] | list[str], aggregates: list[Column]) -> DataFrame:
+    """Rows of both sides in groups by ``keys``, those of the new side being ``fresh``.
+
+    Sides that lie by one of the keys stay where they are; a join by all keys would deal them out anew. As in a join, a null has no like on the other side.
+    """
+    both = old.withColumn("fresh", F.lit(False)).unionByName(new.withColumn("fresh", F.lit(True)))
+    apart = F.when(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys]), F.col("fresh"))
+    return both.groupBy(*keys, apart.alias("apart")).agg(*aggregates).drop("apart")
+
+
 def track_delta(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("repo", "trackname")) -> DataFrame:
     """Change of the number of packages of each track; unchanged tracks are left out."""
-    a = old.groupBy(*keys).agg(F.count(F.lit(1)).alias("old_n"))
-    b = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("new_n"))
-    return a.join(b, list(keys), "full_outer").select(*keys, (_zero("new_n") - _zero("old_n")).alias("delta")).filter("delta <> 0")
+    n = F.sum(F.when(F.col("fresh"), 1).otherwise(-1)).alias("delta")
+    return _grouped(old.select(*keys), new.select(*keys), keys, [n]).filter("delta <> 0")
 
 
 def merged_tracks(stored: DataFrame, change: DataFrame, run_ts: Column, keys: tuple[str, ...] = ("repo", "trackname")) -> DataFrame:
@@ -195,11 +206,11 @@ def status_events(old: DataFrame, new: DataFrame, keys: list[str], repositories:
     """
     kinds = {"uptodate": UPTODATE, "outdated": (STATUS["outdated"],), "ignored": PROBLEMATIC}
 
-    def state(df: DataFrame) -> DataFrame:
-        return df.groupBy(*keys).agg(*[F.min(F.when(_is(*c), F.col("version"))).alias(k) for k, c in kinds.items()])
-
-    a = state(old).select(*keys, F.lit(True).alias("was"), *[F.col(k).alias(f"old_{k}") for k in kinds])
-    d = a.join(state(new).withColumn("now", F.lit(True)), keys, "full_outer")
+    fresh = F.col("fresh")
+    first = lambda side, c: F.min(F.when(side & _is(*c), F.col("version")))
+    found = [F.when(F.bool_or(~fresh), True).alias("was"), F.when(F.bool_or(fresh), True).alias("now")]
+    found += [first(fresh, c).alias(k) for k, c in kinds.items()] + [first(~fresh, c).alias(f"old_{k}") for k, c in kinds.items()]
+    d = _grouped(*[df.select(*keys, "version", "versionclass") for df in (old, new)], keys, found)
     complete = F.lit(True)
     if repositories is not None:
         d = d.join(repositories.filter("active").select("repo", "incomplete"), "repo")  # by Spark's own choice of size

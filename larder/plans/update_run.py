@@ -106,14 +106,20 @@ def update(state: State, load: DataFrame, run_ts: Column, done: Callable[[str],
     hashes = step("hashes", changes.project_hashes(incoming))
     kinds = changes.changes(stored("hashes", hashes.schema), hashes)
     changed = step("changed", kinds.filter("kind <> 'unchanged'"))
-    fresh = step("fresh", classify(changes.restricted(incoming, changed)))
+    names = changed.select(KEY).hint("shuffle_hash")  # of one bucket at a time; packages needn't be sorted to meet them
+    first = state.read("packages") is None
+    fresh = step("fresh", classify(incoming if first else incoming.join(names, KEY, "left_semi")))
     packages = stored("packages", fresh.schema)
-    old = changes.restricted(packages, changed)
+    old = packages.join(names, KEY, "left_semi")
     for what, (full, keys) in COUNTERS.items():
-        change = aggregates.delta(full(old), full(fresh), keys)
+        change = full(fresh) if first else aggregates.delta(full(old), full(fresh), keys)
         step(what, aggregates.applied(stored(what, change.schema), change, keys))
     step("tracks", history.merged_tracks(stored("tracks", TRACKS), history.track_delta(old, fresh), run_ts))
     step("project_events", history.project_events(old, fresh).withColumn("run_ts", run_ts))
     step("repo_events", history.status_events(old, fresh, [KEY, "repo"]).withColumn("run_ts", run_ts))
-    step("packages", changes.applied(packages, changed, fresh))
+    if first:  # all packages are fresh, so they are written already
+        files["packages"] = files["fresh"]
+        done("packages")
+    else:
+        step("packages", packages.join(names, KEY, "left_anti").unionByName(fresh))
     state.switch({what: f for what, f in files.items() if what not in STEPS})
